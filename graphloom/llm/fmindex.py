@@ -97,30 +97,38 @@ class FMIndex:
             live, lo, hi = live[more], lo[more], hi[more]
         return i
 
-    def shared(self, length: int, probes: tuple[int, ...] = (16, 40, 96, 200)) -> list[tuple[int, int, int]]:
-        """(text, start, end) that together cover exactly the runs of ``length`` found elsewhere.
+    def longest(self, text: np.ndarray, start: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """The greatest end in [least, most] for which [start, end) is found elsewhere; least - 1 where none is.
 
-        When a match [i, e) can't be extended by the symbol at j = i - 1, the shortest probed
-        [j, j + m) that isn't found tells where the next window to the left must end.
+        A slice of a found slice is found, so the end is found by bisection, all texts at once.
+        """
+        lo, hi = least - 1, most.copy()
+        while len(k := np.flatnonzero(lo < hi)):
+            mid = (lo[k] + hi[k] + 1) // 2
+            ok = self.extend(text[k], mid, start[k]) == start[k]
+            lo[k[ok]] = mid[ok]
+            hi[k[~ok]] = mid[~ok] - 1
+        return lo
+
+    def shared(self, length: int, at: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+        """(text, start, end) that together cover the runs of ``length`` found elsewhere that hold the text's anchor.
+
+        The anchor of a text is its slice [at, at + k). From the farthest end that the anchor reaches, the
+        match is extended to the left; where it stops, at j, the farthest end for a start at j comes next.
         """
         out = []
         text = np.flatnonzero((self.labels >= 0) & (self.end - self.start >= length))
-        end = self.end[text]
-        while len(text):
+        anchor = self.start[text] + np.asarray(at, np.int64)[text]
+        end = self.longest(text, anchor, anchor + k, self.end[text])
+        while True:
+            keep = (end >= anchor + k) & (end - self.start[text] >= length)
+            text, anchor, end = text[keep], anchor[keep], end[keep]
+            if not len(text):
+                return out
             a = self.start[text]
             i = self.extend(text, end, a)
             hit = end - i >= length
             out += zip(text[hit].tolist(), (i - a)[hit].tolist(), (end - a)[hit].tolist())
-            rest = i - 1 - a >= 0
-            text, end, j = text[rest], end[rest], i[rest] - 1
-            new = end - 1
-            open_ = np.ones(len(text), bool)
-            for m in probes:
-                k = np.flatnonzero(open_ & (j + m <= new))
-                if len(k):
-                    miss = k[self.extend(text[k], j[k] + m, j[k]) > j[k]]
-                    new[miss] = j[miss] + m - 1
-                    open_[miss] = False
-            rest = new - self.start[text] >= length
-            text, end = text[rest], new[rest]
-        return out
+            rest = i > a
+            text, anchor, end, j = text[rest], anchor[rest], end[rest], i[rest] - 1
+            end = self.longest(text, j, anchor + k, end - 1)

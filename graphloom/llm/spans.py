@@ -31,7 +31,7 @@ from graphloom.session import Cuts
 BASE = 0x9E3779B97F4A7C15 | 1
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 PIECE = 1 << 20
-ANCHORS = "h long, sh long, doc_id long, th long, s int, e int"
+ANCHORS = "h long, sh long, doc_id long, th long, s int, e int, p int"
 
 
 class Roller:
@@ -84,8 +84,7 @@ def code_points(text: str) -> np.ndarray:
 
 
 def anchor_rows(texts: list[np.ndarray], length: int, k: int) -> tuple[np.ndarray, ...]:
-    """Arrays (text number, h, sh, s, e) of the anchors of the texts, each at least ``length`` long."""
-    out = []
+    """Arrays (text number, h, sh, s, e, anchor's place in [s, e)) of the anchors of the texts, each at least ``length`` long."""
     low = np.uint64(PIECE - 1)
     size = np.array([len(t) for t in texts])
     start = np.concatenate([[0], np.cumsum(size)[:-1]])
@@ -99,17 +98,17 @@ def anchor_rows(texts: list[np.ndarray], length: int, k: int) -> tuple[np.ndarra
     p = np.unique((least[valid] & low).astype(np.int64))
     d = np.searchsorted(start, p, "right") - 1
     s, e = np.maximum(start[d], p + k - length), np.minimum(start[d] + size[d], p + length)
-    out = roll.slices(s, e) ^ ((e - s).astype(np.uint64) * M1)
-    return d, g[p], out, s - start[d], e - start[d]
+    sh = roll.slices(s, e) ^ ((e - s).astype(np.uint64) * M1)
+    return d, g[p], sh, s - start[d], e - start[d], p - s
 
 
 def _scan(length: int, k: int):
     names = [f.split()[0] for f in ANCHORS.split(", ")]
 
     def chunk(ids: list, ths: list, offsets: list, texts: list) -> pa.RecordBatch:
-        d, h, sh, s, e = anchor_rows(texts, length, k)
+        d, h, sh, s, e, p = anchor_rows(texts, length, k)
         off = np.array(offsets)[d]
-        cols = [h.view(np.int64), sh.view(np.int64), np.array(ids)[d], np.array(ths)[d], (s + off).astype(np.int32), (e + off).astype(np.int32)]
+        cols = [h.view(np.int64), sh.view(np.int64), np.array(ids)[d], np.array(ths)[d], (s + off).astype(np.int32), (e + off).astype(np.int32), p.astype(np.int32)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,13 +133,13 @@ def _scan(length: int, k: int):
 INTERVALS = "doc_id long, th long, s int, e int"
 
 
-def _search(length: int, shard_chars: int):
+def _search(length: int, k: int, shard_chars: int):
     names = [f.split()[0] for f in INTERVALS.split(", ")]
 
     def shard(rows: list[tuple]) -> pa.RecordBatch | None:
         number: dict[int, int] = {}
-        index = FMIndex([code_points(r[6]) for r in rows], [number.setdefault(r[2], len(number)) if r[5] else -1 for r in rows])
-        found = index.shared(length)
+        index = FMIndex([code_points(r[7]) for r in rows], [number.setdefault(r[2], len(number)) if r[5] else -1 for r in rows])
+        found = index.shared(length, np.array([r[6] for r in rows]), k)
         cols = [[rows[t][2] for t, _, _ in found], [rows[t][3] for t, _, _ in found], [rows[t][4] + a for t, a, _ in found], [rows[t][4] + b for t, _, b in found]]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int32(), pa.int32()])], names=names)
 
@@ -152,7 +151,7 @@ def _search(length: int, shard_chars: int):
                     yield shard(rows)
                     rows, total = [], 0
                 rows.append(r)
-                total += len(r[6])
+                total += len(r[7])
         if rows:
             yield shard(rows)
 
@@ -162,7 +161,7 @@ def _search(length: int, shard_chars: int):
 def _windows(length: int, k: int):
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for h, sh, doc, th, s, single, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for h, _, doc, th, s, single, _, text in zip(*(c.to_pylist() for c in batch.columns)):
                 x = code_points(text)
                 n = len(x) - length + 1
                 if n > 0:
@@ -174,7 +173,7 @@ def _windows(length: int, k: int):
     return windows
 
 
-def shared_intervals(docs: DataFrame, length: int = 240, k: int = 48, group_cap: int = 4000, shard_chars: int = 1_000_000) -> DataFrame:
+def shared_intervals(docs: DataFrame, length: int = 240, k: int = 96, group_cap: int = 4000, shard_chars: int = 1_500_000) -> DataFrame:
     """Intervals (doc_id, th, s, e) that cover the runs of ``length`` code points found under another doc_id.
 
     ``th`` is the hash of the text, for a doc_id that has several. Null texts and texts shorter than
@@ -185,16 +184,16 @@ def shared_intervals(docs: DataFrame, length: int = 240, k: int = 48, group_cap:
     cuts = Cuts(docs.sparkSession, "spans")
     docs = docs.where((F.length("text") >= length) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text")
     anchors = cuts.cut(docs.mapInArrow(_scan(length, k), ANCHORS))
-    per = anchors.groupBy("h", "sh").agg(F.min(F.struct("doc_id", "th", "s", "e")).alias("r"), F.max("doc_id").alias("hi"))
+    per = anchors.groupBy("h", "sh").agg(F.min(F.struct("doc_id", "th", "s", "e", "p")).alias("r"), F.max("doc_id").alias("hi"))
     per = per.select("h", "sh", "r.*", (F.col("r.doc_id") == F.col("hi")).alias("single"), "hi")
     groups = per.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("hi").alias("top"), F.count("*").alias("n"), F.max("single").alias("mixed")).where("lo < top")
     per = cuts.cut(per.join(groups.select("h", "n", "mixed"), "h").drop("hi"))
 
     whole = anchors.join(per.where(~F.col("single")).select("h", "sh"), ["h", "sh"]).select("doc_id", "th", "s", "e")
     todo = per.where(F.col("mixed"))
-    todo = todo.join(docs, ["doc_id", "th"]).select("h", "sh", "doc_id", "th", "s", "single", F.expr("substring(text, s + 1, e - s)").alias("snippet"), "n").dropDuplicates(["h", "sh"])
+    todo = todo.join(docs, ["doc_id", "th"]).select("h", "sh", "doc_id", "th", "s", "single", "p", F.expr("substring(text, s + 1, e - s)").alias("snippet"), "n").dropDuplicates(["h", "sh"])
     todo = cuts.cut(todo)
-    near = todo.where(F.col("n") <= group_cap).drop("n").repartition("h").sortWithinPartitions("h", "sh").mapInArrow(_search(length, shard_chars), INTERVALS)
+    near = todo.where(F.col("n") <= group_cap).drop("n").repartition("h").sortWithinPartitions("h", "sh").mapInArrow(_search(length, k, shard_chars), INTERVALS)
     rows = todo.where(F.col("n") > group_cap).drop("n").mapInArrow(_windows(length, k), "h long, wh long, doc_id long, th long, s int, many boolean")
     common = rows.groupBy("h", "wh").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("many").alias("many")).where("lo < hi or many").select("h", "wh")
     hot = rows.where(~F.col("many")).join(common, ["h", "wh"]).select("doc_id", "th", "s", (F.col("s") + length).alias("e"))
