@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import leaks, spans
+from graphloom.llm import canonical, leaks, spans
 from graphloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +26,8 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_chars(table(spark, d, "documents"))
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.collapse(table(spark, d, "relationships"))
