@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import canonical, leaks, spans
+from graphloom.llm import canonical, leaks, packing, spans
 from graphloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +31,8 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical.collapse(table(spark, d, "relationships"))
+
+
+@query
+def p8_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"))
