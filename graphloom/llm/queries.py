@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import canonical, leaks, packing, spans
+from graphloom.llm import canonical, groups, leaks, packing, spans
 from graphloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,17 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p8_pack(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"))
+
+
+@query
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return groups.linked_groups(table(spark, d, "entity_matches"))
+
+
+ORACLE["p6_found"] = """
+WITH RECURSIVE links AS (
+  SELECT DISTINCT left_id AS a, right_id AS b FROM entity_matches WHERE left_id IS NOT NULL AND right_id IS NOT NULL
+), both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(id, seen) AS (SELECT a, a FROM both_ways UNION SELECT r.id, e.b FROM reach r JOIN both_ways e ON e.a = r.seen)
+SELECT min(seen) AS group_id, id AS member_id FROM reach GROUP BY id
+"""
