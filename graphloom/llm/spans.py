@@ -31,7 +31,9 @@ from graphloom.session import Cuts
 BASE = 0x9E3779B97F4A7C15 | 1
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 PIECE = 1 << 20
-ANCHORS = "h long, sh long, doc_id long, th long, s int, e int, p int"
+ANCHORS = "h long, sh long, doc_id long, th int, pos int, e int"
+#: 2 MB, in buckets of 4 KB: what is broadcast of the texts wanted, however many they are.
+BITMAP_BITS = 1 << 24
 
 
 class Roller:
@@ -108,7 +110,7 @@ def _scan(length: int, k: int):
     def chunk(ids: list, ths: list, offsets: list, texts: list) -> pa.RecordBatch:
         d, h, sh, s, e, p = anchor_rows(texts, length, k)
         off = np.array(offsets)[d]
-        cols = [h.view(np.int64), sh.view(np.int64), np.array(ids)[d], np.array(ths)[d], (s + off).astype(np.int32), (e + off).astype(np.int32), p.astype(np.int32)]
+        cols = [h.view(np.int64), sh.view(np.int64), np.array(ids)[d], np.array(ths, np.int32)[d], (s + p + off).astype(np.int32), (e + off).astype(np.int32)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +132,7 @@ def _scan(length: int, k: int):
     return scan
 
 
-INTERVALS = "doc_id long, th long, s int, e int"
+INTERVALS = "doc_id long, th int, s int, e int"
 
 
 def _search(length: int, k: int, shard_chars: int):
@@ -141,7 +143,7 @@ def _search(length: int, k: int, shard_chars: int):
         index = FMIndex([code_points(r[7]) for r in rows], [number.setdefault(r[2], len(number)) if r[5] else -1 for r in rows])
         found = index.shared(length, np.array([r[6] for r in rows]), k)
         cols = [[rows[t][2] for t, _, _ in found], [rows[t][3] for t, _, _ in found], [rows[t][4] + a for t, a, _ in found], [rows[t][4] + b for t, _, b in found]]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int32(), pa.int32()])], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int32(), pa.int32(), pa.int32()])], names=names)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, total = [], 0
@@ -167,13 +169,13 @@ def _windows(length: int, k: int):
                 if n > 0:
                     at = np.arange(n)
                     wh = Roller(x).slices(at, at + length).view(np.int64)
-                    cols = [np.full(n, h), wh, np.full(n, doc), np.full(n, th), (s + at).astype(np.int32), np.full(n, not single)]
+                    cols = [np.full(n, h), wh, np.full(n, doc), np.full(n, th, np.int32), (s + at).astype(np.int32), np.full(n, not single)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h", "wh", "doc_id", "th", "s", "many"])
 
     return windows
 
 
-def shared_intervals(docs: DataFrame, length: int = 240, k: int = 96, group_cap: int = 4000, shard_chars: int = 1_500_000) -> DataFrame:
+def shared_intervals(docs: DataFrame, length: int = 240, k: int = 96, group_cap: int = 4000, shard_chars: int = 1_000_000) -> DataFrame:
     """Intervals (doc_id, th, s, e) that cover the runs of ``length`` code points found under another doc_id.
 
     ``th`` is the hash of the text, for a doc_id that has several. Null texts and texts shorter than
@@ -182,19 +184,30 @@ def shared_intervals(docs: DataFrame, length: int = 240, k: int = 96, group_cap:
     if not 0 < k <= length:
         raise ValueError("k must be between 1 and length")
     cuts = Cuts(docs.sparkSession, "spans")
-    docs = docs.where((F.length("text") >= length) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text")
+    docs = docs.where((F.length("text") >= length) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.hash("text").alias("th"), "text")
     anchors = cuts.cut(docs.mapInArrow(_scan(length, k), ANCHORS))
-    per = anchors.groupBy("h", "sh").agg(F.min(F.struct("doc_id", "th", "s", "e", "p")).alias("r"), F.max("doc_id").alias("hi"))
-    per = per.select("h", "sh", "r.*", (F.col("r.doc_id") == F.col("hi")).alias("single"), "hi")
-    groups = per.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("hi").alias("top"), F.count("*").alias("n"), F.max("single").alias("mixed")).where("lo < top")
-    per = cuts.cut(per.join(groups.select("h", "n", "mixed"), "h").drop("hi"))
-
-    whole = anchors.join(per.where(~F.col("single")).select("h", "sh"), ["h", "sh"]).select("doc_id", "th", "s", "e")
-    todo = per.where(F.col("mixed"))
-    todo = todo.join(docs, ["doc_id", "th"]).select("h", "sh", "doc_id", "th", "s", "single", "p", F.expr("substring(text, s + 1, e - s)").alias("snippet"), "n").dropDuplicates(["h", "sh"])
+    several = anchors.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h")
+    near_end = F.greatest(F.lit(0), F.col("pos") + k - length)
+    anchors_2 = cuts.cut(anchors.join(several, "h").select("h", "sh", "doc_id", "th", near_end.alias("s"), "e", (F.col("pos") - near_end).alias("p")))
+    cuts.drop(anchors)
+    per = anchors_2.groupBy("h", "sh").agg(F.min(F.struct("doc_id", "th", "s", "e", "p")).alias("r"), F.max("doc_id").alias("hi"))
+    per = cuts.cut(per.select("h", "sh", "r.*", (F.col("r.doc_id") == F.col("hi")).alias("single")))
+    groups = per.groupBy("h").agg(F.count("*").alias("n"), F.max("single").alias("mixed")).where("mixed").select("h", "n")
+
+    whole = anchors_2.join(per.where(~F.col("single")).select("h", "sh"), ["h", "sh"]).select("doc_id", "th", "s", "e")
+    wanted = cuts.cut(per.join(groups, "h"))
+    # of the texts only those that a bitmap of fixed size may hold are shuffled
+    bit = F.pmod(F.xxhash64("doc_id", "th"), F.lit(BITMAP_BITS))
+    bitmap = wanted.select(bit.alias("bit")).distinct().groupBy(F.expr("bitmap_bucket_number(bit)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits"))
+    hit = docs.withColumn("bit", bit).withColumn("bucket", F.expr("bitmap_bucket_number(bit)")).join(F.broadcast(bitmap), "bucket")
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(bitmap_bit_position(bit) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    hit = hit.withColumn("byte", byte).where("(shiftright(byte, cast(bitmap_bit_position(bit) % 8 as int)) & 1) = 1").select("doc_id", "th", "text")
+    todo = wanted.join(hit, ["doc_id", "th"]).select("h", "sh", "doc_id", "th", "s", "single", "p", F.expr("substring(text, s + 1, e - s)").alias("snippet"), "n").dropDuplicates(["h", "sh"])
     todo = cuts.cut(todo)
-    near = todo.where(F.col("n") <= group_cap).drop("n").repartition("h").sortWithinPartitions("h", "sh").mapInArrow(_search(length, k, shard_chars), INTERVALS)
-    rows = todo.where(F.col("n") > group_cap).drop("n").mapInArrow(_windows(length, k), "h long, wh long, doc_id long, th long, s int, many boolean")
+    chars = todo.agg(F.sum(F.length("snippet"))).first()[0] or 0
+    shards = max(1, -(-chars // shard_chars))
+    near = todo.where(F.col("n") <= group_cap).drop("n").repartition(shards, "h").sortWithinPartitions("h", "sh").mapInArrow(_search(length, k, 2 * shard_chars), INTERVALS)
+    rows = todo.where(F.col("n") > group_cap).drop("n").mapInArrow(_windows(length, k), "h long, wh long, doc_id long, th int, s int, many boolean")
     common = rows.groupBy("h", "wh").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("many").alias("many")).where("lo < hi or many").select("h", "wh")
     hot = rows.where(~F.col("many")).join(common, ["h", "wh"]).select("doc_id", "th", "s", (F.col("s") + length).alias("e"))
     return whole.unionByName(near).unionByName(hot)
