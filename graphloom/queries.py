@@ -5,6 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.operators import orphans
+from graphloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -12,3 +16,32 @@ ORACLE: dict[str, str] = {}
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/nation.parquet")
+
+
+def query(sql: str | None = None) -> Callable:
+    """Register a query under its function's name, with the SQL that DuckDB must agree on."""
+
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+@query("""
+WITH e AS (SELECT upper(trim(id)) AS id, min(created_at) AS created FROM entities WHERE trim(id) <> '' GROUP BY 1),
+d AS (SELECT upper(trim(id)) AS id, min(deleted_at) AS deleted FROM entity_deletions GROUP BY 1),
+r AS (
+  SELECT edge_no, 'source' AS side, upper(trim(source)) AS id, created_at FROM relationships
+  UNION ALL SELECT edge_no, 'target', upper(trim(target)), created_at FROM relationships)
+SELECT * FROM (
+  SELECT edge_no, side, CASE WHEN e.id IS NULL THEN 'missing' WHEN e.created > created_at THEN 'late' WHEN d.deleted <= created_at THEN 'deleted' END AS why,
+    strftime(created_at, '%Y-%m') AS edge_month
+  FROM r LEFT JOIN e USING (id) LEFT JOIN d USING (id) WHERE r.id <> '')
+WHERE why IS NOT NULL
+""")
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    tracker = orphans.track(table(spark, d, "relationships"), table(spark, d, "entities"), table(spark, d, "entity_deletions"))
+    return tracker.found().select(F.col("ref_no").alias("edge_no"), "side", "why", F.col("month").alias("edge_month"))
