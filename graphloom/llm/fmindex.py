@@ -100,9 +100,19 @@ class FMIndex:
     def longest(self, text: np.ndarray, start: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
         """The greatest end in [least, most] for which [start, end) is found elsewhere; least - 1 where none is.
 
-        A slice of a found slice is found, so the end is found by bisection, all texts at once.
+        A slice of a found slice is found, so the end is found by bisection, all texts at once. Both bounds
+        are tried first: most texts end at one of them.
         """
         lo, hi = least - 1, most.copy()
+        for bound in (least, most):
+            k = np.flatnonzero(lo < hi)
+            ok = self.extend(text[k], bound[k], start[k]) == start[k]
+            if bound is least:
+                lo[k[ok]] = bound[k[ok]]
+                hi[k[~ok]] = bound[k[~ok]] - 1
+            else:
+                lo[k[ok]] = hi[k[ok]]
+                hi[k[~ok]] -= 1
         while len(k := np.flatnonzero(lo < hi)):
             mid = (lo[k] + hi[k] + 1) // 2
             ok = self.extend(text[k], mid, start[k]) == start[k]
