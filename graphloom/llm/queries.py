@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import canonical, groups, leaks, packing, spans
+from graphloom.llm import canonical, groups, leaks, neighbours, packing, spans
 from graphloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,8 @@ WITH RECURSIVE links AS (
 reach(id, seen) AS (SELECT a, a FROM both_ways UNION SELECT r.id, e.b FROM reach r JOIN both_ways e ON e.a = r.seen)
 SELECT min(seen) AS group_id, id AS member_id FROM reach GROUP BY id
 """
+
+
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.nearest(table(spark, d, "entities")).select("id", "neighbour_id")
