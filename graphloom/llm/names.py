@@ -71,11 +71,17 @@ def common_prefix(a: str, b: str) -> int:
 class Heads:
     """The frequent tokens of one type of name, and how rarer tokens are read as them."""
 
-    def __init__(self, counts: dict[str, int], neighbours: dict[tuple[str, str], int], given: bool):
-        self.counts, self.neighbours, self.given = counts, neighbours, given
+    def __init__(self, counts: dict[str, int], neighbours: dict[tuple[str, str], int], given: bool, short: list[str] = ()):
+        self.neighbours, self.given = neighbours, given
+        # a frequent short form of a head far more frequent is no head
+        self.counts = {t: n for t, n in counts.items() if not any(m >= 4 * n and len(h) > len(t) and self._rank(t, h) is not None for h, m in counts.items())}
+        counts = self.counts
         self.memo: dict[str, str | None] = {h: h for h in counts}
         # two heads that nearly always come together are one: the second says nothing more
-        self.silent = {b for (a, b), n in neighbours.items() if n >= 0.85 * counts[b] and n >= 0.65 * counts[a]}
+        self.forms = {h: h for h in counts if len(h) > 3}
+        self.silent = {b for (a, b), n in neighbours.items() if a in counts and b in counts and n >= 0.85 * counts[b] and n >= 0.65 * counts[a]}
+        # short forms that stand for a head may also be run together with the rest of a name
+        self.forms |= {t: h for t in short if len(t) > 2 and t not in counts and (h := self.read(t)) is not None}
 
     def read(self, t: str) -> str | None:
         if t not in self.memo:
@@ -95,6 +101,8 @@ class Heads:
         """How ``t`` may stand for ``h``: the lower, the surer; None if it doesn't."""
         if len(t) >= 4 and (d := typos(t, h, 2 if len(h) >= 8 else 1)) <= (2 if len(h) >= 8 else 1):
             return d
+        if not self.given and len(h) > 4 and t.startswith(h):
+            return 2
         if h.startswith(t):
             return 2 if len(t) > 2 else 4
         if len(t) >= 5 and h.endswith(t):
@@ -111,16 +119,14 @@ class Heads:
     def split(self, t: str) -> tuple[str, str] | None:
         """(head, rest) of a word run together from both, at either end."""
         best: tuple | None = None
-        for h in self.counts:
-            if len(h) < 4:
-                continue
-            for n in (len(h), len(h) - 1, len(h) + 1):
+        for f, h in self.forms.items():
+            for n in (len(f), len(f) - 1, len(f) + 1) if len(f) > 4 else (len(f),):
                 if len(t) - n < 5:
                     continue
                 for part, rest in ((t[:n], t[n:]), (t[-n:], t[:-n])):
-                    d = typos(part, h, 1)
-                    if d <= 1 and (best is None or (d, -len(h)) < best[:2]):
-                        best = (d, -len(h), h, rest)
+                    d = typos(part, f, 1)
+                    if d <= (len(f) > 4) and (best is None or (d - len(f) / 2, f) < best[:2]):
+                        best = (d - len(f) / 2, f, h, rest)
         return best[2:] if best else None
 
     def parse(self, words: list[str]) -> tuple[list[str], list[str], list[str]]:
@@ -144,9 +150,12 @@ class Heads:
         if self.given:
             if not heads and not initials and len(rare) == 1 and (cut := self.split(rare[0])):
                 heads, rare = [cut[0]], [cut[1]]
+            elif len(heads) + len(rare) == 1:  # one word is the family name
+                heads, rare = [], rare + heads
+            heads.sort(key=lambda h: -self.counts[h])
             return heads[:1], initials, sorted(rare + heads[1:])
         for t in initials:  # a line of business by its first letter, beside the word it goes with
-            fit = [(n, a) for (a, b), n in self.neighbours.items() if b in heads and a.startswith(t)] + [(n, b) for (a, b), n in self.neighbours.items() if a in heads and b.startswith(t)]
+            fit = [(n, a) for (a, b), n in self.neighbours.items() if b in heads and a in self.counts and a.startswith(t)] + [(n, b) for (a, b), n in self.neighbours.items() if a in heads and b in self.counts and b.startswith(t)]
             if fit:
                 heads.append(max(fit)[1])
         if not heads and len(rare) == 1 and (cut := self.split(rare[0])):
@@ -176,7 +185,11 @@ def parsed(names: DataFrame, head_share: float = 0.004, least: int = 5, given_ty
     near: dict[str, dict] = {}
     for r in pairs.collect():  # each needs as many names as a head does, so there are no more of them
         near.setdefault(r["type"], {})[r["x"], r["y"]] = r["n"]
-    shared = spark.sparkContext.broadcast({t: (counts.get(t, {}), near.get(t, {}), t in given_types) for t in total})
+    short: dict[str, list[str]] = {}
+    few = words.where(F.length("w").between(3, 8)).groupBy("type", "w").agg(F.countDistinct("name").alias("n")).where(F.col("n") >= F.greatest(F.lit(2), bound / 20))
+    for r in few.collect():  # at most 20 times as many as heads
+        short.setdefault(r["type"], []).append(r["w"])
+    shared = spark.sparkContext.broadcast({t: (counts.get(t, {}), near.get(t, {}), t in given_types, sorted(short.get(t, []))) for t in total})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         readers = {t: Heads(*x) for t, x in shared.value.items()}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import canonical, groups, leaks, neighbours, packing, spans
+from graphloom.llm import canonical, groups, leaks, names, neighbours, packing, spans
 from graphloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,8 @@ SELECT min(seen) AS group_id, id AS member_id FROM reach GROUP BY id
 @query
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.nearest(table(spark, d, "entities")).select("id", "neighbour_id")
+
+
+@query
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.same_entity_pairs(table(spark, d, "entities"))
