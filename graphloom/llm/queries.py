@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import canonical, groups, leaks, names, neighbours, packing, spans
+from graphloom.llm import canonical, groups, language, leaks, names, neighbours, packing, spans
 from graphloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return names.same_entity_pairs(table(spark, d, "entities"))
+
+
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.corrected_labels(table(spark, d, "chat_requests"), table(spark, d, "parallel_pairs"))
