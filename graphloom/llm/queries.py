@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import canonical, groups, language, leaks, names, neighbours, packing, spans
+from graphloom.llm import canonical, groups, language, leaks, names, neighbours, packing, pairs, spans
 from graphloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return language.corrected_labels(table(spark, d, "chat_requests"), table(spark, d, "parallel_pairs"))
+
+
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defective_pairs(table(spark, d, "parallel_pairs")).select("pair_id", "defect").distinct()
