@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -13,7 +14,7 @@ from graphloom import vocab
 
 def upper_snake(name: Column) -> Column:
     """Spaces and hyphens to underscores, other marks dropped, upper case; RELATED_TO if nothing is left."""
-    s = F.regexp_replace(F.regexp_replace(F.trim(name), r"[\s\-]+", "_"), r"[^A-Za-z0-9_]", "")
+    s = F.regexp_replace(F.regexp_replace(F.regexp_replace(name, r"^\s+|\s+$", ""), r"[\s\-]+", "_"), r"[^A-Za-z0-9_]", "")
     return F.when((s == "") | s.isNull(), F.lit("RELATED_TO")).otherwise(F.upper(s))
 
 
@@ -37,7 +38,7 @@ def strip_legal_suffixes(name: Column) -> Column:
     """Lower case, single spaces, and one pass over the legal suffixes in their order."""
     n = F.regexp_replace(F.trim(F.lower(name)), r"\s+", " ")
     for s in vocab.LEGAL_SUFFIXES:
-        n = F.when(F.endswith(n, F.lit(s)), F.trim(F.substring(n, F.lit(1), F.length(n) - len(s)))).otherwise(n)
+        n = F.trim(F.regexp_replace(n, re.escape(s) + "$", ""))
     return n
 
 
@@ -95,17 +96,16 @@ def aliases(t: Column, token_fallback: bool = True) -> Column:
     """Names to try for a mention: of the first key that it is, starts or ends with or holds as a word; else of its words."""
     q = F.trim(F.lower(t))
     padded = F.concat(F.lit(" "), q, F.lit(" "))
-    out = None
     keys = list(vocab.ALIASES.items())
     names = lambda v: F.array(*[F.lit(x) for x in v])
     # one map lookup instead of a chain of 80 comparisons: the first key, in table order, that the mention holds as words
     order = F.array(*[F.lit(k) for k, _ in keys])
     table = F.create_map(*[x for k, v in keys for x in (F.lit(k), names(v))])
-    first = F.element_at(F.filter(order, lambda k: F.contains(padded, F.concat(F.lit(" "), k, F.lit(" ")))), 1)
+    first = F.get(F.filter(order, lambda k: F.contains(padded, F.concat(F.lit(" "), k, F.lit(" ")))), F.lit(0))
     out = table[first]
     if not token_fallback:
         # without a word boundary at the other side
-        loose = F.element_at(F.filter(order, lambda k: F.startswith(q, k) | F.endswith(q, k) | F.contains(padded, F.concat(F.lit(" "), k, F.lit(" ")))), 1)
+        loose = F.get(F.filter(order, lambda k: F.startswith(q, k) | F.endswith(q, k) | F.contains(padded, F.concat(F.lit(" "), k, F.lit(" ")))), F.lit(0))
         return F.coalesce(table[loose], F.array().cast("array<string>"))
     words = F.array_distinct(F.flatten(F.transform(F.split(q, r"\s+"), lambda w: F.coalesce(table[w], F.array().cast("array<string>")))))
     return F.coalesce(out, words)

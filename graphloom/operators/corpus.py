@@ -16,8 +16,9 @@ def usable_pairs(pairs: DataFrame, src: str = "src", tgt: str = "tgt", longer_th
 
 
 def both_directions(pairs: DataFrame) -> DataFrame:
-    """Each pair as two rows, with the direction in front of the source."""
-    way = lambda a, b, x, y: F.struct(F.concat(F.lit("<2"), b, F.lit("> "), F.col(x)).alias("src"), F.col(y).alias("tgt"), F.concat_ws("-", a, b).alias("direction"))
+    """Each pair as two rows, one per direction, without outer spaces."""
+    bare = lambda c: F.regexp_replace(c, r"^[\s\u00A0]+|[\s\u00A0]+$", "")
+    way = lambda a, b, x, y: F.struct(bare(x).alias("src"), bare(y).alias("tgt"), F.concat_ws("→", a, b).alias("direction"))
     en, lang = F.lit("en"), F.col("lang")
     rest = [c for c in pairs.columns if c not in ("src", "tgt", "direction")]
     return pairs.select(*rest, F.explode(F.array(way(en, lang, "src", "tgt"), way(lang, en, "tgt", "src"))).alias("p")).select(*rest, "p.*")
@@ -38,7 +39,7 @@ def training_rows(pairs: DataFrame, src: str = "src_ids", tgt: str = "tgt_ids",
     return pairs.withColumns({src: F.slice(src, 1, source_limit), tgt: frame(F.col(tgt), target_limit)})
 
 
-def padded_batches(rows: DataFrame, batch: str, src: str = "src_ids", tgt: str = "tgt_ids") -> DataFrame:
+def padded_batches(rows: DataFrame, batch: str, src: str = "src_ids", tgt: str = "tgt_ids", keep: tuple[str, ...] = ()) -> DataFrame:
     """Per batch: sources and shifted targets padded to its longest, labels padded with -100, and the masks."""
     w = Window.partitionBy(batch)
     dec, lab = F.slice(tgt, F.lit(1), F.size(tgt) - 1), F.slice(tgt, F.lit(2), F.size(tgt) - 1)
@@ -47,7 +48,7 @@ def padded_batches(rows: DataFrame, batch: str, src: str = "src_ids", tgt: str =
     rows = rows.withColumns({"s_width": s_width, "t_width": t_width})
     mask = lambda c, width: F.concat(F.array_repeat(F.lit(1), F.size(c)), F.array_repeat(F.lit(0), (F.col(width) - F.size(c)).cast("int")))
     return rows.select(
-        batch, mask(src, "s_width").alias("mask"), pad_to(F.col(src), F.col("s_width"), 0).alias("src"), pad_to(F.col("dec"), F.col("t_width"), 0).alias("dec"), pad_to(F.col("labels"), F.col("t_width"), -100).alias("labels")
+        batch, *keep, mask(src, "s_width").alias("mask"), pad_to(F.col(src), F.col("s_width"), 0).alias("src"), pad_to(F.col("dec"), F.col("t_width"), 0).alias("dec"), pad_to(F.col("labels"), F.col("t_width"), -100).alias("labels")
     )
 
 

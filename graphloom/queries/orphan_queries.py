@@ -1,34 +1,14 @@
-"""Registered queries of the core and their SQL."""
+"""Queries on references to missing records."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators import orphans
+from graphloom.queries.registry import query
 from graphloom.session import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
-
-
-def query(sql: str | None = None) -> Callable:
-    """Register a query under its function's name, with the SQL that DuckDB must agree on."""
-
-    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return register
-
 
 @query("""
 WITH e AS (SELECT upper(trim(id)) AS id, min(created_at) AS created FROM entities WHERE trim(id) <> '' GROUP BY 1),
