@@ -44,14 +44,14 @@ def top_k_indices(v: Column, k: int) -> Column:
 
 def has_repeated_ngram(ids: Column, n: int) -> Column:
     """Whether the last n-gram of a token list occurs before."""
-    last = F.slice(ids, F.size(ids) - n + 1, n)
+    last = F.slice(ids, F.greatest(F.lit(1), F.size(ids) - n + 1), n)
     starts = F.when(F.size(ids) > n, F.sequence(F.lit(1), F.size(ids) - n)).otherwise(F.array().cast("array<int>"))
     return F.exists(starts, lambda i: F.slice(ids, i, n) == last)
 
 
 def blocked_tokens(ids: Column, n: int) -> Column:
     """Tokens that would repeat an n-gram if they came next."""
-    stem = F.slice(ids, F.size(ids) - n + 2, n - 1)
+    stem = F.slice(ids, F.greatest(F.lit(1), F.size(ids) - n + 2), n - 1)
     starts = F.when(F.size(ids) >= n, F.sequence(F.lit(1), F.size(ids) - n + 1)).otherwise(F.array().cast("array<int>"))
     return F.array_sort(F.array_distinct(F.transform(F.filter(starts, lambda i: F.slice(ids, i, n - 1) == stem), lambda i: F.element_at(ids, (i + n - 1).cast("int")))))
 

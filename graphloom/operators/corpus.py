@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -74,8 +75,6 @@ def final_score(score: Column, length: Column, alpha: float = 1.0) -> Column:
 
 def piece_ids(t: Column, model_file: str) -> Column:
     """Ids of a public subword model's file."""
-    import pandas as pd
-
     @F.pandas_udf("array<int>")
     def ids(texts: pd.Series) -> pd.Series:
         import sentencepiece

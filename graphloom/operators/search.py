@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,8 +106,8 @@ def resolve(graph: Graph, query: str, top_k: int = 5, use_aliases: bool = True)
     rows = stages[0]
     for s in stages[1:]:
         rows = rows.unionByName(s)
-    best = rows.agg(F.min("stage").alias("first"))
-    rows = rows.join(F.broadcast(best), rows.stage == best.first).drop("first", "stage")  # best is one row
+    best = rows.agg(F.min("stage").alias("stage"))
+    rows = rows.join(F.broadcast(best), "stage").drop("stage")  # best is one row
     return rows.orderBy(F.desc("score"), F.desc("order"), "id").limit(top_k).drop("order")
 
 
@@ -121,8 +122,6 @@ def alias_names(query: str) -> list[str]:
 
 def likeness(a: str, b: Column) -> Column:
     """Ratcliff-Obershelp ratio of a fixed text to a column."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def ratio(names: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher

@@ -24,7 +24,7 @@ NEWS = "Title string, Content string, Date string, URL string"
 
 def read_news_json(spark: SparkSession, path: str) -> DataFrame:
     """News items from JSON: a list or one object, with or without a byte-order mark."""
-    return spark.read.schema(NEWS).option("multiLine", True).option("encoding", "UTF-8").json(path)
+    return spark.read.schema(NEWS).option("multiLine", True).json(path)
 
 
 def read_news_csv(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
