@@ -93,29 +93,33 @@ class Model:
 
     def cross_entropy(self, texts: list[str]) -> np.ndarray:
         """Mean negative log probability per character, a row per text and a column per class."""
+        if not texts:
+            return np.empty((0, len(CLASSES)))
         flat, starts = _flat(texts, self.order - 1)
         h = gram_hashes(flat, self.order)
-        size = np.array([len(t) for t in texts])
+        size = np.array([len(t) for t in texts], np.int64)
         own = np.repeat(starts, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         p = np.full((len(own), len(CLASSES)), self.floor, np.float32)
         for k in range(1, self.order + 1):
             context, gram = _before(h[k - 1])[own] if k > 1 else np.zeros(len(own), np.uint64), h[k][own]
             p *= _rows(self.contexts[k - 1], self.backoff[k - 1], context, 1.0)
             p += _rows(self.grams[k - 1], self.probability[k - 1], gram, 0.0)
-        return np.add.reduceat(-np.log(p.astype(np.float64)), np.cumsum(size) - size, axis=0) / size[:, None] if len(size) else np.empty((0, len(CLASSES)))
+        return np.add.reduceat(-np.log(p.astype(np.float64)), np.cumsum(size) - size, axis=0) / size[:, None]
 
     def classify(self, raw: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Class, confidence, whether accepted, and cross-entropy of each sentence."""
+        if not raw:
+            return np.empty(0, np.int64), np.empty(0), np.empty(0, bool), np.empty((0, len(CLASSES)))
         found = [letters(s) for s in raw]
         h = self.cross_entropy([t for t, _ in found])
         indic = np.array([i for _, i in found], bool)
         latin = np.array([c.endswith("Latn") for c in CLASSES])
-        h = np.where(indic[:, None] == latin[None, :], np.inf, h) if len(h) else h
-        best = h.argmin(1) if len(h) else np.empty(0, int)
+        h = np.where(indic[:, None] == latin[None, :], np.inf, h)
+        best, least = h.argmin(1), h.min(1)
         n = np.array([len(t) for t, _ in found])
-        z = np.exp(-self.scale * np.sqrt(n)[:, None] * (h - h.min(1, keepdims=True))) if len(h) else h
-        sure = 1 / np.array([[z[i][LANGUAGE_OF == v].max() for v in range(len(LANGUAGES))] for i in range(len(z))]).sum(1) if len(h) else np.empty(0)
-        ok = h.min(1) <= self.limit[best] if self.limit is not None and len(h) else np.ones(len(best), bool)
+        z = np.exp(-self.scale * np.sqrt(n)[:, None] * (h - least[:, None]))
+        sure = 1 / np.stack([z[:, LANGUAGE_OF == v].max(1) for v in range(len(LANGUAGES))], 1).sum(1)
+        ok = least <= self.limit[best] if self.limit is not None else np.ones(len(best), bool)
         return best, sure, ok, h
 
 
@@ -167,13 +171,27 @@ def train(samples: list[tuple[str, int]], order: int = 5, discount: float = 0.75
     return Model(order, grams, probability, contexts, backoff, 1.0 / symbols)
 
 
-def fit(labelled: list[tuple[str, str]], rounds: int = 2, order: int = 5) -> Model:
+def like_english(english: list[str], others: list[str], order: int, margin: float = 0.5) -> np.ndarray:
+    """Whether each prepared text has a cross-entropy that held-out English has, too."""
+    model = train([(t, 0) for i, t in enumerate(english) if i % 5], order)
+    limit = np.quantile(model.cross_entropy(english[::5])[:, 0], 0.995) + margin
+    return model.cross_entropy(others)[:, 0] <= limit
+
+
+def fit(labelled: list[tuple[str, str]], rounds: int = 2, order: int = 5, english: list[str] = ()) -> Model:
     """Model of (sentence, language) rows, some of them labelled wrongly.
 
-    Sentences that the model, trained on the rest, puts to another language are dropped before the last training.
-    A fifth is held out for the scale and the limits.
+    Two languages in one script are the hard case, since a message labelled Hindi in Latin letters is often English:
+    with sentences known to be ``english``, those in Latin letters are kept only where their label agrees with whether
+    they are like English. Sentences that the model, trained on the rest, puts to another language are dropped before
+    the last training. A fifth is held out for the scale and the limits.
     """
     rows = []
+    sure = sorted({letters(s)[0] for s in english if not letters(s)[1]})
+    if len(sure) >= 20:
+        latin = [(s, lang) for s, lang in labelled if not letters(s)[1]]
+        same = like_english([sure[i] for i in np.random.default_rng(2).permutation(len(sure))], [letters(s)[0] for s, _ in latin], order)
+        labelled = [x for x in labelled if letters(x[0])[1]] + [x for x, e in zip(latin, same) if e == (x[1] == "en")] + [(s, "en") for s in english]
     for s, lang in labelled:
         t, indic = letters(s)
         c = next((i for i, name in enumerate(CLASSES) if name.startswith(lang) and name.endswith("Latn") != indic), None)
@@ -218,11 +236,12 @@ def label(c: str) -> F.Column:
     return F.when(x != "", x)
 
 
-def labelled_sentences(chats: DataFrame, pairs: DataFrame, bound: int = 4000) -> list[tuple[str, str]]:
-    """Training sentences: at most ``bound`` rows a language and source, in order of a hash.
+def labelled_sentences(chats: DataFrame, pairs: DataFrame, bound: int = 1500) -> tuple[list[tuple[str, str]], list[str]]:
+    """Training sentences with their label, and sentences that are English for sure: at most ``bound`` rows of each
+    language, script and source, in order of a hash.
 
-    From messages, those of one language by their label where no hint led the label astray; from pairs, the
-    prompts as English and the answers by the pair's language. Wrong ones among them are weeded out by ``fit``.
+    From messages, those of one language by their label where no hint led the label astray; from pairs, the answers
+    in Indian scripts by the pair's language. Wrong ones among them are weeded out by ``fit``. Prompts are English.
     """
     lang = label("detected_lang")
     # Hindi in Latin letters counts as a class of its own when the bound is applied
@@ -230,15 +249,16 @@ def labelled_sentences(chats: DataFrame, pairs: DataFrame, bound: int = 4000) ->
     chat = chats.where((F.coalesce(F.col("lang"), F.lit("auto")) == "auto") & ~F.coalesce(F.col("is_mixed"), F.lit(False))).select(F.col("message").alias("text"), lang.alias("language"))
     answers = pairs.select(F.col("tgt").alias("text"), F.col("lang").alias("language"))
     prompts = pairs.select(F.col("src").alias("text"), F.lit("en").alias("language"))
+    def sample(part: DataFrame, language: str, is_latin: bool) -> list[str]:
+        rows = part.where((F.col("language") == language) & F.col("text").isNotNull() & (latin == is_latin)).select("text").distinct().orderBy(F.xxhash64("text")).limit(bound).collect()
+        return [r["text"][a:b] for r in rows for a, b in sentences(r["text"])]
+
     out = []
-    for part in (chat, answers, prompts):
-        part = part.where(F.col("language").isin(*LANGUAGES) & F.col("text").isNotNull()).withColumn("latin", latin)
-        for language in LANGUAGES:
-            for is_latin in (True, False):
-                rows = part.where((F.col("language") == language) & (F.col("latin") == is_latin)).select("text").distinct().orderBy(F.xxhash64("text")).limit(bound).collect() if (language in ("en", "hi") or not is_latin) and not (language == "en" and not is_latin) else []
-                for r in rows:
-                    out += [(r["text"][a:b], language) for a, b in sentences(r["text"])]
-    return out
+    for language in LANGUAGES:
+        for part, is_latin in ((chat, True), (chat, False), (answers, False)):
+            if language in ("en", "hi") if is_latin else language != "en":
+                out += [(s, language) for s in sample(part, language, is_latin)]
+    return out, sample(prompts, "en", True)
 
 
 SEGMENTS = "request_id long, seg_no int, lang string, confidence double, accepted boolean, start int, stop int"
@@ -288,9 +308,10 @@ def _segment(model: Model, ids: list, texts: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, types)], names=[f.split()[0] for f in SEGMENTS.split(", ")])
 
 
-def corrected_labels(chats: DataFrame, pairs: DataFrame, bound: int = 4000) -> DataFrame:
+def corrected_labels(chats: DataFrame, pairs: DataFrame, bound: int = 1500) -> DataFrame:
     """(request_id, seg_no, lang): the right label where the stored one is missing or wrong, and the segments of mixed messages."""
-    model = fit(labelled_sentences(chats, pairs, bound))
+    labelled, english = labelled_sentences(chats, pairs, bound)
+    model = fit(labelled, english=english)
     stored = chats.select(F.col("request_id").cast("long").alias("request_id"), label("detected_lang").alias("stored")).dropDuplicates(["request_id"])
     found = segments(chats.dropDuplicates(["request_id"]), model)
     whole = found.where("seg_no = 0").join(stored, "request_id")
