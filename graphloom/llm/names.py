@@ -110,7 +110,7 @@ class Heads:
         lead = common_prefix(t, h)
         if len(t) <= 7 and (lead >= 3 or lead == 2 and len(t) == 3) and lead >= len(t) - 3 and self.given:
             return 4
-        if not self.given and lead >= 5 and lead >= len(t) - 6:
+        if not self.given and lead >= 6 and lead >= len(t) - 3:
             return 4
         if not self.given and t[0] == h[0] and len(t) <= 6 and len(t) < len(h) and in_order(t, h):
             return 5
@@ -213,7 +213,7 @@ def grams(c: str, q: int = 2) -> Column:
 
 
 def similar_keys(keys: DataFrame, jaccard: float = 0.5, accept: float = 0.86, head_weight: float = 0.2) -> DataFrame:
-    """Pairs (a, b) of rare parts under one (type, block) whose soft weighted similarity is ``accept`` or more.
+    """Pairs (a, b) of rare parts under one (type, block), or one of them under none, whose soft weighted similarity is ``accept`` or more.
 
     ``keys``: (type, block, rare, n). Each key is indexed under only so many of its rarest grams that two keys
     of the given Jaccard similarity must share one; the weight of a key's rare part against its heads is that
@@ -225,16 +225,26 @@ def similar_keys(keys: DataFrame, jaccard: float = 0.5, accept: float = 0.86, he
     w = Window.partitionBy("key").orderBy("df", "gram")
     prefix = flat.join(frequency, "gram").withColumn("at", F.row_number().over(w)).where(F.col("at") <= F.col("size") - F.ceil(F.col("size") * jaccard) + 1)
     side = prefix.select("type", "block", "gram", "key", "rare", "size")
-    pairs = side.alias("x").join(side.alias("y"), F.expr(f"x.type = y.type and x.block = y.block and x.gram = y.gram and x.key < y.key and least(x.size, y.size) >= {jaccard} * greatest(x.size, y.size)"))
-    a, b = F.col("x.rare"), F.col("y.rare")
-    pairs = pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), a.alias("ra"), b.alias("rb"), F.col("x.block").alias("block")).distinct()
-    d = F.levenshtein("ra", "rb")
-    swapped = (F.length("ra") == F.length("rb")) & (F.array_sort(F.split("ra", "")) == F.array_sort(F.split("rb", "")))
-    edits = F.when((d == 2) & swapped, F.lit(1)).otherwise(d)
-    alike = 1 - edits / F.greatest(F.length("ra"), F.length("rb"))
-    n = F.greatest(F.lit(1), F.size(F.split("block", " ")))
-    score = (alike + head_weight * n) / (1 + head_weight * n)
-    return pairs.where((score >= accept) & (edits <= 1)).select("a", "b")
+    near = f"x.type = y.type and x.gram = y.gram and least(x.size, y.size) >= {jaccard} * greatest(x.size, y.size)"
+    x, y = side.alias("x"), side.alias("y")
+    closed = x.join(y, F.expr(f"{near} and x.block = y.block and x.key < y.key"))
+    # a name without heads, such as a company's without its line of business, may be of any block
+    opened = side.where("block = ''").alias("x").join(side.where("block <> ''").alias("y"), F.expr(near))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        cols = [F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.rare").alias("ra"), F.col("y.rare").alias("rb"), F.col("y.block").alias("block")]
+        pairs = pairs.select(*cols).distinct()
+        d = F.levenshtein("ra", "rb")
+        swapped = (F.length("ra") == F.length("rb")) & (F.array_sort(F.split("ra", "")) == F.array_sort(F.split("rb", "")))
+        edits = F.when((d == 2) & swapped, F.lit(1)).otherwise(d)
+        alike = 1 - edits / F.greatest(F.length("ra"), F.length("rb"))
+        n = F.greatest(F.lit(1), F.size(F.split("block", " ")))
+        score = (alike + head_weight * n) / (1 + head_weight * n)
+        return pairs.where((score >= accept) & (edits <= 1))
+
+    # it is linked where all that are like it are of one block
+    single = verified(opened).groupBy("a").agg(F.min("b").alias("b"), F.count_distinct("block").alias("blocks")).where("blocks = 1")
+    return verified(closed).select("a", "b").unionByName(single.select("a", "b"))
 
 
 def entity_names(entities: DataFrame, types: tuple[str, ...] = ("Company", "Person")) -> DataFrame:
@@ -259,8 +269,8 @@ def linked_names(entities: DataFrame, types: tuple[str, ...] = ("Company", "Pers
     groups = linked_groups(own.unionByName(links), "a", "b")
     known = structure.withColumn("member_id", F.concat_ws("|", "type", "block", "rare")).join(groups, "member_id")
     # an initial stands for the group's given name where there is only one
-    names_in = known.where("given is not null").groupBy("group_id").agg(F.min("given").alias("lo"), F.max("given").alias("hi"))
-    full = known.join(names_in, "group_id", "left").withColumn("who", F.coalesce("given", F.when(F.col("lo") == F.col("hi"), F.col("lo")), F.lit("?")))
+    names_in = known.where("given <> ''").groupBy("group_id").agg(F.min("given").alias("lo"), F.max("given").alias("hi"))
+    full = known.join(names_in, "group_id", "left").withColumn("who", F.coalesce(F.when(F.col("given") != "", F.col("given")), F.when(F.col("lo") == F.col("hi"), F.col("lo")), F.lit("?")))
     nameless = (F.col("rare") == "") & (F.coalesce("given", F.lit("")) == "")
     key = F.when(nameless, F.concat_ws("|", "type", "name")).otherwise(F.concat_ws("|", "group_id", "who"))
     return ids.join(full.select("type", "name", key.alias("group_key")), ["type", "name"]).select("id", "group_key")
