@@ -151,3 +151,12 @@ def distinct_triples(paths: DataFrame, order: str = "rank") -> DataFrame:
     rows = paths.select(F.col(order).alias("rank"), F.posexplode("triples").alias("at", "t"))
     first = rows.groupBy("t.subj", "t.rel", "t.obj").agg(F.min(F.struct("rank", "at")).alias("first"), F.min_by("t.time", F.struct("rank", "at")).alias("time"))
     return first.select("first.rank", "first.at", "subj", "rel", "obj", "time")
+
+
+def shared_ends(*branches: DataFrame) -> DataFrame:
+    """End nodes (id, name) that every branch's paths reach: a true intersection, where the reference takes the last branch."""
+    ends = [b.select(F.element_at("node_ids", -1).alias("id"), F.element_at("node_names", -1).alias("name")) for b in branches]
+    out = ends[0]
+    for e in ends[1:]:
+        out = out.intersect(e)
+    return out.distinct()

@@ -39,3 +39,8 @@ def schema_overview(graph: Graph) -> DataFrame:
     """(kind, value): labels and relation types in use."""
     labels = graph.nodes.select(F.lit("label").alias("kind"), F.col("label").alias("value")).distinct()
     return labels.unionByName(graph.edges.select(F.lit("rel").alias("kind"), F.col("rel").alias("value")).distinct())
+
+
+def property_keys(nodes: DataFrame, label: str = "label", properties: str = "properties") -> DataFrame:
+    """(label, key): the property keys in use per label."""
+    return nodes.select(label, F.explode(F.map_keys(properties)).alias("key")).distinct()

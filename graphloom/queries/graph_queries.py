@@ -86,7 +86,7 @@ def j1_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return search.neighbours(_trade(spark, d), ["N1"]).select(*NEAR_COLUMNS)
 
 
-@query(trade(NEAR.format(id="P5", where="AND rel = 'ORDERED' AND x_in.t_announce >= '1996-01-01'".replace("x_in.", ""), limit=30)))
+@query(trade(NEAR.format(id="P5", where="AND rel = 'ORDERED' AND t_announce >= '1996-01-01'", limit=30)))
 def j1_neighbours_filtered(spark: SparkSession, d: str) -> DataFrame:
     return search.neighbours(_trade(spark, d), ["P5"], ["ordered"], after="1996-01-01").select(*NEAR_COLUMNS)
 
@@ -107,7 +107,7 @@ def _trails(start: str, rel: str | None = None) -> str:
     return TRAILS.format(start=start, rel=f"AND rel = '{rel}'" if rel else "", xrel=f"AND x.rel = '{rel}'" if rel else "")
 
 
-@query(trade(_trails("N1") + "SELECT 1::BIGINT AS hops, count(*)::BIGINT AS n FROM h1 UNION ALL SELECT 2, count(*) FROM h2 UNION ALL SELECT 3, count(*) FROM h3").replace(", h1 AS", ", h1 AS"))
+@query(trade(_trails("N1") + "SELECT 1::BIGINT AS hops, count(*)::BIGINT AS n FROM h1 UNION ALL SELECT 2, count(*) FROM h2 UNION ALL SELECT 3, count(*) FROM h3"))
 def j3_trail_counts(spark: SparkSession, d: str) -> DataFrame:
     hops = paths.trails(_trade(spark, d), ["N1"])
     parts = [h.groupBy().agg(F.count("*").alias("n")).select(F.lit(i).cast("long").alias("hops"), "n") for i, h in enumerate(hops, 1)]
@@ -149,11 +149,8 @@ def g4_neighbour_paths(spark: SparkSession, d: str) -> DataFrame:
 
 @query(trade(_trails("C2", None) + """, p AS (SELECT 1 AS hops, nodes, eids FROM h1 UNION ALL SELECT 2, nodes, eids FROM h2),
 f AS (SELECT * FROM p ORDER BY hops, list_aggregate(eids, 'string_agg', chr(1)), list_aggregate(nodes, 'string_agg', chr(1)) LIMIT 200),
-t AS (SELECT *, coalesce(list_bool_or(list_transform(eids, lambda x: coalesce((SELECT t_announce FROM edges WHERE edges.eid = x) >= '1996-01-01', false))), false) AS late FROM f)
-SELECT list_aggregate(nodes, 'string_agg', '>') AS nodes, round(least(1, greatest(0, 0.35 * 0.75 + 0.25 * 0.9 + 0.20 * (CASE WHEN late THEN 1.0 ELSE 0.2 END) - 0.20 * 0.08 * (hops - 1))), 4)::DOUBLE AS score FROM t""".replace(
-    "coalesce(list_bool_or(list_transform(eids, lambda x: coalesce((SELECT t_announce FROM edges WHERE edges.eid = x) >= '1996-01-01', false))), false) AS late FROM f",
-    "EXISTS (SELECT 1 FROM edges WHERE list_contains(f.eids, edges.eid) AND edges.t_announce >= '1996-01-01') AS late FROM f",
-)))
+t AS (SELECT *, EXISTS (SELECT 1 FROM edges WHERE list_contains(f.eids, edges.eid) AND edges.t_announce >= '1996-01-01') AS late FROM f)
+SELECT list_aggregate(nodes, 'string_agg', '>') AS nodes, round(least(1, greatest(0, 0.35 * 0.75 + 0.25 * 0.9 + 0.20 * (CASE WHEN late THEN 1.0 ELSE 0.2 END) - 0.20 * 0.08 * (hops - 1))), 4)::DOUBLE AS score FROM t"""))
 def g6_path_scores(spark: SparkSession, d: str) -> DataFrame:
     found = paths.find_paths(_trade(spark, d), ["C2"], max_hops=2, top_k=200)
     return paths.score_paths(found, 0.9, after="1996-01-01", top_k=None).select(F.array_join("node_ids", ">").alias("nodes"), "score")
@@ -241,3 +238,59 @@ def a11_source_union(spark: SparkSession, d: str) -> DataFrame:
 FROM relationships WHERE props.sentiment NOT BETWEEN -1 AND 1 OR props.impact_magnitude NOT BETWEEN 0 AND 1 OR props.confidence NOT BETWEEN 0 AND 1 OR props.prominence NOT BETWEEN 0 AND 1""")
 def m0_range_errors(spark: SparkSession, d: str) -> DataFrame:
     return graph.edge_property_errors(table(spark, d, "relationships")).select("edge_no", "out_of_range")
+
+
+@query("SELECT DISTINCT entity_type AS label, unnest(map_keys(props)) AS key FROM entities WHERE props IS NOT NULL")
+def s18_property_keys(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "entities").where("props is not null").select(F.col("entity_type").alias("label"), F.col("props").alias("properties"))
+    return stats.property_keys(e)
+
+
+@query(trade(_trails("N1") + ", g1 AS (SELECT a AS s, b AS last FROM adj WHERE a = 'N2' AND a <> b), g2 AS (SELECT x.b AS last FROM g1 JOIN adj x ON x.a = g1.last WHERE x.b <> 'N2') SELECT DISTINCT id, name FROM nodes WHERE id IN (SELECT last FROM h2) AND id IN (SELECT last FROM g2)"))
+def u6_shared_ends(spark: SparkSession, d: str) -> DataFrame:
+    g = _trade(spark, d)
+    return paths.shared_ends(*[paths.describe(g, paths.trails(g, [n], max_hops=2)[1]) for n in ("N1", "N2")])
+
+
+@query(trade(_trails("C1", "LOCATED_IN") + """, p AS (SELECT 1 AS hops, nodes, eids FROM h1 UNION ALL SELECT 2, nodes, eids FROM h2), f AS (SELECT *, row_number() OVER (ORDER BY hops, list_aggregate(eids, 'string_agg', chr(1)), list_aggregate(nodes, 'string_agg', chr(1))) AS rank FROM p QUALIFY rank <= 60),
+t AS (SELECT rank, i, n.name AS subj, m.name AS obj FROM f, unnest(range(1, len(nodes))) AS u(i) JOIN nodes n ON n.id = nodes[i] JOIN nodes m ON m.id = nodes[i + 1])
+SELECT subj, 'LOCATED_IN' AS rel, obj, min(rank)::BIGINT AS rank FROM t GROUP BY subj, obj"""))
+def w11_distinct_triples(spark: SparkSession, d: str) -> DataFrame:
+    from graphloom.operators.clean import ranked
+
+    found = paths.find_paths(_trade(spark, d), ["C1"], rel_types=["LOCATED_IN"], max_hops=2, top_k=60)
+    order = [F.col("hops"), F.array_join("eids", "\x01"), F.array_join("node_ids", "\x01")]
+    return paths.distinct_triples(ranked(found, order)).select("subj", "rel", "obj", F.col("rank").cast("long").alias("rank"))
+
+
+@query(knowledge("""SELECT DISTINCT id, name, label, 0.85::DOUBLE AS score, 'alias' AS match_type FROM (SELECT n.id, name, label, coalesce(g.degree, 0) AS degree FROM nodes n LEFT JOIN (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY id) g USING (id)
+  WHERE contains(lower(name), 'pharmaceutical') OR contains(lower(name), 'sun pharmaceutical') OR contains(lower(name), 'cipla') ORDER BY degree DESC, id LIMIT 5)"""))
+def t4_resolve_alias(spark: SparkSession, d: str) -> DataFrame:
+    return search.resolve(_kg(spark, d), "the pharma", 5).withColumn("score", F.col("score").cast("double"))
+
+
+@query()
+def t3_resolve_fuzzy(spark: SparkSession, d: str) -> DataFrame:
+    return search.resolve(_kg(spark, d), "Horekebru Papr Mlls")
+
+
+@query()
+def t2_close_names(spark: SparkSession, d: str) -> DataFrame:
+    return search.close_names(_kg(spark, d).nodes, "Horekebru Paper Mils Limited")
+
+
+FACTS = """(SELECT source AS s, CASE WHEN edge_no % 3 = 0 THEN 'Company' WHEN edge_no % 3 = 1 THEN 'Thing' ELSE 'Person' END AS kind, target AS o, predicate, props.confidence AS confidence FROM relationships
+  WHERE source IS NOT NULL AND target IS NOT NULL AND lower(trim(source)) NOT IN ('', 'none', 'null', 'n/a', 'unknown') AND lower(trim(target)) NOT IN ('', 'none', 'null', 'n/a', 'unknown'))"""
+
+
+@query(f"""WITH f AS (SELECT trim(s) AS s, CASE WHEN kind = 'Thing' THEN 'Indicator' ELSE kind END AS kind, trim(o) AS o, coalesce(confidence, 0.8) AS c FROM {FACTS}), n AS (SELECT s AS name, kind AS label, c FROM f UNION ALL SELECT o, 'Company', c FROM f)
+SELECT replace(replace(upper(name), ' ', '_'), '-', '_')[:32] || '_' || sha256(lower(name) || '::' || lower(label))[:8] AS id, min(name) AS name, label, round(max(c), 4)::DOUBLE AS confidence FROM n GROUP BY 1, label""")
+def g16_facts_to_nodes(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "relationships")
+    kind = F.when(F.col("edge_no") % 3 == 0, "Company").when(F.col("edge_no") % 3 == 1, "Thing").otherwise("Person")
+    time = F.lit(None).cast("struct<t_announce:string,t_effective:string,t_observe:string,t_impact:string>")
+    facts = r.select(
+        F.col("source").alias("subject"), kind.alias("subject_type"), "predicate", F.col("target").alias("object"), F.lit("Company").alias("object_type"), F.col("props.confidence").alias("confidence"),
+        F.col("props.sentiment").alias("sentiment"), time.alias("temporal"), F.lit(None).cast("string").alias("source_text"),
+    )
+    return graph.facts_to_graph(facts).nodes.select("id", "name", "label", F.round("confidence", 4).alias("confidence"))

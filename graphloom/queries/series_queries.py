@@ -124,7 +124,8 @@ def w13_chunks(spark: SparkSession, d: str) -> DataFrame:
     return series.chunks(table(spark, d, "events").select("event_id"), 64, "event_id").select("event_id", F.col("chunk").cast("long").alias("chunk"))
 
 
-@query("SELECT event_type, user_id, n::BIGINT AS n, strftime(lo, '%Y-%m-%d %H:%M:%S') AS start FROM (SELECT user_id, min(event_type) AS event_type, count(*) AS n, min(ts) AS lo FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s)".replace("min(event_type) AS event_type, ", "").replace("SELECT event_type, user_id", "SELECT user_id"))
+@query("""SELECT user_id, n::BIGINT AS n, strftime(lo, '%Y-%m-%d %H:%M:%S') AS start FROM (SELECT user_id, count(*) AS n, min(ts) AS lo FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s
+  FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s)""")
 def x3_sessions(spark: SparkSession, d: str) -> DataFrame:
     from graphloom.streaming.sessions import sessions
 
@@ -205,6 +206,6 @@ def r1_merge_attributes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").select(k.alias("id"), m["confidence"].cast("double").alias("confidence"), m["role"].alias("role"))
 
 
-@query("SELECT p_partkey, 'BRAND had a closing price of ₹'.replace('BRAND', p_brand) || p_size || ' on 2024-01-01 according to historical records.' AS sentence FROM part".replace("'BRAND had a closing price of ₹'.replace('BRAND', p_brand)", "p_brand || ' had a closing price of ₹'"))
+@query("SELECT p_partkey, p_brand || ' had a closing price of ₹' || p_size || ' on 2024-01-01 according to historical records.' AS sentence FROM part")
 def s4_history_sentences(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", readers.history_sentence(F.col("p_brand"), F.col("p_size").cast("string"), F.lit("2024-01-01")).alias("sentence"))

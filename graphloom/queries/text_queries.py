@@ -188,7 +188,7 @@ def t5_aliases(spark: SparkSession, d: str) -> DataFrame:
     return _asked(spark, d).select("item_id", F.array_join(text.aliases(F.col("question")), ",").alias("names")).where("names <> ''")
 
 
-@query(f"""SELECT request_id, regexp_replace(message, '(?i)\\b(they|their|them|it|its|the company|this company|that company)\\b', 'R$1 & Sons', 'g') AS resolved FROM {TEXTS}""".replace("R$1", "R$1"))
+@query(f"""SELECT request_id, regexp_replace(message, '(?i)\\b(they|their|them|it|its|the company|this company|that company)\\b', 'R$1 & Sons', 'g') AS resolved FROM {TEXTS}""")
 def t13_pronouns(spark: SparkSession, d: str) -> DataFrame:
     # the name holds a dollar sign, which must not be taken for a group
     return _chats(spark, d).select("request_id", text.resolve_pronouns(F.col("message"), F.lit("R$1 & Sons"), F.lit(None).cast("string")).alias("resolved"))
@@ -275,7 +275,7 @@ def j13_path_match(spark: SparkSession, d: str) -> DataFrame:
     return e.select("item_id", evaluate.path_match(F.col("gold_path"), found).alias("hit"))
 
 
-@query("""SELECT count(*)::BIGINT AS n, round(avg((item_id % 3 = 0)::INT), 4)::DOUBLE AS exact_match, list_sort(list(item_id * 1.5))[(len(list(item_id)) * 0.5)::INT + 1]::DOUBLE AS p50, list_sort(list(item_id * 1.5))[floor(len(list(item_id)) * 0.95)::INT + 1]::DOUBLE AS p95 FROM eval_items""".replace("(len(list(item_id)) * 0.5)::INT + 1", "floor(len(list(item_id)) * 0.5)::INT + 1"))
+@query("""SELECT count(*)::BIGINT AS n, round(avg((item_id % 3 = 0)::INT), 4)::DOUBLE AS exact_match, list_sort(list(item_id * 1.5))[floor(len(list(item_id)) * 0.5)::INT + 1]::DOUBLE AS p50, list_sort(list(item_id * 1.5))[floor(len(list(item_id)) * 0.95)::INT + 1]::DOUBLE AS p95 FROM eval_items""")
 def a12_report(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "eval_items").select(
         F.lit("x").alias("gold_answer"), F.when(F.col("item_id") % 3 == 0, " X ").otherwise("y").alias("answer"), "gold_path", F.array(F.struct(F.lit("a").alias("rel"), F.lit("b").alias("obj"))).alias("triples"), F.lit(1.0).alias("faithful"), (F.col("item_id") * 1.5).alias("latency")
@@ -314,3 +314,14 @@ def w8_session_contexts(spark: SparkSession, d: str) -> DataFrame:
     turns = table(spark, d, "chat_requests").where("session_id is not null").select("session_id", "request_id").distinct()
     turns = turns.withColumn("entities", F.array(F.concat(F.lit("e"), (F.col("request_id") % 7).cast("string")), F.concat(F.lit("e"), (F.col("request_id") % 3).cast("string"))))
     return contexts(turns, order="request_id").select("session_id", "request_id", F.array_join("context", ",").alias("context"))
+
+
+@query("SELECT 0 AS source_rank, 'part' AS source, p_partkey AS seq, p_name AS section FROM part UNION ALL SELECT 2, 'nation', n_nationkey, n_name FROM nation")
+def u2_union_sources(spark: SparkSession, d: str) -> DataFrame:
+    rows = lambda t, k, c: table(spark, d, t).select(F.col(k).alias("seq"), F.col(c).alias("section"))
+    return readers.union_sources({"part": rows("part", "p_partkey", "p_name"), "region": rows("region", "r_regionkey", "r_name"), "nation": rows("nation", "n_nationkey", "n_name")}, ["part", "nation"])
+
+
+@query(f"SELECT DISTINCT name, regexp_matches(trim(name), {_q(vocab.RESULT_NOISE)}) AS noise FROM entities WHERE name IS NOT NULL")
+def f11_result_noise(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "entities").where("name is not null").select("name", text.is_result_noise(F.col("name")).alias("noise")).distinct()

@@ -104,6 +104,19 @@ def first_available(*sources: Callable[[], DataFrame]) -> DataFrame:
     raise ValueError("no source given")
 
 
+def union_sources(sources: dict[str, DataFrame], chosen: Sequence[str] | None = None) -> DataFrame:
+    """Sections (seq, section) of the chosen sources in their given order, with the source's name and rank."""
+    out = None
+    for rank, (name, rows) in enumerate(sources.items()):
+        if chosen and name not in chosen:
+            continue
+        part = rows.select(F.lit(rank).alias("source_rank"), F.lit(name).alias("source"), F.col("seq").cast("long").alias("seq"), "section")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no source chosen")
+    return out
+
+
 def with_ids(rows: DataFrame, prefix: str, *order: str) -> DataFrame:
     """Synthetic ids prefix_0, prefix_1, ... in order."""
     return numbered(rows, *order).withColumn("id", F.concat(F.lit(prefix + "_"), (F.col("rn") - 1).cast("string"))).drop("rn")

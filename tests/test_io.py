@@ -210,3 +210,31 @@ def test_orphans_empty_and_clashing(spark):
     assert track(edges, ents, gone).found().count() == 0
     edges = spark.createDataFrame([(1, "x", "y", at(1), "id", "w"), (1, "x", "y", at(1), "id", "w"), (2, "x", "y", None, None, None)], edges.schema)
     assert track(edges, ents, gone, keep_references=True).found().count() == 4
+
+
+def test_profiles(spark):
+    from graphloom.operators import profiles
+
+    rows = spark.createDataFrame([("u1", "A", None), ("u2", "B", "Odd")], "id string, name string, investor_type string")
+    full = profiles.with_defaults(rows)
+    assert full.where("id = 'u1'").first()["investor_type"] == "Retail" and full.first()["risk_appetite"] == "Medium"
+    assert [(r["id"], r["check"]) for r in profiles.violations(full).collect()] == [("u2", "investor_type")]
+    assert profiles.maybe_one(profiles.visible_to(full, "u1"))["name"] == "A" and profiles.maybe_one(profiles.visible_to(full, "nobody")) is None
+    with pytest.raises(ValueError):
+        profiles.maybe_one(full)
+    changed = profiles.update(full, "u2", investor_type="Student")
+    assert profiles.violations(changed).count() == 0 and profiles.columns(changed)[0] == ("id", "string")
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from graphloom.__main__ import main
+
+    f = tmp_path / "g.json"
+    f.write_text(json.dumps({"nodes": [{"id": "a", "name": "Zentara Mills", "label": "Company"}, {"id": "b", "name": "Zentara Mills Ltd", "label": "Company"}, {"id": "c", "name": "Carl", "label": "Person"}], "edges": [{"source": "a", "target": "c", "type": "led by"}, {"source": "b", "target": "c", "type": "led by"}]}))
+    main(["clean", str(f), "--dry-run"])
+    main(["clean", str(f), "--out", str(tmp_path), "--version", "clean"])
+    main(["merge", str(tmp_path / "clean"), "--out", str(tmp_path), "--version", "merged"])
+    main(["stats", str(tmp_path / "merged")])
+    assert sinks.read_graph(spark, str(tmp_path / "merged")).nodes.count() == 2
+    main(["ask", str(tmp_path / "merged"), "Who is Carl?"])
+    assert "Zentara" in capsys.readouterr().out
