@@ -70,3 +70,45 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.defective_pairs(table(spark, d, "parallel_pairs")).select("pair_id", "defect").distinct()
+
+
+ORACLE["p2_found"] = """
+WITH v AS (
+  SELECT id, any_value(embedding)::DOUBLE[] AS v FROM entities WHERE id IS NOT NULL AND len(embedding) = 64
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY id
+), s AS (SELECT a.id, b.id AS neighbour_id, round(list_cosine_similarity(a.v, b.v), 9) AS similarity FROM v a JOIN v b ON a.id <> b.id)
+SELECT id, neighbour_id FROM s WHERE similarity >= 0.8 QUALIFY row_number() OVER (PARTITION BY id ORDER BY similarity DESC, neighbour_id) <= 5
+"""
+
+
+def _folded(c: str) -> str:
+    """Lower case; decimal points and minus signs before digits as D and M; all else but letters and digits dropped."""
+    kept = f"lower({c})"
+    for _ in range(2):
+        kept = rf"regexp_replace({kept}, '([0-9])\.([0-9])', '\1D\2', 'g')"
+    return rf"regexp_replace(regexp_replace({kept}, '-([0-9])', 'M\1', 'g'), '[^a-z0-9DM]', '', 'g')"
+
+
+ORACLE["p5_found"] = f"""
+WITH f AS (
+  SELECT edge_no, upper(trim(coalesce(source, ''))) AS s, upper(trim(coalesce(target, ''))) AS t, {_folded("coalesce(predicate, '')")} AS p, {_folded("coalesce(name, '')")} AS n,
+    list_sort(list_transform(json_keys(custom), lambda k: {_folded("k")} || '=' || {_folded("json_extract_string(custom, '$.' || k)")})) AS c FROM relationships
+), g AS (SELECT edge_no, min(edge_no) OVER (PARTITION BY s, t, p, n, c) AS kept_no FROM f)
+SELECT kept_no, edge_no AS copy_no FROM g WHERE edge_no > kept_no
+"""
+
+ORACLE["p9_found"] = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+d AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i + 9], ' '))) AS gram FROM w WHERE len(w) >= 10),
+f AS (SELECT item_id, unnest([question, gold_answer, context]) AS text FROM eval_items),
+x AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM f WHERE text IS NOT NULL),
+i AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i + 9], ' '))) AS gram FROM x WHERE len(w) >= 10)
+SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (gram)
+"""
+
+ORACLE["p10_found"] = """
+WITH g AS (SELECT doc_id, i, substring(text, i, 240) AS gram FROM (SELECT doc_id, text, unnest(range(1, length(text) - 238)) AS i FROM documents WHERE length(text) >= 240)),
+s AS (SELECT gram FROM g GROUP BY gram HAVING min(doc_id) < max(doc_id)),
+h AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM g JOIN s USING (gram))
+SELECT doc_id, sum(least(240, coalesce(next - i, 240)))::BIGINT AS shared_chars FROM h GROUP BY doc_id
+"""
