@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from graphloom import vocab
 from graphloom.functions import text
@@ -49,7 +50,7 @@ def add_sources(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, F.explode("sources").alias("s")).distinct().groupBy(*keys).agg(F.array_sort(F.collect_list("s")).alias("sources"))
 
 
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def _ratio(a: pd.Series, b: pd.Series, least: float) -> pd.Series:
     from difflib import SequenceMatcher
 
     # the second text is indexed by the matcher; pairs come sorted by it, so it is indexed once per run of equal ones
@@ -59,17 +60,17 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
             matcher.set_seq2(y)
             last = y
         matcher.set_seq1(x)
-        out.append(matcher.ratio())
+        out.append(matcher.ratio() if matcher.quick_ratio() >= least else 0.0)
     return pd.Series(out)
 
 
-def ratio(a: Column, b: Column) -> Column:
-    """Ratcliff-Obershelp ratio of two columns; it isn't symmetric."""
+def ratio(a: Column, b: Column, least: float = 0.0) -> Column:
+    """Ratcliff-Obershelp ratio of two columns, or 0 where it must be below ``least``; it isn't symmetric."""
 
     @F.pandas_udf("double")
     def f(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for x, y in batches:
-            yield _ratio(x, y)
+            yield _ratio(x, y, least)
 
     return f(a, b)
 
@@ -79,6 +80,22 @@ def length_bound(a: Column, b: Column) -> Column:
     return 2 * F.least(F.length(a), F.length(b)) / (F.length(a) + F.length(b))
 
 
+def gram_prefix(names: DataFrame, key: list[str], c: str, threshold: float) -> DataFrame:
+    """(*key, gram): as many of each name's rarest bigrams as two names of that ratio must share one of.
+
+    A ratio r of texts of mean length m means at least r m matched letters in at most (2 - 2 r) m + 1 blocks, hence at
+    least (3 r - 2) m - 1 common bigrams, repeats numbered. So no pair of that ratio is lost.
+    """
+    n = F.length(c)
+    raw = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(F.col(c), i, F.lit(2)))
+    grams = names.where(n >= 2).select(*key, n.alias("_n"), raw.alias("_g")).select(*key, "_n", F.posexplode("_g").alias("_i", "_g"))
+    grams = grams.withColumn("gram", F.concat_ws("#", "_g", F.row_number().over(Window.partitionBy(*key, "_g").orderBy("_i")).cast("string")))
+    df = grams.groupBy("gram").agg(F.count("*").alias("_df"))
+    shared = F.greatest(F.lit(1), F.ceil((3 * threshold - 2) * (1 + threshold / (2 - threshold)) / 2 * F.col("_n") - 1))
+    at = F.row_number().over(Window.partitionBy(*key).orderBy("_df", "gram"))
+    return grams.join(df, "gram").withColumn("_at", at).where(F.col("_at") <= F.col("_n") - 1 - shared + 1).select(*key, "gram")
+
+
 def block_pairs(nodes: DataFrame, prefix: int = 3) -> DataFrame:
     """Pairs of distinct normal names of one label that share a prefix: (label, a, b).
 
@@ -102,7 +119,8 @@ def similar_pairs(pairs: DataFrame, threshold: float = 0.88, indicator: float =
     if measure == "levenshtein":
         return p.where(1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b")) >= least)
     p = p.where(length_bound(F.col("a"), F.col("b")) >= least)
-    return p.where(F.greatest(ratio(F.col("a"), F.col("b")), ratio(F.col("b"), F.col("a"))) >= least)
+    lowest = min(threshold, indicator)
+    return p.where(F.greatest(ratio(F.col("a"), F.col("b"), lowest), ratio(F.col("b"), F.col("a"), lowest)) >= least)
 
 
 def name_groups(nodes: DataFrame, threshold: float = 0.88, indicator: float = 0.92, measure: str = "ratio") -> DataFrame:
@@ -154,17 +172,28 @@ def incremental_matches(new: DataFrame, known: DataFrame, eps: float = 0.85, mea
     letters. Alike by ratio, or equal but for suffixes; noise names match nothing; never across labels."""
     ready = lambda df: df.where(~text.is_build_noise(F.col("name"))).select("id", "label", F.lower(F.trim("name")).alias("n"), text.strip_legal_suffixes(F.col("name")).alias("s"))
     x, y = ready(new), ready(known)
-    within = x.alias("x").join(x.alias("y"), F.expr("x.label = y.label and x.id < y.id"))
+    least = max(0.85, eps)
+    # all new pairs of a label that can be alike share a rare bigram; those equal but for suffixes share the rest
+    names = x.select("label", "n").distinct()
+    g = gram_prefix(names, ["label", "n"], "n", least)
+    near = g.join(g.select("label", "gram", F.col("n").alias("m")), ["label", "gram"]).where("n <= m").select("label", "n", "m").distinct()
+    rest = x.where(F.length("s") >= 4).select("label", "n", "s").distinct()
+    same_rest = rest.join(rest.select("label", "s", F.col("n").alias("m")), ["label", "s"]).where("n <= m").select("label", "n", "m")
+    pairs = near.unionByName(same_rest).unionByName(names.select("label", "n", F.col("n").alias("m"))).distinct().alias("p")
+    both = pairs.join(x.alias("x"), F.expr("x.label = p.label and x.n = p.n")).join(x.alias("y"), F.expr("y.label = p.label and y.n = p.m"))
+    # the ratio is taken from the lesser id to the greater, whichever name comes first
+    first, second = F.struct("x.*"), F.struct("y.*")
+    both = both.where("x.id <> y.id and (p.n <> p.m or x.id < y.id)").select(F.when(F.col("x.id") < F.col("y.id"), first).otherwise(second).alias("x"), F.when(F.col("x.id") < F.col("y.id"), second).otherwise(first).alias("y"))
+    within = both
     across = x.withColumn("k", F.substring("n", 1, 4)).alias("x").join(y.withColumn("k", F.substring("n", 1, 4)).alias("y"), F.expr("x.label = y.label and x.k = y.k and x.id <> y.id"))
     cols = [F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"), F.col("x.s").alias("sa"), F.col("y.s").alias("sb")]
     pairs = within.select(*cols).unionByName(across.select(*cols))
-    least = max(0.85, eps)
     same = (F.col("sa") == F.col("sb")) & (F.length("sa") >= 4)
     if measure == "levenshtein":
         alike = 1 - F.levenshtein("na", "nb") / F.greatest(F.length("na"), F.length("nb")) >= least
         return pairs.where(same | alike).select("a", "b")
     maybe = pairs.where(same | (length_bound(F.col("na"), F.col("nb")) >= least))
-    return maybe.where(same | (ratio(F.col("na"), F.col("nb")) >= least)).select("a", "b")
+    return maybe.where(same | (ratio(F.col("na"), F.col("nb"), least) >= least)).select("a", "b")
 
 
 def pick_incremental(members: DataFrame) -> DataFrame:

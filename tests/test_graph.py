@@ -142,6 +142,27 @@ def test_incremental_matches(spark):
     assert {tuple(r) for r in merge.incremental_matches(new, old).collect()} == {("n1", "n2"), ("n1", "o1")}
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_incremental_matches_lose_no_pair(spark, seed):
+    from difflib import SequenceMatcher
+
+    r = random.Random(seed)
+    word = lambda n: "".join(r.choice("abcd") for _ in range(n))
+    names = [word(r.randint(1, 12)) for _ in range(60)]
+    names += [n[:i] + r.choice("abcd") + n[i + r.randint(0, 1) :] for n in names for i in [r.randint(0, len(n))]]
+    names = [n.upper() for n in names] + ["Abcabc Ltd", "ABCABC LIMITED"]
+    rows = [(f"{i:03d}", n, "Company") for i, n in enumerate(names)]
+    df = spark.createDataFrame(rows, "id string, name string, label string")
+    strip = lambda n: n.lower().removesuffix(" ltd").removesuffix(" limited")
+    want = {
+        (a, b)
+        for a, x, _ in rows
+        for b, y, _ in rows
+        if a < b and len(x) > 1 and len(y) > 1 and (strip(x) == strip(y) and len(strip(x)) >= 4 or SequenceMatcher(None, x.lower(), y.lower()).ratio() >= 0.85)
+    }
+    assert {tuple(p) for p in merge.incremental_matches(df, df.limit(0)).collect()} == want
+
+
 def test_upsert_keeps_old_where_new_is_null(spark):
     old = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], "id int, name string, v double")
     new = spark.createDataFrame([(2, None, 5.0), (3, "c", 3.0), (3, "d", 4.0)], "id int, name string, v double")
