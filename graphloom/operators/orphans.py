@@ -33,7 +33,7 @@ REFERENCE = "ref_no long, side string, id string, at timestamp"
 def reference_id(c: str | Column) -> Column:
     """An id without outer spaces and case; null where blank."""
     c = F.col(c) if isinstance(c, str) else c
-    t = F.upper(F.regexp_replace(c, r"^[\s ]+|[\s ]+$", ""))
+    t = F.upper(F.regexp_replace(c, r"^[\s\u00A0]+|[\s\u00A0]+$", ""))
     return F.when(t != "", t)
 
 

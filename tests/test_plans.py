@@ -123,3 +123,9 @@ def test_token_functions(spark):
 def test_suffix_pass_order(spark):
     r = spark.range(1).select(text.strip_legal_suffixes(F.lit("  Acme   Pvt Ltd. ")).alias("a"), text.strip_legal_suffixes(F.lit("Acme Ltd Private")).alias("b")).first()
     assert r["a"] == "acme" and r["b"] == "acme ltd"
+
+
+def test_report_of_nothing(spark):
+    t = "array<struct<rel:string,obj:string>>"
+    r = evaluate.report(spark.createDataFrame([], f"gold_answer string, answer string, gold_path {t}, triples {t}, faithful double, latency double")).first()
+    assert r["n"] == 0 and r["p50"] is None and r["exact_match"] is None
