@@ -212,20 +212,20 @@ def grams(c: str, q: int = 2) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - (q - 1)), lambda i: padded.substr(i, F.lit(q))))
 
 
-def similar_keys(keys: DataFrame, jaccard: float = 0.5, accept: float = 0.86, head_weight: float = 0.2) -> DataFrame:
+def similar_keys(keys: DataFrame, typos: int = 1, accept: float = 0.86, head_weight: float = 0.2) -> DataFrame:
     """Pairs (a, b) of rare parts under one (type, block), or one of them under none, whose soft weighted similarity is ``accept`` or more.
 
-    ``keys``: (type, block, rare, n). Each key is indexed under only so many of its rarest grams that two keys
-    of the given Jaccard similarity must share one; the weight of a key's rare part against its heads is that
-    of their inverse document frequencies.
+    ``keys``: (type, block, rare). A typo changes at most three bigrams (swapped letters), so keys of that many typos share
+    all but three bigrams for each, and one of the three times that and one rarest of either: those index a key. The
+    weight of a key's rare part against its heads is that of their inverse document frequencies.
     """
     k = keys.where(F.length("rare") > 3).withColumn("g", grams("rare")).withColumn("key", F.concat_ws("|", "type", "block", "rare"))
-    flat = k.select("type", "block", "key", "rare", F.size("g").alias("size"), F.explode("g").alias("gram"))
+    flat = k.select("type", "block", "key", "rare", F.length("rare").alias("len"), F.explode("g").alias("gram"))
     frequency = flat.groupBy("gram").agg(F.count("*").alias("df"))
     w = Window.partitionBy("key").orderBy("df", "gram")
-    prefix = flat.join(frequency, "gram").withColumn("at", F.row_number().over(w)).where(F.col("at") <= F.col("size") - F.ceil(F.col("size") * jaccard) + 1)
-    side = prefix.select("type", "block", "gram", "key", "rare", "size")
-    near = f"x.type = y.type and x.gram = y.gram and least(x.size, y.size) >= {jaccard} * greatest(x.size, y.size)"
+    prefix = flat.join(frequency, "gram").withColumn("at", F.row_number().over(w)).where(F.col("at") <= 3 * typos + 1)
+    side = prefix.select("type", "block", "gram", "key", "rare", "len")
+    near = f"x.type = y.type and x.gram = y.gram and abs(x.len - y.len) <= {typos}"
     x, y = side.alias("x"), side.alias("y")
     closed = x.join(y, F.expr(f"{near} and x.block = y.block and x.key < y.key"))
     # a name without heads, such as a company's without its line of business, may be of any block
@@ -240,7 +240,7 @@ def similar_keys(keys: DataFrame, jaccard: float = 0.5, accept: float = 0.86, he
         alike = 1 - edits / F.greatest(F.length("ra"), F.length("rb"))
         n = F.greatest(F.lit(1), F.size(F.split("block", " ")))
         score = (alike + head_weight * n) / (1 + head_weight * n)
-        return pairs.where((score >= accept) & (edits <= 1))
+        return pairs.where((score >= accept) & (edits <= typos))
 
     # it is linked where all that are like it are of one block
     single = verified(opened).groupBy("a").agg(F.min("b").alias("b"), F.count_distinct("block").alias("blocks")).where("blocks = 1")
