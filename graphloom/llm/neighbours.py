@@ -52,6 +52,9 @@ def usable(vectors: DataFrame, id: str, vector: str, dim: int) -> DataFrame:
     return vectors.where(ok).select(F.col(id).alias("id"), v.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
 
 
+SPREAD = "key long, cell int, side byte, id string, v array<float>, own int"
+
+
 def _codes(rotation: np.ndarray, s: int, m: int, blocks: dict[tuple[int, int], int]):
     """(table and substring, block, query or member, id, vector) rows of each vector."""
     weights = (1 << np.arange(s)).astype(np.int64)
@@ -82,7 +85,7 @@ def _spread(batch: pa.RecordBatch, key: np.ndarray, own: np.ndarray, blocks: dic
         cell = lo * n[row] + hi
         side = np.where(q == other, 2, (q > other).astype(np.int64))
         take = pa.array(row)
-        yield pa.RecordBatch.from_arrays([pa.array(k[row]), pa.array(cell.astype(np.int32)), pa.array(side.astype(np.int8)), batch.column(0).take(take), batch.column(1).take(take)], names=["key", "cell", "side", "id", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(k[row]), pa.array(cell.astype(np.int32)), pa.array(side.astype(np.int8)), batch.column(0).take(take), batch.column(1).take(take), pa.array(own[row].astype(np.int32))], names=["key", "cell", "side", "id", "v", "own"])
 
 
 def _compare(k: int, bound: float):
@@ -162,7 +165,7 @@ def _compare(k: int, bound: float):
     return run
 
 
-def nearest(vectors: DataFrame, id: str = "id", vector: str = "embedding", dim: int = 64, k: int = 5, similarity: float = 0.8, miss: float = 0.02, sample: int = 20_000, block: int = 2048, bucket: int = 64) -> DataFrame:
+def nearest(vectors: DataFrame, id: str = "id", vector: str = "embedding", dim: int = 64, k: int = 5, similarity: float = 0.8, miss: float = 0.02, sample: int = 20_000, block: int = 2048, bucket: int = 64, most_split: int = 100_000) -> DataFrame:
     """(id, neighbour_id, similarity): the at most ``k`` other ids of cosine similarity ``similarity`` and more.
 
     Vectors that are null, of another length, all zero or hold NaN take no part; of several vectors of an id the
@@ -178,7 +181,7 @@ def nearest(vectors: DataFrame, id: str = "id", vector: str = "embedding", dim:
     x = np.array([r["v"] for r in rows], np.float64).reshape(len(rows), dim)
     x /= np.linalg.norm(x, axis=1)[:, None] if len(x) else 1
     rotation = learn_rotations(x, s * m) if len(x) else np.zeros((dim, s * m))
-    # buckets beyond ``block``, at most n * m / block of them and few of those, are split into cells
+    # buckets beyond ``block`` are split into cells: by a lookup if there are at most ``most_split`` of them, else by a join
     weights = (1 << np.arange(s)).astype(np.int64)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,9 +191,16 @@ def nearest(vectors: DataFrame, id: str = "id", vector: str = "embedding", dim:
             v, c = np.unique(key, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(c)], names=["key", "n"])
 
-    large = own.select("v").mapInArrow(keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > block)
-    blocks = {r["key"]: -(-r["n"] // block) for r in large.collect()}
-    spread = own.select("id", "v", "own").mapInArrow(_codes(rotation, s, m, blocks), "key long, cell int, side byte, id string, v array<float>")
+    large = cuts.cut(own.select("v").mapInArrow(keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > block))
+    few = large.count() <= most_split
+    blocks = {r["key"]: -(-r["n"] // block) for r in large.collect()} if few else {}
+    spread = own.select("id", "v", "own").mapInArrow(_codes(rotation, s, m, blocks), SPREAD)
+    if not few:
+        n_blocks = F.coalesce(F.ceil(F.col("n") / block).cast("int"), F.lit(1))
+        cells = spread.drop("cell", "side").join(large, "key", "left").withColumn("n", n_blocks).withColumn("q", F.pmod("own", "n")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        cell = F.least("q", "other") * F.col("n") + F.greatest("q", "other")
+        spread = cells.select("key", cell.cast("int").alias("cell"), F.when(F.col("q") == F.col("other"), 2).when(F.col("q") > F.col("other"), 1).otherwise(0).cast("byte").alias("side"), "id", "v", "own")
+    spread = spread.drop("own")
     parts = max(spark.sparkContext.defaultParallelism * 2, n * m // 100_000)
     lists = spread.repartition(parts, "key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_compare(k, similarity), "id string, neighbour_id string, similarity double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour_id"))

@@ -75,6 +75,8 @@ def test_neighbours_recall_and_bad_vectors(spark):
     assert ("d7", "d0") in found and ("d7", "d6") not in found  # ties go to the smaller id
     split = {tuple(x) for x in neighbours.nearest(vectors(spark, rows + same), dim=16, block=7).select("id", "neighbour_id").collect()}
     assert split == found
+    joined = {tuple(x) for x in neighbours.nearest(vectors(spark, rows + same), dim=16, block=7, most_split=0).select("id", "neighbour_id").collect()}
+    assert joined == found
 
 
 def test_neighbours_empty(spark):
