@@ -37,7 +37,7 @@ DOT, MINUS = ord(".") + 1, ord("-") + 1
 DIGIT = np.zeros(256, bool)
 DIGIT[48:58] = True
 #: What the byte table can take: ASCII, and the two- and three-byte spaces and punctuation that it skips.
-PLAIN = re.compile(r"[\x00-\x7f «» -‐–-⁯　﻿]*")
+PLAIN = re.compile(r"[\x00-\x7f\u00a0\u00ab\u00bb\u2000-\u206f\u3000\ufeff]*")
 
 
 def fold(text: str) -> str:
