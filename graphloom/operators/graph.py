@@ -69,7 +69,7 @@ def knowledge_graph(entities: DataFrame, relationships: DataFrame) -> Graph:
     """The graph of the stored tables: the latest version of each node, and edges between trimmed upper-case ids."""
     latest = entities.where(F.col("id").isNotNull()).groupBy("id").agg(F.max_by(F.struct("name", F.col("entity_type").alias("label"), "confidence", "updated_at"), F.col("updated_at")).alias("n"))
     nodes = latest.select("id", F.coalesce("n.name", F.lit("")).alias("name"), "n.label", "n.confidence", "n.updated_at")
-    key = lambda c: F.upper(F.regexp_replace(F.col(c), r"^[\s ]+|[\s ]+$", ""))
+    key = lambda c: F.upper(F.regexp_replace(F.col(c), r"^[\s\u00A0]+|[\s\u00A0]+$", ""))
     stamp = lambda c: F.date_format(F.col(c), "yyyy-MM-dd")
     edges = relationships.select(
         F.col("edge_no").cast("string").alias("eid"), key("source").alias("src"), key("target").alias("dst"), text.upper_snake(F.col("predicate")).alias("rel"),
