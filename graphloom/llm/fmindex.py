@@ -17,16 +17,31 @@ def suffix_array(t: np.ndarray, sigma: int, depth: int) -> np.ndarray:
     for j in range(k):
         key <<= bits
         key[: n - j] |= t[j:].astype(np.int64) + 1
-    while True:
-        order = np.argsort(key, kind="stable")
-        s = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], (s[1:] != s[:-1]).astype(np.int64)]))
-        if k >= depth or rank[order[-1]] == n - 1:
-            return order
-        key = (rank + 1) * np.int64(n + 2)
-        key[: n - k] += rank[k:] + 1
+    order = np.argsort(key, kind="stable")
+    s = key[order]
+    first = np.concatenate([[True], s[1:] != s[:-1]])
+    place = np.arange(n)
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(first, place, 0))
+    # only what still ties is sorted again, within its places
+    tied = np.flatnonzero(~first | ~np.append(first[1:], True))
+    while k < depth and len(tied):
+        at = order[tied]
+        after = np.zeros(len(at), np.int64)
+        inside = at + k < n
+        after[inside] = rank[at[inside] + k] + 1
+        key = rank[at] * np.int64(n + 2) + after
+        o = np.argsort(key, kind="stable")
+        at, s = at[o], key[o]
+        order[tied] = at
+        first = np.concatenate([[True], s[1:] != s[:-1]])
+        rank[at] = np.maximum.accumulate(np.where(first, tied, 0))
+        tied = tied[~first | ~np.append(first[1:], True)]
         k *= 2
+    return order
+
+
+MASKS = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
 
 
 class WaveletMatrix:
@@ -43,13 +58,14 @@ class WaveletMatrix:
             np.cumsum(np.bitwise_count(words[:-1]), out=ones[1:])
             self.levels.append((level, words, ones, int(len(cur) - b.sum())))
             cur = np.concatenate([cur[b == 0], cur[b == 1]])
+        self.symbol_bits = [((np.arange(sigma) >> level) & 1).astype(bool) for level in range(self.bits)]
         self.base = self.position(np.arange(sigma), np.zeros(sigma, np.int64))
 
     def position(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
         for level, words, ones, zeros in self.levels:
             w = i >> 6
-            r = ones[w] + np.bitwise_count(words[w] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)))
-            i = np.where((c >> level) & 1, zeros + r, i - r)
+            r = ones[w] + np.bitwise_count(words[w] & MASKS[i & 63])
+            i = np.where(self.symbol_bits[level][c], zeros + r, i - r)
         return i
 
     def rank(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
