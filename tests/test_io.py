@@ -238,3 +238,78 @@ def test_command_line(spark, tmp_path, capsys):
     assert sinks.read_graph(spark, str(tmp_path / "merged")).nodes.count() == 2
     main(["ask", str(tmp_path / "merged"), "Who is Carl?"])
     assert "Zentara" in capsys.readouterr().out
+
+
+def test_sentences(spark):
+    r = spark.range(1).select(
+        readers.macro_sentence(F.lit(2023), F.lit(7.2), F.lit(5.0), F.lit(60000.5), F.lit(82.1)).alias("macro"),
+        readers.asian_sentence(F.lit(3), F.lit(1.5), F.lit(None).cast("double"), F.lit(2.0), F.lit(3.0), F.lit(4.0)).alias("asian"),
+        readers.price_sentence(F.lit("A"), F.lit("AA"), F.lit("1.0"), F.lit("5"), F.lit("2024-01-01")).alias("price"),
+    ).first()
+    assert r["macro"] == "As of 2023-01-01, India's GDP growth was 7.20%, inflation was 5.00%, the SENSEX closed at 60000.50, and the USD/INR exchange rate was 82.10."
+    assert r["asian"].startswith("At observation 3: SENSEX=1.5, Straits Times Index=N/A, KOSPI=2.0") and r["asian"].endswith("across markets.")
+    assert r["price"] == "A (NSE: AA) traded at a closing price of ₹1.0 with volume 5 on 2024-01-01."
+
+
+def test_excel(spark, tmp_path):
+    pd = pytest.importorskip("pandas")
+    pytest.importorskip("openpyxl")
+    f = tmp_path / "m.xlsx"
+    pd.DataFrame({"Year": [2000, 2001, None], "SENSEX": [1.0, None, 3.0], "x": [None, 1.0, 1.0]}).to_excel(f, index=False)
+    assert readers.read_excel(spark, str(f), ["Year", "SENSEX"]).count() == 1 and readers.read_excel(spark, str(f)).count() == 0
+
+
+def test_small_readers(spark, tmp_path):
+    (tmp_path / "b.jsonl").write_text('{"question": "q", "gold_answer": "a"}\n\n{"gold_answer": "a"}\n')
+    assert readers.read_benchmark(spark, str(tmp_path / "b.jsonl")).count() == 1
+    (tmp_path / "m.csv").write_text("Company Name,Symbol,ISIN Code,Industry\nA,B,,Steel\n")
+    m = readers.read_metadata(spark, str(tmp_path / "m.csv"))
+    said = m.select(readers.metadata_sentence(F.col("Company Name"), F.col("Symbol"), F.col("ISIN Code"), F.col("Industry")).alias("s")).first()["s"]
+    assert said == "A (Symbol: B, ISIN: N/A) is listed on NSE/BSE in the Steel industry."
+    facts = spark.createDataFrame([fact("A", "B")], schema.FACTS)
+    facts.write.json(str(tmp_path / "facts"))
+    assert readers.extracted_facts(spark, str(tmp_path / "facts")).first()["subject"] == "A"
+    pairs = corpus.split(spark.createDataFrame([(1, "s", "t"), (2, "u", "v")], "id long, src string, tgt string"), "id")
+    sinks.write_split(pairs, str(tmp_path / "split"))
+    assert spark.read.parquet(str(tmp_path / "split")).count() == 2
+
+
+def test_training_rows_and_pieces(spark):
+    df = spark.createDataFrame([(list(range(600)), list(range(600)))], "src_ids array<int>, tgt_ids array<int>")
+    r = corpus.training_rows(df).first()
+    assert len(r["src_ids"]) == 512 and len(r["tgt_ids"]) == 512 and r["tgt_ids"][0] == 2 and r["tgt_ids"][-1] == 3
+    ids = spark.createDataFrame([("hello world",), (None,)], "t string").select(corpus.piece_ids(F.col("t"), "/opt/tokenizers/piece_bpe_32k.model").alias("i")).collect()
+    assert len(ids[0]["i"]) >= 2 and ids[1]["i"] == []
+    assert spark.range(1).select(corpus.final_score(F.lit(-4.0), F.lit(2)).alias("x")).first()["x"] == -2.0
+
+
+def test_windowed_counts(spark, tmp_path):
+    from graphloom.streaming.incremental import attach_orphans, windowed_counts
+
+    start = datetime(2024, 1, 1)
+    df = spark.createDataFrame([(start + timedelta(minutes=20 * i), "a", 1.0) for i in range(12)], "ts timestamp, event_type string, value double")
+    df.write.parquet(str(tmp_path / "e"))
+    q = windowed_counts(spark.readStream.schema(df.schema).parquet(str(tmp_path / "e"))).writeStream.format("memory").queryName("win").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert {r["n"] for r in spark.table("win").collect()} == {3}
+    edges = spark.createDataFrame([(1, "a", "b", at(5))], "edge_no long, source string, target string, created_at timestamp")
+    edges.write.parquet(str(tmp_path / "x"))
+    t = OrphanTracker(spark)
+    stream = spark.readStream.schema(edges.schema).parquet(str(tmp_path / "x"))
+    attach_orphans(t, stream, spark.createDataFrame([("a", at(1))], "id string, created_at timestamp"), spark.createDataFrame([], "id string, deleted_at timestamp"), str(tmp_path / "c2")).awaitTermination(120)
+    assert [tuple(r)[:3] for r in t.found().collect()] == [(1, "target", "missing")]
+
+
+def test_graph_extras(spark):
+    from graphloom.operators import graph, merge, paths
+
+    g = toy_graph(spark)
+    both = paths.shared_ends(paths.simple_paths(g, ["infosys"], max_hops=1), paths.simple_paths(g, ["wipro"], max_hops=1))
+    assert [tuple(r) for r in both.collect()] == [("it_sector", "IT Sector")]
+    e = spark.createDataFrame([("a", "R", "b", 1, 0.8, "s1"), ("a", "R", "b", 2, 0.0, "s2"), ("a", "R", "c", 3, None, "s1")], "src string, rel string, dst string, seq int, sentiment double, source string")
+    rows = {r["dst"]: r for r in merge.fold_sentiment(e, ["src", "rel", "dst"]).collect()}
+    assert rows["b"]["sentiment"] == 0.4 and rows["b"]["sentiment_label"] == "positive" and rows["b"]["sources"] == ["s1", "s2"] and rows["c"]["sentiment"] is None
+    assert graph.quintuples(g.edges).where("o = 'gdp'").first()["t_start"] == "2024-04-01"
+    n = sinks.upsert_nodes(spark.createDataFrame([("a", "L", "x")], "id string, label string, name string"), spark.createDataFrame([("a", "L", None), ("b", "L", "y")], "id string, label string, name string"))
+    assert {tuple(r) for r in n.select("id", "name").collect()} == {("a", "x"), ("b", "y")}
+    assert sinks.upsert_edges(g.edges, g.edges.limit(2)).count() == 7
