@@ -5,7 +5,7 @@
    there are at most 4 / ``head_share`` of those. A rare token that abbreviates, shortens or misspells a
    head (prefix, suffix, initial letters in order, pet form, one or two typos) becomes that head.
 2. What is left is the rare part of the name, which decides. A prefix-filtered set-similarity join on the
-   q-grams of the rare parts, rarest grams first, gives candidates under the same heads.
+   bigrams of the rare parts, rarest first, gives candidates under the same heads.
 3. A candidate pair is verified by soft weighted similarity: each token's likeness weighted by its
    inverse document frequency, so a rare token's mismatch counts more than a frequent one's.
 4. Matches are closed into groups; an initial stands for a full given name where only one fits.
@@ -204,7 +204,9 @@ def parsed(names: DataFrame, head_share: float = 0.004, least: int = 5, given_ty
                 rows.append((t, name, block, given, " ".join(rare)))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)] if rows else [pa.array([], pa.string())] * 5, names=[f.split()[0] for f in PARSED.split(", ")])
 
-    return names.select("type", "name", "words").mapInArrow(run, PARSED)
+    # reading a name takes some 80 us, so tasks are cut by count, not by bytes
+    tasks = max(1, -(-sum(total.values()) // 10_000))
+    return names.select("type", "name", "words").repartition(tasks, "name").mapInArrow(run, PARSED)
 
 
 def grams(c: str, q: int = 2) -> Column:
@@ -212,19 +214,24 @@ def grams(c: str, q: int = 2) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - (q - 1)), lambda i: padded.substr(i, F.lit(q))))
 
 
-def similar_keys(keys: DataFrame, typos: int = 1, accept: float = 0.86, head_weight: float = 0.2) -> DataFrame:
+def similar_keys(keys: DataFrame, typos: int = 1, accept: float = 0.86) -> DataFrame:
     """Pairs (a, b) of rare parts under one (type, block), or one of them under none, whose soft weighted similarity is ``accept`` or more.
 
-    ``keys``: (type, block, rare). A typo changes at most three bigrams (swapped letters), so keys of that many typos share
-    all but three bigrams for each, and one of the three times that and one rarest of either: those index a key. The
-    weight of a key's rare part against its heads is that of their inverse document frequencies.
+    ``keys``: (type, block, rare, n names). A typo changes at most three bigrams (swapped letters), so of two keys that
+    differ by ``typos`` each has at most three times that many the other lacks: one more of its rarest bigrams than that
+    is what it is indexed by. A token weighs as its inverse document frequency, so a rare part weighs more than a head.
     """
-    k = keys.where(F.length("rare") > 3).withColumn("g", grams("rare")).withColumn("key", F.concat_ws("|", "type", "block", "rare"))
-    flat = k.select("type", "block", "key", "rare", F.length("rare").alias("len"), F.explode("g").alias("gram"))
+    idf = lambda n: F.log(1 + F.col("total") / F.col(n))
+    total = keys.groupBy("type").agg(F.sum("n").alias("total"))  # a row per type
+    blocks = keys.groupBy("type", "block").agg(F.sum("n").alias("in_block"))
+    rares = keys.groupBy("type", "rare").agg(F.sum("n").alias("with_rare"))
+    k = keys.where(F.length("rare") > 3).join(F.broadcast(total), "type").join(blocks, ["type", "block"]).join(rares, ["type", "rare"])
+    k = k.withColumns({"wr": idf("with_rare"), "wh": idf("in_block"), "g": grams("rare"), "key": F.concat_ws("|", "type", "block", "rare")})
+    flat = k.select("type", "block", "key", "rare", "wr", "wh", F.length("rare").alias("len"), F.explode("g").alias("gram"))
     frequency = flat.groupBy("gram").agg(F.count("*").alias("df"))
     w = Window.partitionBy("key").orderBy("df", "gram")
     prefix = flat.join(frequency, "gram").withColumn("at", F.row_number().over(w)).where(F.col("at") <= 3 * typos + 1)
-    side = prefix.select("type", "block", "gram", "key", "rare", "len")
+    side = prefix.select("type", "block", "gram", "key", "rare", "len", "wr", "wh")
     near = f"x.type = y.type and x.gram = y.gram and abs(x.len - y.len) <= {typos}"
     x, y = side.alias("x"), side.alias("y")
     closed = x.join(y, F.expr(f"{near} and x.block = y.block and x.key < y.key"))
@@ -232,14 +239,13 @@ def similar_keys(keys: DataFrame, typos: int = 1, accept: float = 0.86, head_wei
     opened = side.where("block = ''").alias("x").join(side.where("block <> ''").alias("y"), F.expr(near))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        cols = [F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.rare").alias("ra"), F.col("y.rare").alias("rb"), F.col("y.block").alias("block")]
+        cols = [F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.rare").alias("ra"), F.col("y.rare").alias("rb"), F.col("y.block").alias("block"), F.greatest("x.wr", "y.wr").alias("wr"), F.col("y.wh").alias("wh")]
         pairs = pairs.select(*cols).distinct()
         d = F.levenshtein("ra", "rb")
         swapped = (F.length("ra") == F.length("rb")) & (F.array_sort(F.split("ra", "")) == F.array_sort(F.split("rb", "")))
         edits = F.when((d == 2) & swapped, F.lit(1)).otherwise(d)
         alike = 1 - edits / F.greatest(F.length("ra"), F.length("rb"))
-        n = F.greatest(F.lit(1), F.size(F.split("block", " ")))
-        score = (alike + head_weight * n) / (1 + head_weight * n)
+        score = (F.col("wr") * alike + F.col("wh")) / (F.col("wr") + F.col("wh"))  # the heads agree
         return pairs.where((score >= accept) & (edits <= typos))
 
     # it is linked where all that are like it are of one block
