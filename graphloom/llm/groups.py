@@ -5,9 +5,6 @@ its neighbours (partial minima before the shuffle, so a record with a third of a
 hot spot), then jumps: a label is replaced by the label of the record it names, which halves the
 remaining distance. Each round's labels are written to the shared folder, which cuts the lineage
 and survives lost executors; the rounds end when no label changes.
-
-Ids are strings; they are replaced by 64-bit numbers that keep their order only where it matters:
-labels are compared as the ids themselves, carried as strings, so no global sort is needed.
 """
 
 from __future__ import annotations

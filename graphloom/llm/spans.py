@@ -160,7 +160,7 @@ def _search(length: int, k: int, shard_chars: int):
     return search
 
 
-def _windows(length: int, k: int):
+def _windows(length: int):
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for h, _, doc, th, s, single, _, text in zip(*(c.to_pylist() for c in batch.columns)):
@@ -207,7 +207,7 @@ def shared_intervals(docs: DataFrame, length: int = 240, k: int = 96, group_cap:
     chars = todo.agg(F.sum(F.length("snippet"))).first()[0] or 0
     shards = max(1, -(-chars // shard_chars))
     near = todo.where(F.col("n") <= group_cap).drop("n").repartition(shards, "h").sortWithinPartitions("h", "sh").mapInArrow(_search(length, k, 2 * shard_chars), INTERVALS)
-    rows = todo.where(F.col("n") > group_cap).drop("n").mapInArrow(_windows(length, k), "h long, wh long, doc_id long, th int, s int, many boolean")
+    rows = todo.where(F.col("n") > group_cap).drop("n").mapInArrow(_windows(length), "h long, wh long, doc_id long, th int, s int, many boolean")
     common = rows.groupBy("h", "wh").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("many").alias("many")).where("lo < hi or many").select("h", "wh")
     hot = rows.where(~F.col("many")).join(common, ["h", "wh"]).select("doc_id", "th", "s", (F.col("s") + length).alias("e"))
     return whole.unionByName(near).unionByName(hot)
