@@ -214,7 +214,7 @@ def grams(c: str, q: int = 2) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - (q - 1)), lambda i: padded.substr(i, F.lit(q))))
 
 
-def similar_keys(keys: DataFrame, typos: int = 1, accept: float = 0.86) -> DataFrame:
+def similar_keys(keys: DataFrame, cuts: Cuts, typos: int = 1, accept: float = 0.86) -> DataFrame:
     """Pairs (a, b) of rare parts under one (type, block), or one of them under none, whose soft weighted similarity is ``accept`` or more.
 
     ``keys``: (type, block, rare, n names). A typo changes at most three bigrams (swapped letters), so of two keys that
@@ -231,7 +231,7 @@ def similar_keys(keys: DataFrame, typos: int = 1, accept: float = 0.86) -> DataF
     frequency = flat.groupBy("gram").agg(F.count("*").alias("df"))
     w = Window.partitionBy("key").orderBy("df", "gram")
     prefix = flat.join(frequency, "gram").withColumn("at", F.row_number().over(w)).where(F.col("at") <= 3 * typos + 1)
-    side = prefix.select("type", "block", "gram", "key", "rare", "len", "wr", "wh")
+    side = cuts.cut(prefix.select("type", "block", "gram", "key", "rare", "len", "wr", "wh"))
     near = f"x.type = y.type and x.gram = y.gram and abs(x.len - y.len) <= {typos}"
     x, y = side.alias("x"), side.alias("y")
     closed = x.join(y, F.expr(f"{near} and x.block = y.block and x.key < y.key"))
@@ -269,8 +269,8 @@ def linked_names(entities: DataFrame, types: tuple[str, ...] = ("Company", "Pers
     ids = cuts.cut(entity_names(entities, types))
     names = ids.select("type", "name").distinct().withColumn("words", tokens(F.col("name")))
     structure = cuts.cut(parsed(names))
-    keys = structure.groupBy("type", "block", "rare").agg(F.count("*").alias("n"))
-    links = similar_keys(keys)
+    keys = cuts.cut(structure.groupBy("type", "block", "rare").agg(F.count("*").alias("n")))
+    links = cuts.cut(similar_keys(keys, cuts))
     own = keys.select(F.concat_ws("|", "type", "block", "rare").alias("a")).withColumn("b", F.col("a"))
     groups = linked_groups(own.unionByName(links), "a", "b")
     known = structure.withColumn("member_id", F.concat_ws("|", "type", "block", "rare")).join(groups, "member_id")
