@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -81,6 +82,21 @@ class Cuts:
         _delete(self.spark, self.base)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to the Python workers, once per context, so that it need not be installed or on their path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_graphloom_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="graphloom-")
+    path = os.path.join(folder, "graphloom.zip")
+    root = Path(__file__).resolve().parent
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(path)
+    sc._graphloom_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
