@@ -7,7 +7,8 @@
    ``length`` that hold the anchor. A snippet equal in several documents is shared as a whole.
 3. The remaining snippets, those near the ends of shared passages, go to shards by anchor. Each
    shard builds an FM-index over a wavelet matrix of its snippets and streams them through it by
-   backward search; runs of at least ``length`` found under another document are reported.
+   backward search; runs of at least ``length`` found under another document are reported. A
+   snippet that one document has several times is searched once, for all its places.
 4. An anchor with more than ``group_cap`` different snippets would make one shard too large. Its
    windows are counted by hash instead, with partial aggregation, so no case is dropped.
 5. The intervals of each document are united and measured.
@@ -132,7 +133,7 @@ def _scan(length: int, k: int):
     return scan
 
 
-INTERVALS = "doc_id long, th int, s int, e int"
+INTERVALS = "h long, sh long, p int, a int, b int"
 
 
 def _search(length: int, k: int, shard_chars: int):
@@ -142,8 +143,8 @@ def _search(length: int, k: int, shard_chars: int):
         number: dict[int, int] = {}
         index = FMIndex([code_points(r[7]) for r in rows], [number.setdefault(r[2], len(number)) if r[5] else -1 for r in rows])
         found = index.shared(length, np.array([r[6] for r in rows]), k)
-        cols = [[rows[t][2] for t, _, _ in found], [rows[t][3] for t, _, _ in found], [rows[t][4] + a for t, a, _ in found], [rows[t][4] + b for t, _, b in found]]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int32(), pa.int32(), pa.int32()])], names=names)
+        cols = [*([rows[t][c] for t, _, _ in found] for c in (0, 1, 6)), [a for _, a, _ in found], [b for _, _, b in found]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()])], names=names)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, total = [], 0
@@ -163,14 +164,14 @@ def _search(length: int, k: int, shard_chars: int):
 def _windows(length: int):
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for h, _, doc, th, s, single, _, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for h, sh, doc, _, _, single, p, text in zip(*(c.to_pylist() for c in batch.columns)):
                 x = code_points(text)
                 n = len(x) - length + 1
                 if n > 0:
                     at = np.arange(n)
                     wh = Roller(x).slices(at, at + length).view(np.int64)
-                    cols = [np.full(n, h), wh, np.full(n, doc), np.full(n, th, np.int32), (s + at).astype(np.int32), np.full(n, not single)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h", "wh", "doc_id", "th", "s", "many"])
+                    cols = [np.full(n, h), np.full(n, sh), np.full(n, p, np.int32), wh, np.full(n, doc), at.astype(np.int32), np.full(n, not single)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h", "sh", "p", "wh", "doc_id", "a", "many"])
 
     return windows
 
@@ -190,11 +191,11 @@ def shared_intervals(docs: DataFrame, length: int = 240, k: int = 96, group_cap:
     near_end = F.greatest(F.lit(0), F.col("pos") + k - length)
     anchors_2 = cuts.cut(anchors.join(several, "h").select("h", "sh", "doc_id", "th", near_end.alias("s"), "e", (F.col("pos") - near_end).alias("p")))
     cuts.drop(anchors)
-    per = anchors_2.groupBy("h", "sh").agg(F.min(F.struct("doc_id", "th", "s", "e", "p")).alias("r"), F.max("doc_id").alias("hi"))
-    per = cuts.cut(per.select("h", "sh", "r.*", (F.col("r.doc_id") == F.col("hi")).alias("single")))
+    per = anchors_2.groupBy("h", "sh", "p").agg(F.min(F.struct("doc_id", "th", "s", "e")).alias("r"), F.max("doc_id").alias("hi"))
+    per = cuts.cut(per.select("h", "sh", "p", "r.*", (F.col("r.doc_id") == F.col("hi")).alias("single")))
     groups = per.groupBy("h").agg(F.count("*").alias("n"), F.max("single").alias("mixed")).where("mixed").select("h", "n")
 
-    whole = anchors_2.join(per.where(~F.col("single")).select("h", "sh"), ["h", "sh"]).select("doc_id", "th", "s", "e")
+    whole = per.where(~F.col("single")).select("h", "sh", "p", F.lit(0).alias("a"), (F.col("e") - F.col("s")).alias("b"))
     wanted = cuts.cut(per.join(groups, "h"))
     # of the texts only those that a bitmap of fixed size may hold are shuffled
     bit = F.pmod(F.xxhash64("doc_id", "th"), F.lit(BITMAP_BITS))
@@ -202,15 +203,17 @@ def shared_intervals(docs: DataFrame, length: int = 240, k: int = 96, group_cap:
     hit = docs.withColumn("bit", bit).withColumn("bucket", F.expr("bitmap_bucket_number(bit)")).join(F.broadcast(bitmap), "bucket")
     byte = F.conv(F.hex(F.expr("substring(bits, cast(bitmap_bit_position(bit) div 8 as int) + 1, 1)")), 16, 10).cast("int")
     hit = hit.withColumn("byte", byte).where("(shiftright(byte, cast(bitmap_bit_position(bit) % 8 as int)) & 1) = 1").select("doc_id", "th", "text")
-    todo = wanted.join(hit, ["doc_id", "th"]).select("h", "sh", "doc_id", "th", "s", "single", "p", F.expr("substring(text, s + 1, e - s)").alias("snippet"), "n").dropDuplicates(["h", "sh"])
+    todo = wanted.join(hit, ["doc_id", "th"]).select("h", "sh", "doc_id", "th", "s", "single", "p", F.expr("substring(text, s + 1, e - s)").alias("snippet"), "n").dropDuplicates(["h", "sh", "p"])
     todo = cuts.cut(todo)
     chars = todo.agg(F.sum(F.length("snippet"))).first()[0] or 0
     shards = max(1, -(-chars // shard_chars))
-    near = todo.where(F.col("n") <= group_cap).drop("n").repartition(shards, "h").sortWithinPartitions("h", "sh").mapInArrow(_search(length, k, 2 * shard_chars), INTERVALS)
-    rows = todo.where(F.col("n") > group_cap).drop("n").mapInArrow(_windows(length), "h long, wh long, doc_id long, th int, s int, many boolean")
+    near = todo.where(F.col("n") <= group_cap).drop("n").repartition(shards, "h").sortWithinPartitions("h", "sh", "p").mapInArrow(_search(length, k, 2 * shard_chars), INTERVALS)
+    rows = todo.where(F.col("n") > group_cap).drop("n").mapInArrow(_windows(length), "h long, sh long, p int, wh long, doc_id long, a int, many boolean")
     common = rows.groupBy("h", "wh").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("many").alias("many")).where("lo < hi or many").select("h", "wh")
-    hot = rows.where(~F.col("many")).join(common, ["h", "wh"]).select("doc_id", "th", "s", (F.col("s") + length).alias("e"))
-    return whole.unionByName(near).unionByName(hot)
+    hot = rows.where(~F.col("many")).join(common, ["h", "wh"]).select("h", "sh", "p", "a", (F.col("a") + length).alias("b"))
+    # what is found holds for every place of a snippet
+    places = anchors_2.select("h", "sh", "p", "doc_id", "th", "s")
+    return places.join(whole.unionByName(near).unionByName(hot), ["h", "sh", "p"]).select("doc_id", "th", (F.col("s") + F.col("a")).alias("s"), (F.col("s") + F.col("b")).alias("e"))
 
 
 def shared_chars(docs: DataFrame, length: int = 240, **options) -> DataFrame:

@@ -332,6 +332,18 @@ def test_spans_equal_brute_force(spark, options):
     assert got == brute_shared(texts, 24)
 
 
+@pytest.mark.parametrize("options", [{}, {"group_cap": 1}, {"shard_chars": 50}])
+def test_spans_of_passages_a_document_repeats(spark, options):
+    r = random.Random(8)
+    rand = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    passage, other = rand(120), rand(120)
+    texts = [(1, rand(50) + passage + rand(50) + passage + rand(50)), (2, rand(50) + passage[45:75] + rand(50))]
+    texts += [(3, rand(30) + other + rand(30)), (3, rand(60) + other + other), (4, rand(50) + other[40:80] + rand(50)), (4, rand(9)), (5, "ab" * 40), (6, "c" + "ab" * 15)]
+    want = brute_shared(texts, 24)
+    assert want[1] >= 60 and want[3] >= 80
+    assert {x["doc_id"]: x["shared_chars"] for x in spans.shared_chars(docs(spark, texts), 24, k=8, **options).collect()} == want
+
+
 def test_spans_of_long_and_no_texts(spark):
     assert spans.shared_chars(docs(spark, [])).count() == 0
     assert spans.shared_chars(docs(spark, [(1, "short"), (2, None)])).count() == 0
