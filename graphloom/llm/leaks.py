@@ -88,8 +88,8 @@ class TestIndex:
             flat += gap
         return np.array(flat, np.int64), np.array(starts, np.int64)
 
-    def hits(self, flat: np.ndarray) -> np.ndarray:
-        """Distinct (test text, diagonal in ``flat``) of all seed hits."""
+    def hits(self, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Distinct (test text, document, diagonal in ``flat``) of all seed hits."""
         found = []
         for mask, (h, t, pos) in zip(self.masks, self.tables):
             x, known = seed_hashes(flat, mask)
@@ -101,8 +101,10 @@ class TestIndex:
             hit = n > 0
             at, lo, n = at[hit], lo[hit], n[hit]
             k = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            found.append(np.stack([t[k].astype(np.int64), np.repeat(at, n) - pos[k]], 1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+            # the first word that counts lies in a document, and so do the others: a gap is as long as a mask
+            doc = np.searchsorted(starts, at + mask.index("1"), "right") - 1
+            found.append(np.stack([t[k].astype(np.int64), np.repeat(doc, n), np.repeat(at, n) - pos[k]], 1))
+        return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 3), np.int64)
 
 
 def _runs(same: np.ndarray, max_substituted: int) -> tuple[int, int, int, int]:
@@ -127,18 +129,15 @@ def scan_texts(index: TestIndex, doc_ids: list, texts: list, min_words: int, max
     flat, starts = index.encode(texts)
     rows = []
     last = np.append(starts[1:], len(flat))
-    for t, diagonal in index.hits(flat):
+    for t, d, diagonal in index.hits(flat, starts):
         ids = index.texts[t]
-        lo, hi = max(0, diagonal), min(len(flat), diagonal + len(ids))
-        # the diagonal may run over a text's edge: the gap's zeros never equal a test word
-        k = int(np.searchsorted(starts, (lo + hi) // 2, "right")) - 1
-        for d in {max(k - 1, 0), k, min(k + 1, len(starts) - 1)}:
-            a, b = max(lo, starts[d]), min(hi, last[d])
-            if b - a < min_words:
-                continue
-            exact, s, n, sub = _runs(flat[a:b] == ids[a - diagonal : b - diagonal], max_substituted)
-            if n >= min_words:
-                rows.append((doc_ids[d], *index.keys[t], int(a - starts[d]) + s, n, sub, exact))
+        # the diagonal may run over the document's edge: the gap's zeros never equal a test word
+        a, b = max(diagonal, starts[d]), min(diagonal + len(ids), last[d])
+        if b - a < min_words:
+            continue
+        exact, s, n, sub = _runs(flat[a:b] == ids[a - diagonal : b - diagonal], max_substituted)
+        if n >= min_words:
+            rows.append((doc_ids[d], *index.keys[t], int(a - starts[d]) + s, n, sub, exact))
     return rows
 
 

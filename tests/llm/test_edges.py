@@ -296,6 +296,19 @@ def test_leaks_equal_brute_force(spark):
     assert leaks.leaked_items(df.limit(0), it).count() == 0 and leaks.leaked_items(df, it.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("n", "size", "blank"), [(300, 40, False), (1000, 160, False), (300, 60, True)])
+def test_leaks_of_fields_longer_than_documents(spark, n, size, blank):
+    field = [f"w{k}" for k in range(n)]
+    texts = [(d, "" if blank and d % 2 else " ".join(f"d{d}x{k}" for k in range(size))) for d in range(40)]
+    texts[20] = (20, " ".join([f"d20x{k}" for k in range(size - 15)] + field[:15]))
+    texts[26] = (26, " ".join(field[-15:] + [f"d26x{k}" for k in range(size - 15)]))
+    items = [(1, None, None, " ".join(field), 0)]
+    want = brute_leaks(texts, items)
+    assert want == {(20, 1), (26, 1)}
+    df = docs(spark, texts).coalesce(1)
+    assert {tuple(x) for x in leaks.leaked_items(df, spark.createDataFrame(items, ITEMS)).collect()} == want
+
+
 def test_leaks_tolerate_substitutions(spark):
     passage = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"
     changed = passage.replace("four ", "4 ").replace("eleven", "11")
