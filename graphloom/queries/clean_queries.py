@@ -109,6 +109,13 @@ def a10_components(spark: SparkSession, d: str) -> DataFrame:
     return components.components(table(spark, d, "entity_matches").where("score >= 0.95"), "left_id", "right_id")
 
 
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT left_id AS a, right_id AS b FROM entity_matches WHERE left_id IS NOT NULL AND right_id IS NOT NULL), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach(id, seen) AS (SELECT a, a FROM s UNION SELECT r.id, s.b FROM reach r JOIN s ON s.a = r.seen) SELECT id, min(seen) AS component FROM reach GROUP BY id""")
+def a10_all_components(spark: SparkSession, d: str) -> DataFrame:
+    """On every link; ``a10_components`` takes the strong ones only."""
+    return components.components(table(spark, d, "entity_matches"), "left_id", "right_id")
+
+
 NORM = "regexp_replace(trim(lower(name)), '\\s+', ' ', 'g')"
 
 

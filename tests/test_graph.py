@@ -163,6 +163,15 @@ def test_incremental_matches_lose_no_pair(spark, seed):
     assert {tuple(p) for p in merge.incremental_matches(df, df.limit(0)).collect()} == want
 
 
+def test_components_query_takes_every_link(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    links = [("a", "b", 0.99), ("b", "c", 0.4), ("d", "c", None), ("e", "f", 0.95), ("g", "g", 0.1), (None, "h", 1.0)]
+    spark.createDataFrame(links, "left_id string, right_id string, score double").write.parquet(str(tmp_path / "entity_matches.parquet"))
+    found = {tuple(r) for r in entry.queries()["a10_all_components"](spark, str(tmp_path)).collect()}
+    assert found == {("a", "a"), ("b", "a"), ("c", "a"), ("d", "a"), ("e", "e"), ("f", "e"), ("g", "g")}
+
+
 def test_upsert_keeps_old_where_new_is_null(spark):
     old = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], "id int, name string, v double")
     new = spark.createDataFrame([(2, None, 5.0), (3, "c", 3.0), (3, "d", 4.0)], "id int, name string, v double")
