@@ -52,7 +52,7 @@ def normalise_english(t: Column) -> Column:
     """Lower case; control characters dropped (so words parted by a line break join); backticks and dashes made plain."""
     s = F.regexp_replace(F.lower(t), r"\p{C}", "")
     s = F.regexp_replace(F.regexp_replace(s, "`", "'"), "[–—]", "-")
-    return F.trim(F.regexp_replace(s, r"\s+", " "))
+    return F.trim(F.regexp_replace(s, r"[\s\p{Z}]+", " "))
 
 
 def detect_script(t: Column, mixed_below: float = 0.40) -> Column:

@@ -98,6 +98,12 @@ def t15_normalise_english(spark: SparkSession, d: str) -> DataFrame:
     return _chats(spark, d).where(F.col("message").rlike(r"^[\x00-\x7F]*$")).select("request_id", text.normalise_english(F.col("message")).alias("normal"))
 
 
+@query()
+def t15_normalise_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Every message; ``t15_normalise_english`` takes those wholly in ASCII only."""
+    return _chats(spark, d).select("request_id", text.normalise_english(F.col("message")).alias("normal"))
+
+
 @query()
 def t16_transliterate(spark: SparkSession, d: str) -> DataFrame:
     return _chats(spark, d).select("request_id", text.transliterate(F.col("message")).alias("latin"))

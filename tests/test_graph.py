@@ -1,5 +1,7 @@
 import itertools
 import random
+import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -172,6 +174,21 @@ def test_components_query_takes_every_link(spark, tmp_path):
     assert found == {("a", "a"), ("b", "a"), ("c", "a"), ("d", "a"), ("e", "e"), ("f", "e"), ("g", "g")}
 
 
+def brute_normal(t):
+    t = "".join(c for c in t.lower() if unicodedata.category(c)[0] != "C").replace("`", "'")
+    return re.sub(r"\s+", " ", re.sub("[–—]", "-", t)).strip()
+
+
+def test_normalise_query_takes_every_message(spark, data, tmp_path):
+    import __spark_entry__ as entry
+
+    texts = ["Q1–Q2 — “Infosys’ RESULTS”", "soft\u00adhyphen\u200b \ufeffBOM", "\u00a0NO\u00a0\u2003BREAK\u2028line ", "ÉTÉ `quoted`\tTAB\r\nbreak", "टाटा\u200d स्टील  RESULTS", "ＦＵＬＬ\u3000width 😀 \ue000", "plain  ASCII", "", "–", None]
+    spark.createDataFrame(list(enumerate(texts)), "request_id long, message string").write.parquet(str(tmp_path / "chat_requests.parquet"))
+    for d in (str(tmp_path), data):
+        want = {r["request_id"]: brute_normal(r["message"]) for r in spark.read.parquet(f"{d}/chat_requests.parquet").where("message is not null").collect()}
+        assert {r["request_id"]: r["normal"] for r in entry.queries()["t15_normalise_messages"](spark, d).collect()} == want
+
+
 def test_upsert_keeps_old_where_new_is_null(spark):
     old = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], "id int, name string, v double")
     new = spark.createDataFrame([(2, None, 5.0), (3, "c", 3.0), (3, "d", 4.0)], "id int, name string, v double")
