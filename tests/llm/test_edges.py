@@ -317,6 +317,17 @@ def test_leaks_tolerate_substitutions(spark):
     assert (row["n_words"], row["n_substituted"], row["doc_start"]) == (15, 2, 1) and row["exact_run"] < 10
 
 
+# --- 4, copies ---
+
+
+@pytest.mark.parametrize(("src", "tgt", "want"), [
+    ("is it the one?", "is it the one?", "copied"), ("Gold Up", "Gold Up", "copied"), ("RBI", "आज RBI ने ब्याज दर में कोई बदलाव नहीं किया", None),
+    ("Infosys Limited Posts Record Quarterly Profit", "यह रहा उत्तर और इसका अनुवाद है: Infosys Limited Posts Record Quarterly Profit", "copied"), ("Infosys Limited Posts Record Quarterly Profit", "Infosys Limited ने रिकॉर्ड तिमाही लाभ दर्ज किया है", None), ("What did Lachinonu Infrastructure announce this week?", "Lachinonu Infrastructure ने इस हफ्ते क्या घोषणा की?", None),
+])
+def test_pairs_copy_short_and_headline_prompts(src, tgt, want):
+    assert pairs.defect(src, tgt, "hi", {}, pairs._automaton())[0] == want
+
+
 # --- 10 ---
 
 
