@@ -38,6 +38,17 @@ def p8_pack(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"))
 
 
+@query
+def p8_invariants(spark: SparkSession, d: str) -> DataFrame:
+    return packing.invariants(table(spark, d, "documents"))
+
+
+ORACLE["p8_invariants"] = """
+SELECT count(*) AS texts, 0::BIGINT AS lost_texts, 0::BIGINT AS lost_tokens, 0::BIGINT AS split_short, 0::BIGINT AS over_capacity, 0::BIGINT AS overlapping, 0::BIGINT AS uneven_steps
+FROM documents WHERE doc_id IS NOT NULL
+"""
+
+
 @query
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return groups.linked_groups(table(spark, d, "entity_matches"))

@@ -250,13 +250,38 @@ def test_plan_uses_every_piece(seed):
     cap = r.choice([16, 100, 2048])
     sizes = {r.randint(1, cap): r.choice([1, 2, 7, 10**9]) for _ in range(r.randint(1, 50))}
     used = {}
-    for n, inside in packing.plan(sizes, cap, (cap, cap // 2, cap // 4)):
-        assert n > 0 and sum(s * k for s, k in inside) <= cap
-        for s, k in inside:
-            used[s] = used.get(s, 0) + n * k
+    for n, windows in packing.plan(sizes, cap, (cap, cap // 2, cap // 4)):
+        assert n > 0 and sum(k * w for k, w, _ in windows) <= cap
+        for k, w, inside in windows:
+            assert sum(s * per for s, per in inside) <= w
+            for s, per in inside:
+                used[s] = used.get(s, 0) + n * k * per
     assert used == sizes
 
 
+def test_tiers_change_the_plan():
+    sizes = {1500: 40, 900: 60, 500: 100, 300: 300, 100: 2000, 30: 4000, 7: 5000}
+    tiers, plain = (packing.plan(sizes, 2048, t) for t in ((2048, 1024, 512, 256), (2048,)))
+    assert tiers != plain
+    lengths = {w for _, windows in tiers for _, w, _ in windows}
+    assert {2048, 1024, 512} <= lengths
+    # a window of a tier is opened by its own pieces and filled by shorter tiers' only
+    for _, windows in tiers:
+        for _, w, inside in windows:
+            if w < 2048:
+                assert inside[0][0] > (w // 2 if w > 256 else 0) and all(s <= w // 2 for s, _ in inside[1:])
+    need = sum(s * n for s, n in sizes.items()) / 2048
+    assert sum(n for n, _ in tiers) <= need * 1.02 + 1
+
+
+def test_packing_invariants(spark):
+    r = random.Random(6)
+    texts = [(i, " ".join("word" for _ in range(r.choice([1, 3, 20, 60, 90, 130, 300])))) for i in range(300)] + [(900, None), (901, "")]
+    row = packing.invariants(docs(spark, texts), 64, tiers=(64, 32, 16), step_containers=10).first().asDict()
+    assert row.pop("texts") == 302 and set(row.values()) == {0}
+    assert set(packing.invariants(docs(spark, texts).limit(0), 64, tiers=(64, 32)).first()) == {0}
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model", "word_bpe_49k.json"])
 def test_tokenizers(name):
     count = packing.encoder("/opt/tokenizers/" + name)
