@@ -1,31 +1,36 @@
 """References to records that do not exist, kept up to date incrementally.
 
-State, all of it tables in the shared folder:
+State, all of it bucketed by id and versioned by batch (``graphloom.state``):
 
 * parent index: per id the earliest creation and the earliest deletion seen so far,
-* references: every reference that names an id, keyed by that id,
+* references: every reference that names an id; batches only append to it,
 * orphans: the references that named no living record when they were made, with the reason and
   whether the record has turned up since (``resolved``).
 
+A batch rewrites the buckets whose parents arrive or go, and appends new orphans to the others. With a path the state
+outlives the driver: a tracker started there goes on after the last committed batch.
+
 ``OrphanTracker.advance`` takes one batch of new references, parents and deletions: the new
 references probe the updated parent index; arriving parents resolve waiting orphans (a `missing` one
 turns `late`); arriving deletions reopen what points at the deleted record. ``snapshot`` counts the
 orphans per table and month. Batches may come from a stream (``foreachBatch``) or from a fold over
 periods of stored tables, as in ``track``.
 
-A hot id is no hot task: it is probed from the parent side, which has one row per id, and the skewed
-side is split by AQE; nothing is gathered per id.
+A hot id is no hot task: it is probed from the parent side, which has one row per id, the skewed
+side is split by AQE, and its bucket is written by several tasks; nothing is gathered per id.
 """
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.session import Cuts
+from graphloom.session import shared_dir
+from graphloom.state import Versions
 
 REFERENCE = "ref_no long, side string, id string, at timestamp"
 
@@ -51,60 +56,66 @@ def deletions(rows: DataFrame, id: str = "id", at: str = "deleted_at") -> DataFr
     return rows.select(reference_id(id).alias("id"), F.col(at).alias("deleted")).where("id is not null and deleted is not null").groupBy("id").agg(F.min("deleted").alias("deleted"))
 
 
-@dataclass
-class State:
-    parents: DataFrame
-    references: DataFrame
-    orphans: DataFrame
+TABLES = {"parents": "id string, created timestamp, deleted timestamp, known boolean", "references": REFERENCE, "orphans": REFERENCE + ", why string, resolved boolean"}
 
 
 class OrphanTracker:
-    """Keyed pending-orphan state; each ``advance`` reads the state once and writes the next version."""
-
-    def __init__(self, spark: SparkSession, keep_references: bool = True):
-        self.spark, self.cuts, self.keep_references = spark, Cuts(spark, "orphans"), keep_references
-        self.state = State(
-            spark.createDataFrame([], "id string, created timestamp, deleted timestamp, known boolean"),
-            spark.createDataFrame([], REFERENCE),
-            spark.createDataFrame([], REFERENCE + ", why string, resolved boolean"),
-        )
-
-    def advance(self, refs: DataFrame, new_parents: DataFrame, new_deletions: DataFrame) -> None:
-        """Take in a batch. A parent with unknown creation time counts as existing from the beginning."""
-        old = self.state
+    """Keyed pending-orphan state. Without a ``path`` it lives as long as the driver, in the shared folder."""
+
+    def __init__(self, spark: SparkSession, keep_references: bool = True, path: str | None = None, buckets: int = 16):
+        self.spark, self.keep_references = spark, keep_references
+        self.state = Versions(spark, path or f"{shared_dir(spark)}/orphans-{uuid.uuid4().hex}", TABLES, buckets)
+        if path is None:
+            atexit.register(_forget, self.state)
+
+    def advance(self, refs: DataFrame, new_parents: DataFrame, new_deletions: DataFrame, batch: int | None = None) -> None:
+        """Take in a batch. A parent with unknown creation time counts as existing from the beginning. A ``batch`` number
+        that is committed already is skipped."""
+        with self.state.update(batch) as fresh:
+            if fresh:
+                self._advance(self.state, refs, new_parents, new_deletions)
+
+    def _advance(self, s: Versions, refs: DataFrame, new_parents: DataFrame, new_deletions: DataFrame) -> None:
         arrivals = new_parents.select("id", "created", F.lit(None).cast("timestamp").alias("deleted"), F.lit(True).alias("known"))
         removals = new_deletions.select("id", F.lit(None).cast("timestamp").alias("created"), "deleted", F.lit(None).cast("boolean").alias("known"))
-        index = self.cuts.cut(
-            old.parents.unionByName(arrivals).unionByName(removals).groupBy("id").agg(F.min("created").alias("created"), F.min("deleted").alias("deleted"), F.max("known").alias("known"))
-        )
+        changes = arrivals.unionByName(removals)
+        touched = s.touched(changes, "id")
+        if touched:
+            merged = s.read("parents", touched).unionByName(changes).groupBy("id").agg(F.min("created").alias("created"), F.min("deleted").alias("deleted"), F.max("known").alias("known"))
+            s.replace("parents", merged, "id", touched)
+        index = s.read("parents")
+        living = F.coalesce(F.col("known") & F.col("deleted").isNull(), F.lit(False))
+        if touched:
+            # arriving parents resolve waiting orphans, arriving deletions reopen resolved ones
+            now = s.read("parents", touched).join(changes.select("id").distinct(), "id", "left_semi").withColumn("touched", F.lit(True))
+            settled = F.when((F.col("why") == "missing") & F.col("known"), "late").otherwise(F.col("why"))
+            kept = s.read("orphans", touched).join(now, "id", "left").select("ref_no", "side", "id", "at", settled.alias("why"), F.when(F.col("touched"), living).otherwise(F.col("resolved")).alias("resolved"))
+            if self.keep_references:
+                # references that were sound when made and lose their record now
+                lost = removals.select("id").distinct().join(s.read("parents", touched).where("known"), "id").select("id", "deleted")
+                reopened = s.read("references", touched).join(lost, "id").where("deleted > at").join(s.read("orphans", touched).select("ref_no", "side"), ["ref_no", "side"], "left_anti")
+                kept = kept.unionByName(reopened.select("ref_no", "side", "id", "at", F.lit("dangling").alias("why"), F.lit(False).alias("resolved")))
+            s.replace("orphans", kept, "id", touched, "ref_no")
         probe = F.when(F.col("known").isNull(), "missing").when(F.col("created") > F.col("at"), "late").when(F.col("deleted") <= F.col("at"), "deleted")
         fresh = refs.join(index, "id", "left").withColumn("why", probe).where("why is not null")
-        fresh = fresh.select("ref_no", "side", "id", "at", "why", F.coalesce(F.col("known") & F.col("deleted").isNull(), F.lit(False)).alias("resolved"))
-        # arriving parents resolve waiting orphans, arriving deletions reopen resolved ones
-        touched = arrivals.select("id").unionByName(removals.select("id")).distinct()
-        again = touched.join(index, "id").select("id", F.lit(True).alias("touched"), "created", "deleted", "known")
-        settled = F.when(~F.coalesce("touched", F.lit(False)), F.col("why")).when((F.col("why") == "missing") & F.col("known"), "late").otherwise(F.col("why"))
-        living = F.coalesce(F.col("known") & F.col("deleted").isNull(), F.lit(False))
-        kept = old.orphans.join(again, "id", "left").select("ref_no", "side", "id", "at", settled.alias("why"), F.when(F.col("touched"), living).otherwise(F.col("resolved")).alias("resolved"))
-        parts = kept.unionByName(fresh)
-        refs_now = old.references
+        s.append("orphans", fresh.select("ref_no", "side", "id", "at", "why", living.alias("resolved")), "id", "ref_no")
         if self.keep_references:
-            # references that were sound when made and lose their record now
-            lost = removals.select("id").distinct().join(index.where("known"), "id").select("id", "deleted")
-            reopened = old.references.join(lost, "id").where("deleted > at").join(old.orphans.select("ref_no", "side"), ["ref_no", "side"], "left_anti")
-            parts = parts.unionByName(reopened.select("ref_no", "side", "id", "at", F.lit("dangling").alias("why"), F.lit(False).alias("resolved")))
-            refs_now = self.cuts.cut(old.references.unionByName(refs.select("ref_no", "side", "id", "at")))
-        self.state = State(index, refs_now, self.cuts.cut(parts))
-        for df in (old.parents, old.orphans) + ((old.references,) if self.keep_references else ()):
-            self.cuts.drop(df)
+            s.append("references", refs, "id", "ref_no")
 
     def found(self) -> DataFrame:
         """References without a living record when they were made: (ref_no, side, why, month)."""
-        return self.state.orphans.where("why <> 'dangling'").select("ref_no", "side", "why", F.date_format("at", "yyyy-MM").alias("month"))
+        return self.state.read("orphans").where("why <> 'dangling'").select("ref_no", "side", "why", F.date_format("at", "yyyy-MM").alias("month"))
 
     def snapshot(self) -> DataFrame:
         """Open and resolved orphans per side, reason and month."""
-        return self.state.orphans.groupBy("side", "why", F.date_format("at", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"), F.sum((~F.col("resolved")).cast("long")).alias("open"))
+        return self.state.read("orphans").groupBy("side", "why", F.date_format("at", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"), F.sum((~F.col("resolved")).cast("long")).alias("open"))
+
+
+def _forget(state: Versions) -> None:
+    try:
+        state.clear()
+    except Exception:  # the session is gone; so is whoever could read the state
+        pass
 
 
 def track(edges: DataFrame, entities: DataFrame, removed: DataFrame, periods: int = 3, keep_references: bool = False) -> OrphanTracker:

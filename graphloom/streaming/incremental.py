@@ -11,24 +11,42 @@ from graphloom.operators.graph import Graph, facts_to_graph
 from graphloom.operators.merge import incremental_matches, pick_incremental, rewire
 from graphloom.operators.orphans import OrphanTracker, deletions, parents, references
 from graphloom.session import Cuts
+from graphloom.state import Versions
+
+TABLES = {
+    "nodes": "id string, name string, label string, confidence double",
+    "edges": "eid string, src string, dst string, rel string, t_announce string, t_effective string, source string, confidence double, sentiment double",
+}
 
 
 class GraphBuilder:
     """``add`` takes a batch of facts; new nodes that match others move to one canonical node, edges follow.
 
-    State is the last written version in the shared folder. Edges are kept per (src, rel, dst): the first stays.
+    State is versioned by batch at ``path``: a builder started there goes on after the last committed batch, and a batch
+    number that is committed already changes nothing. Without a path it lives as long as the driver, in the shared folder.
+    Edges are kept per (src, rel, dst): the first stays.
     """
 
-    def __init__(self, spark: SparkSession, start: Graph | None = None, eps: float = 0.85):
+    def __init__(self, spark: SparkSession, start: Graph | None = None, eps: float = 0.85, path: str | None = None):
         if eps < 0.85:
             raise ValueError("a likeness below 0.85 joins different entities")
         self.spark, self.eps, self.cuts = spark, eps, Cuts(spark, "builder")
-        nodes = spark.createDataFrame([], "id string, name string, label string, confidence double")
-        edges = spark.createDataFrame([], "eid string, src string, dst string, rel string, t_announce string, t_effective string, source string, confidence double, sentiment double")
-        self.graph = start or Graph(nodes, edges)
-        self.batches = 0
+        self.state = Versions(spark, path or f"{self.cuts.base}/state", TABLES)
+        saved = Graph(self.state.read("nodes"), self.state.read("edges"))
+        self.graph = saved if self.state.version >= 0 or start is None else start
+
+    @property
+    def batches(self) -> int:
+        return self.state.version + 1
 
-    def add(self, facts: DataFrame) -> Graph:
+    def add(self, facts: DataFrame, batch: int | None = None) -> Graph:
+        with self.state.update(batch) as fresh:
+            if fresh:
+                self._add(facts)
+        self.graph = Graph(self.state.read("nodes"), self.state.read("edges"))
+        return self.graph
+
+    def _add(self, facts: DataFrame) -> None:
         old = self.graph
         new = facts_to_graph(facts)
         fresh = self.cuts.cut(new.nodes.join(old.nodes.select("id"), "id", "left_anti").select(*old.nodes.columns))
@@ -46,23 +64,26 @@ class GraphBuilder:
         edges = rewire(edges, moved).where("src <> dst")
         rest = [c for c in edges.columns if c not in ("src", "rel", "dst")]
         first = edges.groupBy("src", "rel", "dst").agg(F.min_by(F.struct(*rest), F.struct("age", "eid")).alias("e"))
-        self.graph = Graph(self.cuts.cut(nodes), self.cuts.cut(first.select("src", "rel", "dst", "e.*").select(*old.edges.columns)))
-        self.batches += 1
-        for df in (fresh, old.nodes, old.edges):
-            self.cuts.drop(df)
-        return self.graph
+        everything = range(self.state.buckets)
+        self.state.replace("nodes", nodes, "id", everything)
+        self.state.replace("edges", first.select("src", "rel", "dst", "e.*"), "eid", everything)
+        self.cuts.drop(fresh)
 
     def attach(self, stream: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-        """Feed the builder from a stream of facts; the checkpoint is where a restart goes on."""
-        writer = stream.writeStream.foreachBatch(lambda batch, _: self.add(batch)).option("checkpointLocation", checkpoint)
+        """Feed the builder from a stream of facts. The checkpoint and the builder's path together are where a restart goes on."""
+        writer = stream.writeStream.foreachBatch(lambda rows, batch: self.add(rows, batch) and None).option("checkpointLocation", checkpoint)
         return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def attach_orphans(tracker: OrphanTracker, edges: DataFrame, entities: DataFrame, removed: DataFrame, checkpoint: str) -> StreamingQuery:
-    """Keep an orphan tracker up to date with a stream of edges; the other two tables are read as they are at each batch."""
+    """Keep an orphan tracker up to date with a stream of edges. The other two tables are read as they are at each batch; of
+    them only what the tracker's index doesn't know is taken in. The checkpoint and the tracker's path go together."""
 
-    def step(batch: DataFrame, _: int) -> None:
-        tracker.advance(references(batch), parents(entities), deletions(removed))
+    def step(rows: DataFrame, batch: int) -> None:
+        index = tracker.state.read("parents")
+        made = parents(entities).join(index.where("known").select("id", "created"), ["id", "created"], "left_anti")
+        gone = deletions(removed).join(index.select("id", "deleted"), ["id", "deleted"], "left_anti")
+        tracker.advance(references(rows), made, gone, batch)
 
     return edges.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
