@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 LANGUAGES = ("en", "hi", "mr", "ta", "te", "kn", "ml")
 #: Model classes: language and script.
@@ -173,7 +174,7 @@ def train(samples: list[tuple[str, int]], order: int = 5, discount: float = 0.75
 
 def like_english(english: list[str], others: list[str], order: int, margin: float = 0.5) -> np.ndarray:
     """Whether each prepared text has a cross-entropy that held-out English has, too."""
-    model = train([(t, 0) for i, t in enumerate(english) if i % 5], order)
+    model = train([(t, 0) for i, t in enumerate(english) if i % 5 or len(english) == 1], order)
     limit = np.quantile(model.cross_entropy(english[::5])[:, 0], 0.995) + margin
     return model.cross_entropy(others)[:, 0] <= limit
 
@@ -188,7 +189,7 @@ def fit(labelled: list[tuple[str, str]], rounds: int = 2, order: int = 5, englis
     """
     rows = []
     sure = sorted({letters(s)[0] for s in english if not letters(s)[1]})
-    if len(sure) >= 20:
+    if sure:
         latin = [(s, lang) for s, lang in labelled if not letters(s)[1]]
         same = like_english([sure[i] for i in np.random.default_rng(2).permutation(len(sure))], [letters(s)[0] for s, _ in latin], order)
         labelled = [x for x in labelled if letters(x[0])[1]] + [x for x, e in zip(latin, same) if e == (x[1] == "en")] + [(s, "en") for s in english]
@@ -249,27 +250,27 @@ def labelled_sentences(chats: DataFrame, pairs: DataFrame, bound: int = 1500) ->
     chat = chats.where((F.coalesce(F.col("lang"), F.lit("auto")) == "auto") & ~F.coalesce(F.col("is_mixed"), F.lit(False))).select(F.col("message").alias("text"), lang.alias("language"))
     answers = pairs.select(F.col("tgt").alias("text"), F.col("lang").alias("language"))
     prompts = pairs.select(F.col("src").alias("text"), F.lit("en").alias("language"))
-    def sample(part: DataFrame, language: str, is_latin: bool) -> list[str]:
-        rows = part.where((F.col("language") == language) & F.col("text").isNotNull() & (latin == is_latin)).select("text").distinct().orderBy(F.xxhash64("text")).limit(bound).collect()
-        return [r["text"][a:b] for r in rows for a, b in sentences(r["text"])]
+    parts = chat.withColumn("part", F.lit("chat")).unionByName(answers.withColumn("part", F.lit("answer"))).unionByName(prompts.withColumn("part", F.lit("prompt")))
+    parts = parts.where(F.col("text").isNotNull() & F.col("language").isin(*LANGUAGES)).withColumn("latin", latin)
+    wanted = F.when(F.col("part") == "answer", ~F.col("latin") & (F.col("language") != "en")).when(F.col("part") == "prompt", F.col("latin")).otherwise(F.when(F.col("latin"), F.col("language").isin("en", "hi")).otherwise(F.col("language") != "en"))
+    kind = ["part", "language", "latin"]
+    # copies have one hash: the dense rank counts texts, and is cut in each partition before the shuffle
+    rank = F.dense_rank().over(Window.partitionBy(*kind).orderBy(F.xxhash64("text"), "text"))
+    rows = parts.where(wanted).withColumn("at", rank).where(F.col("at") <= bound).select(*kind, "text").distinct().collect()  # at most 14 kinds of ``bound``
+    found = [(r["text"][x:y], r["language"], r["part"]) for r in sorted(rows) for x, y in sentences(r["text"])]
+    return [(s, lang) for s, lang, part in found if part != "prompt"], [s for s, _, part in found if part == "prompt"]
 
-    out = []
-    for language in LANGUAGES:
-        for part, is_latin in ((chat, True), (chat, False), (answers, False)):
-            if language in ("en", "hi") if is_latin else language != "en":
-                out += [(s, language) for s in sample(part, language, is_latin)]
-    return out, sample(prompts, "en", True)
 
+SEGMENTS = "request_id long, seg_no int, lang string, confidence double, accepted boolean, start int, stop int, n_segments int, stored string"
 
-SEGMENTS = "request_id long, seg_no int, lang string, confidence double, accepted boolean, start int, stop int"
 
-
-def segments(messages: DataFrame, model: Model, id: str = "request_id", text: str = "message") -> DataFrame:
+def segments(messages: DataFrame, model: Model, id: str = "request_id", text: str = "message", stored: str | None = None) -> DataFrame:
     """Per message a row with seg_no 0 and its language (``mixed`` if several), and rows 1.. for its segments.
 
     A segment is a longest run of sentences in one language. A sentence that isn't accepted takes the language of
-    the sentence before it, or after it. Null texts and texts without letters give no row; rows with a repeated id
-    give each their rows; other columns are ignored.
+    the sentence before it, or after it. ``n_segments`` is the message's number of them, ``stored`` its label in the
+    column of that name, so what is wrong can be told row by row. Null texts and texts without letters give no row; rows
+    with a repeated id give each their rows; other columns are ignored.
     """
     shared = messages.sparkSession.sparkContext.broadcast(model)
 
@@ -277,17 +278,18 @@ def segments(messages: DataFrame, model: Model, id: str = "request_id", text: st
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
-                yield _segment(shared.value, batch.column(0).to_pylist(), batch.column(1).to_pylist())
+                yield _segment(shared.value, *(c.to_pylist() for c in batch.columns))
 
-    return messages.where(F.col(text).isNotNull()).select(F.col(id).cast("long"), text).mapInArrow(run, SEGMENTS)
+    own = label(stored) if stored else F.lit(None).cast("string")
+    return messages.where(F.col(text).isNotNull()).select(F.col(id).cast("long"), text, own.alias("stored")).mapInArrow(run, SEGMENTS)
 
 
-def _segment(model: Model, ids: list, texts: list[str]) -> pa.RecordBatch:
+def _segment(model: Model, ids: list, texts: list[str], stored: list) -> pa.RecordBatch:
     places = [sentences(t) for t in texts]
     raw = [t[a:b] for t, p in zip(texts, places) for a, b in p]
     best, sure, ok, _ = model.classify(raw)
     rows, at = [], 0
-    for i, t, p in zip(ids, texts, places):
+    for i, mark, p in zip(ids, stored, places):
         n = len(p)
         if not n:
             continue
@@ -300,22 +302,21 @@ def _segment(model: Model, ids: list, texts: list[str]) -> pa.RecordBatch:
         cut = [0, *[j for j in range(1, n) if lang[j] != lang[j - 1]], n]
         kinds = set(lang.tolist())
         conf, acc = sure[at : at + n], ok[at : at + n]
-        rows.append((i, 0, "mixed" if len(kinds) > 1 else LANGUAGES[lang[0]], float(conf.min()), bool(acc.all()), p[0][0], p[-1][1]))
+        rows.append((i, 0, "mixed" if len(kinds) > 1 else LANGUAGES[lang[0]], float(conf.min()), bool(acc.all()), p[0][0], p[-1][1], len(cut) - 1, mark))
         for s, (a, b) in enumerate(zip(cut, cut[1:]), 1):
-            rows.append((i, s, LANGUAGES[lang[a]], float(conf[a:b].mean()), bool(acc[a:b].all()), p[a][0], p[b - 1][1]))
+            rows.append((i, s, LANGUAGES[lang[a]], float(conf[a:b].mean()), bool(acc[a:b].all()), p[a][0], p[b - 1][1], len(cut) - 1, mark))
         at += n
-    types = [pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.bool_(), pa.int32(), pa.int32()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, types)], names=[f.split()[0] for f in SEGMENTS.split(", ")])
+    types = [pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.bool_(), *[pa.int32()] * 3, pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 9, types)], names=[f.split()[0] for f in SEGMENTS.split(", ")])
 
 
 def corrected_labels(chats: DataFrame, pairs: DataFrame, bound: int = 1500) -> DataFrame:
-    """(request_id, seg_no, lang): the right label where the stored one is missing or wrong, and the segments of mixed messages."""
+    """(request_id, seg_no, lang): the right label where the stored one is missing or wrong, and the segments of mixed messages.
+
+    Every message is classified once and nothing of it is shuffled; a repeated request_id is judged row by row.
+    """
     labelled, english = labelled_sentences(chats, pairs, bound)
     model = fit(labelled, english=english)
-    stored = chats.select(F.col("request_id").cast("long").alias("request_id"), label("detected_lang").alias("stored")).dropDuplicates(["request_id"])
-    found = segments(chats.dropDuplicates(["request_id"]), model)
-    whole = found.where("seg_no = 0").join(stored, "request_id")
-    wrong = whole.where(~F.col("lang").eqNullSafe(F.col("stored"))).select("request_id", "seg_no", "lang")
-    # a message is mixed where it has a second segment
-    mixed = found.where("seg_no = 2").select("request_id").distinct()
-    return wrong.unionByName(found.where("seg_no > 0").join(mixed, "request_id", "left_semi").select("request_id", "seg_no", "lang"))
+    found = segments(chats, model, stored="detected_lang")
+    wrong = (F.col("seg_no") == 0) & ~F.col("lang").eqNullSafe(F.col("stored"))
+    return found.where(wrong | ((F.col("seg_no") > 0) & (F.col("n_segments") > 1))).select("request_id", "seg_no", "lang")
