@@ -7,8 +7,9 @@ one by one and added up, so their order doesn't count. Rows of equal hashes are
 the group's first row by two pointers that skip the same bytes; a row that differs (a collision) is
 grouped by its own folded text instead.
 
-Only hash pairs and row numbers are shuffled for the counting, with partial aggregation; raw rows
-only join with groups of two and more, and a hot group's rows are salted.
+Only hash pairs and row numbers are shuffled for the counting, with partial aggregation. Raw rows are
+read a second time for groups of two and more only, picked by a bitmap of fixed size before anything is
+shuffled, and a hot group's rows are salted.
 """
 
 from __future__ import annotations
@@ -16,12 +17,14 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.bitmap import in_bitmap
 from graphloom.session import Cuts
 
 BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -42,14 +45,7 @@ PLAIN = re.compile(r"[\x00-\x7f\u00a0\u00ab\u00bb\u2000-\u206f\u3000\ufeff]*")
 
 def fold(text: str) -> str:
     """The folded text that the hashes stand for; built only where the table doesn't reach and for collisions."""
-    t = text.casefold().replace("−", "-")
-    keep = []
-    for i, c in enumerate(t):
-        if c.isalnum():
-            keep.append(c)
-        elif c == "." and 0 < i < len(t) - 1 and t[i - 1].isdigit() and t[i + 1].isdigit() or c == "-" and i < len(t) - 1 and t[i + 1].isdigit():
-            keep.append(c)
-    return "".join(keep)
+    return "".join(folded_characters(text))
 
 
 def fold_id(text: str | None) -> str:
@@ -184,28 +180,21 @@ def row_hashes(columns: list[list[str | None]]) -> tuple[np.ndarray, np.ndarray]
     return total[0], total[1]
 
 
-def same_text(a: str, b: str) -> bool:
-    """Whether two texts are equal after folding: two pointers that skip what doesn't count."""
-    i = j = 0
-    m, n = len(a), len(b)
-    while True:
-        while i < m and not _counts(a, i):
-            i += 1
-        while j < n and not _counts(b, j):
-            j += 1
-        if i == m or j == n:
-            return i == m and j == n
-        if a[i] != b[j] and a[i].casefold() != b[j].casefold():
-            return False
-        i, j = i + 1, j + 1
+def folded_characters(text: str) -> Iterator[str]:
+    """The characters of ``fold(text)``, one by one."""
+    for i, c in enumerate(text):
+        if c.isalnum():
+            yield from (x for x in c.casefold() if x.isalnum())
+        elif c in "-−":
+            if i + 1 < len(text) and text[i + 1].isdigit():
+                yield "-"
+        elif c == "." and 0 < i < len(text) - 1 and text[i - 1].isdigit() and text[i + 1].isdigit():
+            yield c
 
 
-def _counts(t: str, i: int) -> bool:
-    c = t[i]
-    if c.isalnum():
-        return True
-    after = i + 1 < len(t) and t[i + 1].isdigit()
-    return after and (c in "-−" or c == "." and i > 0 and t[i - 1].isdigit())
+def same_text(a: str, b: str) -> bool:
+    """Whether two texts are equal after folding: two pointers that skip what doesn't count."""
+    return all(x == y for x, y in zip_longest(folded_characters(a), folded_characters(b)))
 
 
 def same_row(a: tuple, b: tuple) -> bool:
@@ -229,18 +218,17 @@ def same_row(a: tuple, b: tuple) -> bool:
     return True
 
 
-def hashed(rows: DataFrame, keep_fields: bool, hash_bits: int = 64) -> DataFrame:
-    """(h1, h2, edge_no), with the raw fields if asked. ``hash_bits`` below 64 serves tests of collisions."""
+def hashed(rows: DataFrame, hash_bits: int = 64) -> DataFrame:
+    """(h1, h2, edge_no). ``hash_bits`` below 64 serves tests of collisions."""
     mask = np.uint64((1 << hash_bits) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = row_hashes([batch.column(i).to_pylist() for i in range(1, 6)])
             cols = [pa.array((a & mask).view(np.int64)), pa.array(((b & mask) if hash_bits == 64 else b * np.uint64(0)).view(np.int64)), batch.column(0)]
-            yield pa.RecordBatch.from_arrays(cols + (batch.columns[1:] if keep_fields else []), names=["h1", "h2", "edge_no", *(FIELDS if keep_fields else ())])
+            yield pa.RecordBatch.from_arrays(cols, names=["h1", "h2", "edge_no"])
 
-    schema = "h1 long, h2 long, edge_no long" + "".join(f", {f} string" for f in FIELDS) * keep_fields
-    return rows.where("edge_no is not null").select(F.col("edge_no").cast("long"), *[F.col(f).cast("string") for f in FIELDS]).mapInArrow(run, schema)
+    return rows.select("edge_no", *FIELDS).mapInArrow(run, "h1 long, h2 long, edge_no long")
 
 
 def collapse(rows: DataFrame, salt_rows: int = 100_000, hash_bits: int = 64) -> DataFrame:
@@ -250,18 +238,21 @@ def collapse(rows: DataFrame, salt_rows: int = 100_000, hash_bits: int = 64) ->
     a custom that is no JSON object is compared as text; a repeated edge_no counts once; an empty table
     gives none; other columns are ignored.
     """
-    keys = ["h1", "h2"]
-    counts = hashed(rows, False, hash_bits).groupBy(*keys).agg(F.min("edge_no").alias("kept_no"), F.count("*").alias("n"), F.max("edge_no").alias("last")).where("n > 1 and last > kept_no")
+    keys, spark = ["h1", "h2"], rows.sparkSession
+    cuts = Cuts(spark, "collapse")
+    rows = rows.where("edge_no is not null").select(F.col("edge_no").cast("long").alias("edge_no"), *[F.col(f).cast("string").alias(f) for f in FIELDS])
+    hashes = cuts.cut(hashed(rows, hash_bits))
+    counts = hashes.groupBy(*keys).agg(F.min("edge_no").alias("kept_no"), F.count("*").alias("n"), F.max("edge_no").alias("last")).where("n > 1 and last > kept_no")
     # a group of n rows is spread over ceil(n / salt_rows) salts
-    salts = F.ceil(F.col("n") / salt_rows).cast("int")
-    full = hashed(rows, True, hash_bits)
-    groups = counts.select(*keys, "kept_no", salts.alias("salts"))
-    cuts = Cuts(rows.sparkSession, "collapse")
-    members = cuts.cut(full.join(groups, keys))
-    kept = members.where(F.col("edge_no") == F.col("kept_no")).dropDuplicates([*keys, "edge_no"])
-    first = kept.select(*keys, F.struct(*FIELDS).alias("first"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    copies = members.where("edge_no > kept_no").withColumn("salt", F.pmod(F.col("edge_no"), F.col("salts")).cast("int"))
-    both = copies.select(*keys, "salt", "kept_no", "edge_no", F.struct(*FIELDS).alias("own")).join(first, [*keys, "salt"])
+    groups = counts.select(*keys, "kept_no", F.ceil(F.col("n") / salt_rows).cast("int").alias("salts"))
+    members = cuts.cut(hashes.join(groups, keys).select("edge_no", "kept_no", "salts").distinct())
+    # only rows of groups of two and more are shuffled: a bitmap of fixed size lets them through
+    raw = cuts.cut(in_bitmap(rows, members, "edge_no").join(members, "edge_no"))
+    # of several rows under one edge_no the least stands for it as the kept one
+    kept = raw.where("edge_no = kept_no").groupBy("kept_no").agg(F.min(F.struct(*FIELDS)).alias("first"), F.max("salts").alias("salts"))
+    first = kept.select("kept_no", "first", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    copies = raw.where("edge_no > kept_no").withColumn("salt", F.pmod(F.xxhash64("edge_no"), F.col("salts")).cast("int"))
+    both = copies.select("salt", "kept_no", "edge_no", F.struct(*FIELDS).alias("own")).join(first, ["kept_no", "salt"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,6 +262,8 @@ def collapse(rows: DataFrame, salt_rows: int = 100_000, hash_bits: int = 64) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(key, pa.string())], names=["kept_no", "copy_no", "other"])
 
     checked = cuts.cut(both.select("kept_no", "edge_no", "own", "first").mapInArrow(verify, "kept_no long, copy_no long, other string"))
+    for df in (hashes, members, raw):
+        cuts.drop(df)
     collided = checked.where("other is not null")
     regrouped = collided.groupBy("other").agg(F.min("copy_no").alias("kept_no")).join(collided.select("other", "copy_no"), "other").where("copy_no > kept_no")
     return checked.where("other is null").select("kept_no", "copy_no").unionByName(regrouped.select("kept_no", "copy_no")).distinct()
