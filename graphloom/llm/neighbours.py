@@ -5,12 +5,15 @@
    Procrustes step in turn). A vector's code is the signs of its rotated coordinates.
 2. The code is split into ``m`` substrings of ``s`` bits, each an index of its own. By the pigeonhole
    principle two codes that differ in fewer than ``m`` bits agree in a whole substring, so probing every
-   index retrieves all codes within that radius; ``s`` grows with the logarithm of the collection, and
-   ``m`` is set so that a pair at the similarity bound is missed with probability ``miss`` at most.
+   index retrieves all codes within that radius; ``s`` grows with the logarithm of the collection so that
+   a bucket holds some ``bucket`` vectors, and ``m`` is set so that a pair at the similarity bound is
+   missed with probability ``miss`` at most.
 3. A bucket is all vectors of one substring value. Its members are compared by their floats, blocks of
    ``block`` queries against blocks of ``block`` members: a bucket of a third of all rows is many small
-   tasks' work. Each task keeps ``k`` per query; those lists are merged.
-4. The kept pairs have their similarity in double precision, rounded; ties go to the smaller id.
+   tasks' work. Each task keeps ``k`` per query over all its buckets; those lists are merged.
+4. The kept pairs have their similarity in double precision, rounded; ties go to the smaller id. Ids are
+   numbered in their order first, so that all of this is done with numbers; exact copies of a vector are
+   searched once and stand for each other.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from graphloom.operators.series import numbered
 from graphloom.session import Cuts
 
 
@@ -52,111 +56,103 @@ def usable(vectors: DataFrame, id: str, vector: str, dim: int) -> DataFrame:
     return vectors.where(ok).select(F.col(id).alias("id"), v.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
 
 
-SPREAD = "key long, cell int, side byte, id string, v array<float>, own int"
+SPREAD = "key long, lo int, hi int, side byte, n long, v array<float>"
 
 
-def _codes(rotation: np.ndarray, s: int, m: int, blocks: dict[tuple[int, int], int]):
-    """(table and substring, block, query or member, id, vector) rows of each vector."""
-    weights = (1 << np.arange(s)).astype(np.int64)
+def _keys(v: pa.Array, rotation: np.ndarray, s: int, m: int) -> np.ndarray:
+    """A row per vector and a column per index: the substring's value and the index's number."""
+    x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    return ((x @ rotation > 0).reshape(len(x), m, s) * (1 << np.arange(s)).astype(np.int64)).sum(2) * m + np.arange(m)
+
+
+def _codes(rotation: np.ndarray, s: int, m: int):
+    """(substring and index, number, vector) rows of each vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
-                x /= np.linalg.norm(x, axis=1)[:, None]
-                key = ((x @ rotation > 0).reshape(len(x), m, s) * weights).sum(2) * m + np.arange(m)
-                own = batch.column(2).to_numpy(zero_copy_only=False)
-                yield from _spread(batch, key, own, blocks)
+                key = _keys(batch.column(1), rotation, s, m)
+                for j in range(m):
+                    yield pa.RecordBatch.from_arrays([pa.array(key[:, j]), *batch.columns], names=["key", "n", "v"])
 
     return run
 
 
-def _spread(batch: pa.RecordBatch, key: np.ndarray, own: np.ndarray, blocks: dict) -> Iterator[pa.RecordBatch]:
-    for j in range(key.shape[1]):
-        k = key[:, j]
-        n = np.array([blocks.get(int(v), 1) for v in k]) if blocks else np.ones(len(k), np.int64)
-        mine = (own % n).astype(np.int64)
-        # a vector meets its own block as query and member; as query also every later cell of its row, as member of its column
-        row = np.repeat(np.arange(len(k)), n)
-        other = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        q = mine[row]
-        lo, hi = np.minimum(q, other), np.maximum(q, other)
-        cell = lo * n[row] + hi
-        side = np.where(q == other, 2, (q > other).astype(np.int64))
-        take = pa.array(row)
-        yield pa.RecordBatch.from_arrays([pa.array(k[row]), pa.array(cell.astype(np.int32)), pa.array(side.astype(np.int8)), batch.column(0).take(take), batch.column(1).take(take), pa.array(own[row].astype(np.int32))], names=["key", "cell", "side", "id", "v", "own"])
+def best_of(q: np.ndarray, n: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best distinct neighbours of each query: by similarity, ties to the smaller number."""
+    o = np.lexsort((n, -s, q))
+    q, n, s = q[o], n[o], s[o]
+    # the same pair from several buckets has the same similarity, so its repeats are next to each other
+    keep = np.ones(len(q), bool)
+    keep[1:] = (q[1:] != q[:-1]) | (n[1:] != n[:-1])
+    q, n, s = q[keep], n[keep], s[keep]
+    first = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.empty(0, np.int64)
+    place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+    return q[place < k], n[place < k], s[place < k]
 
 
 def _compare(k: int, bound: float):
-    def cell(ids: np.ndarray, side: np.ndarray, v: np.ndarray, out: dict) -> None:
-        order = np.argsort(ids, kind="stable")
-        ids, side, v = ids[order], side[order], v[order]
-        if side[0] == 2:
-            parts = [(v, ids, v, ids, True)]
-        else:
-            a, b = side == 0, side == 1
-            parts = [(v[a], ids[a], v[b], ids[b], False), (v[b], ids[b], v[a], ids[a], False)]
-        for x, xi, y, yi, same in parts:
-            if not len(x) or not len(y):
-                continue
-            for at in range(0, len(x), 512):
-                sim = x[at : at + 512] @ y.T
-                if same:
-                    sim[np.arange(len(sim)), np.arange(at, at + len(sim))] = -2
-                for q in np.flatnonzero(sim.max(1) >= bound - 1e-6):
-                    s = sim[q]
-                    near = np.flatnonzero(s >= bound - 1e-6)
-                    if len(near) > 4 * k:
-                        # more than k may tie: sort by similarity as rounded, then by id, which is the order of y
-                        kth = np.partition(s[near], len(near) - k)[len(near) - k]
-                        near = near[s[near] >= kth - 2e-9]
-                        near = near[np.argsort(-np.round(s[near], 9), kind="stable")[: k]]
-                    mine = out.setdefault(xi[at + q], {})
-                    for n in near:
-                        mine[yi[n]] = s[n]
+    def against(x: np.ndarray, xn: np.ndarray, y: np.ndarray, yn: np.ndarray, same: bool) -> Iterator[tuple]:
+        for at in range(0, len(x), 512):
+            part = x[at : at + 512]
+            # single precision finds what may count, at 4 bytes a pair; double decides
+            sim = part.astype(np.float32) @ y.T.astype(np.float32)
+            if same:
+                sim[np.arange(len(part)), np.arange(at, at + len(part))] = -2
+            least = np.full(len(part), bound - 1e-5, np.float32)
+            if sim.shape[1] > 4 * k:
+                least = np.maximum(least, np.partition(sim, sim.shape[1] - k, axis=1)[:, sim.shape[1] - k] - np.float32(1e-5))
+            r, c = np.nonzero(sim >= least[:, None])
+            if len(r):
+                for cut in range(0, len(r), 200_000):
+                    i, j = r[cut : cut + 200_000], c[cut : cut + 200_000]
+                    yield best_of(xn[at + i], yn[j], np.round(np.einsum("ij,ij->i", part[i], y[j]), 9), k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: dict = {}
+        out: list[tuple] = []
         held: list[pa.RecordBatch] = []
         last = None
 
         def flush() -> None:
             t = pa.Table.from_batches(held)
-            ids = np.array(t.column("id").to_pylist(), object)
-            v = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).astype(np.float64)
+            n, side = t.column("n").to_numpy(), t.column("side").to_numpy()
+            v = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(n), -1).astype(np.float64)
             v /= np.linalg.norm(v, axis=1)[:, None]
-            key, c = t.column("key").to_numpy(), t.column("cell").to_numpy()
-            side = t.column("side").to_numpy()
-            edges = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (c[1:] != c[:-1])]))
-            for s, e in zip(edges, np.append(edges[1:], len(key))):
-                if e - s > 1:
-                    cell(ids[s:e], side[s:e], v[s:e], out)
+            cell = [t.column(c).to_numpy() for c in ("key", "lo", "hi")]
+            edges = np.flatnonzero(np.append(True, np.any([c[1:] != c[:-1] for c in cell], axis=0)))
+            for s, e in zip(edges, np.append(edges[1:], len(n))):
+                if e - s < 2:
+                    continue
+                if side[s] == 2:
+                    out.extend(against(v[s:e], n[s:e], v[s:e], n[s:e], True))
+                else:
+                    a, b = s + np.flatnonzero(side[s:e] == 0), s + np.flatnonzero(side[s:e] == 1)
+                    if len(a) and len(b):
+                        out.extend(against(v[a], n[a], v[b], n[b], False))
+                        out.extend(against(v[b], n[b], v[a], n[a], False))
             held.clear()
 
         def rows() -> Iterator[pa.RecordBatch]:
-            flat = []
-            for q, found in out.items():
-                best = sorted(((-round(s, 9), n) for n, s in found.items()))[:k]
-                flat += [(q, n, -s) for s, n in best]
-            out.clear()
-            if flat:
-                a, b, s = zip(*flat)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(s, pa.float64())], names=["id", "neighbour_id", "similarity"])
+            if out:
+                q, n, s = best_of(*(np.concatenate(c) for c in zip(*out)), k)
+                out.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(n), pa.array(s)], names=["q", "n", "similarity"])
 
         for batch in batches:
             # a bucket is never cut: what follows the last bucket's start waits for the next batch
-            key, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            new = np.flatnonzero((key[1:] != key[:-1]) | (c[1:] != c[:-1])) + 1
-            if last is not None and (key[0], c[0]) != last:
+            cell = [c.to_numpy() for c in batch.columns[:3]]
+            new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cell], axis=0)) + 1
+            if last is not None and tuple(c[0] for c in cell) != last:
                 new = np.concatenate([[0], new])
             if len(new):
                 cut = int(new[-1])
                 held.append(batch.slice(0, cut)), flush()
                 batch = batch.slice(cut)
             held.append(batch)
-            last = (key[-1], c[-1])
-            if len(out) > 50_000:
+            last = tuple(c[-1] for c in cell)
+            if sum(len(x[0]) for x in out) > 2_000_000:
                 yield from rows()
         if held:
             flush()
@@ -165,7 +161,7 @@ def _compare(k: int, bound: float):
     return run
 
 
-def nearest(vectors: DataFrame, id: str = "id", vector: str = "embedding", dim: int = 64, k: int = 5, similarity: float = 0.8, miss: float = 0.02, sample: int = 20_000, block: int = 2048, bucket: int = 64, most_split: int = 100_000) -> DataFrame:
+def nearest(vectors: DataFrame, id: str = "id", vector: str = "embedding", dim: int = 64, k: int = 5, similarity: float = 0.8, miss: float = 0.005, sample: int = 20_000, bucket: int = 1024, block: int = 4096) -> DataFrame:
     """(id, neighbour_id, similarity): the at most ``k`` other ids of cosine similarity ``similarity`` and more.
 
     Vectors that are null, of another length, all zero or hold NaN take no part; of several vectors of an id the
@@ -173,35 +169,52 @@ def nearest(vectors: DataFrame, id: str = "id", vector: str = "embedding", dim:
     """
     spark = vectors.sparkSession
     cuts = Cuts(spark, "neighbours")
-    own = cuts.cut(usable(vectors, id, vector, dim).select(F.col("id").cast("string"), "v", F.pmod(F.xxhash64("id"), F.lit(1 << 30)).cast("int").alias("own")))
-    n = own.count()
-    s = max(8, round(math.log2(max(n, 2) / bucket)))
+    own = cuts.cut(numbered(usable(vectors, id, vector, dim).select(F.col("id").cast("string"), "v"), "id", name="n"))
+    # exact copies: the least ``k`` + 1 numbers of a vector are all its copies can need of each other
+    rank = F.row_number().over(Window.partitionBy("v").orderBy("n"))
+    few = own.withColumn("at", rank).where(F.col("at") <= k + 1).groupBy("v").agg(F.min("n").alias("n"), F.array_sort(F.collect_list("n")).alias("copies"))
+    heads = cuts.cut(few)
+    total = heads.count()
+    s = max(2, round(math.log2(max(total, 2) / bucket)))
     m = tables_needed(s, similarity, miss)
-    rows = own.orderBy("own", "id").limit(sample).select("v").collect()
+    rows = heads.orderBy(F.xxhash64("n"), "n").limit(sample).select("v").collect()
     x = np.array([r["v"] for r in rows], np.float64).reshape(len(rows), dim)
     x /= np.linalg.norm(x, axis=1)[:, None] if len(x) else 1
     rotation = learn_rotations(x, s * m) if len(x) else np.zeros((dim, s * m))
-    # buckets beyond ``block`` are split into cells: by a lookup if there are at most ``most_split`` of them, else by a join
-    weights = (1 << np.arange(s)).astype(np.int64)
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            y = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
-            key = ((y / np.linalg.norm(y, axis=1)[:, None] @ rotation > 0).reshape(len(y), m, s) * weights).sum(2) * m + np.arange(m)
-            v, c = np.unique(key, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(c)], names=["key", "n"])
-
-    large = cuts.cut(own.select("v").mapInArrow(keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > block))
-    few = large.count() <= most_split
-    blocks = {r["key"]: -(-r["n"] // block) for r in large.collect()} if few else {}
-    spread = own.select("id", "v", "own").mapInArrow(_codes(rotation, s, m, blocks), SPREAD)
-    if not few:
-        n_blocks = F.coalesce(F.ceil(F.col("n") / block).cast("int"), F.lit(1))
-        cells = spread.drop("cell", "side").join(large, "key", "left").withColumn("n", n_blocks).withColumn("q", F.pmod("own", "n")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        cell = F.least("q", "other") * F.col("n") + F.greatest("q", "other")
-        spread = cells.select("key", cell.cast("int").alias("cell"), F.when(F.col("q") == F.col("other"), 2).when(F.col("q") > F.col("other"), 1).otherwise(0).cast("byte").alias("side"), "id", "v", "own")
-    spread = spread.drop("own")
-    parts = max(spark.sparkContext.defaultParallelism * 2, n * m // 100_000)
-    lists = spread.repartition(parts, "key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_compare(k, similarity), "id string, neighbour_id string, similarity double")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour_id"))
-    return lists.where(F.col("similarity") >= similarity).distinct().withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+            v, c = np.unique(_keys(batch.column(0), rotation, s, m), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(c)], names=["key", "rows"])
+
+    large = cuts.cut(heads.select("v").mapInArrow(count, "key long, rows long").groupBy("key").agg(F.sum("rows").alias("rows")).where(F.col("rows") > block))
+    spread = heads.select("n", "v").mapInArrow(_codes(rotation, s, m), "key long, n long, v array<float>")
+    # a bucket beyond ``block`` is cells of pairs of blocks: a vector is a query in the row and a member in the column of its block
+    blocks = F.coalesce(F.ceil(F.col("rows") / block).cast("int"), F.lit(1))
+    if large.isEmpty():
+        spread = spread.select("key", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(2).cast("byte").alias("side"), "n", "v")
+    else:
+        cells = spread.join(large, "key", "left").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("n"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") > F.col("other"), 1).otherwise(0).cast("byte")
+        spread = cells.select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), side.alias("side"), "n", "v")
+    parts = max(spark.sparkContext.defaultParallelism * 2, total * m // 100_000)
+    lists = spread.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_compare(k, similarity), "q long, n long, similarity double").where(F.col("similarity") >= similarity)
+    best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), "n"))
+    ranked = cuts.cut(lists.distinct().withColumn("rank", best).where(F.col("rank") <= k).drop("rank"))
+    repeated = cuts.cut(heads.where(F.size("copies") > 1).select("n", "copies"))
+    if not repeated.isEmpty():
+        ranked = _with_copies(own, heads, repeated, ranked, k)
+    names = own.select("n", "id")
+    out = ranked.join(names.withColumnRenamed("id", "neighbour_id"), "n").drop("n")
+    return out.join(names.withColumnsRenamed({"n": "q"}), "q").select("id", "neighbour_id", "similarity")
+
+
+def _with_copies(own: DataFrame, heads: DataFrame, repeated: DataFrame, ranked: DataFrame, k: int) -> DataFrame:
+    """Neighbours of every number from those of one per distinct vector: copies of each other first or by their number."""
+    # every number with the one that stands for its vector
+    of = own.join(heads.where(F.size("copies") > 1).select("v", F.col("n").alias("head"), "copies"), "v", "left").select("n", F.coalesce("head", "n").alias("head"), "copies")
+    beside = of.where("copies is not null").select(F.col("n").alias("q"), F.explode("copies").alias("n"), F.lit(1.0).alias("similarity")).where("q <> n")
+    each = ranked.join(repeated.select("n", "copies"), "n", "left").select("q", F.explode(F.coalesce("copies", F.array("n"))).alias("n"), "similarity")
+    others = each.withColumnRenamed("q", "head").join(of.select(F.col("n").alias("q"), "head"), "head").select("q", "n", "similarity")
+    best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), "n"))
+    return beside.unionByName(others).withColumn("rank", best).where(F.col("rank") <= k).drop("rank")
