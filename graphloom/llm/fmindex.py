@@ -76,7 +76,8 @@ class WaveletMatrix:
 class FMIndex:
     """Texts of labelled owners; label -1 is a text of several owners.
 
-    A pattern counts as found for an owner where it occurs in a text of another owner.
+    A pattern counts as found for an owner where it occurs in a text of another owner; what a text of several owners
+    holds is found for it wherever it occurs, itself included.
     """
 
     def __init__(self, texts: list[np.ndarray], labels: list[int]):
@@ -106,7 +107,8 @@ class FMIndex:
             both = self.before[np.concatenate([c, c])] + self.wavelet.rank(np.concatenate([c, c]), np.concatenate([lo, hi]))
             lo, hi = both[: len(live)], both[len(live) :]
             at = np.minimum(lo, len(self.owner) - 1)
-            ok = (lo < hi) & ((self.owner[at] != self.labels[text[live]]) | (self.next_other[at] < hi))
+            mine = self.labels[text[live]]
+            ok = (lo < hi) & ((self.owner[at] != mine) | (mine < 0) | (self.next_other[at] < hi))
             live, lo, hi = live[ok], lo[ok], hi[ok]
             i[live] -= 1
             more = i[live] > limit[live]
@@ -143,7 +145,7 @@ class FMIndex:
         match is extended to the left; where it stops, at j, the farthest end for a start at j comes next.
         """
         out = []
-        text = np.flatnonzero((self.labels >= 0) & (self.end - self.start >= length))
+        text = np.flatnonzero(self.end - self.start >= length)
         anchor = self.start[text] + np.asarray(at, np.int64)[text]
         end = self.longest(text, anchor, anchor + k, self.end[text])
         while True:

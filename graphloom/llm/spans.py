@@ -4,16 +4,17 @@
    with the least hash, so any two equal runs of ``length`` code points hold the same anchor. An
    anchor row carries hashes and offsets only, one per about ``length / 2`` code points.
 2. Anchors of one document are dropped. Around the others lies a snippet: all windows of
-   ``length`` that hold the anchor. A snippet equal in several documents is shared as a whole.
-3. The remaining snippets, those near the ends of shared passages, go to shards by anchor. Each
-   shard builds an FM-index over a wavelet matrix of its snippets and streams them through it by
-   backward search; runs of at least ``length`` found under another document are reported. A
-   snippet that one document has several times is searched once, for all its places.
-4. An anchor with more than ``group_cap`` different snippets would make one shard too large. Its
-   windows are counted by hash instead, with partial aggregation, so no case is dropped.
+   ``length`` that hold the anchor. Hashes only choose which snippets meet: those of one anchor.
+3. The different snippets of an anchor go to one shard, each once for all its places and with its
+   document, or none if several documents have it. Each shard builds an FM-index over a wavelet matrix of
+   its snippets and streams them through it by backward search: the matching statistics give the runs of at
+   least ``length`` that another document has, too. Every interval reported comes from there.
+4. An anchor with more than ``group_cap`` different snippets would make one shard too large. The hashes of
+   its snippets' windows, counted with partial aggregation, tell for each snippet which few others hold what
+   it shares; it is streamed through the index of each of those, in groups of at most ``group_cap``.
 5. The intervals of each document are united and measured.
 
-Text is shuffled only for the snippets of step 3 and 4.
+Text is shuffled once for each different snippet under a shared anchor (or visit of a hot one).
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from graphloom.llm.bitmap import in_bitmap
 from graphloom.llm.fmindex import FMIndex
 from graphloom.session import Cuts
 
@@ -33,8 +35,6 @@ BASE = 0x9E3779B97F4A7C15 | 1
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 PIECE = 1 << 20
 ANCHORS = "h long, sh long, doc_id long, th int, pos int, e int"
-#: 2 MB, in buckets of 4 KB: what is broadcast of the texts wanted, however many they are.
-BITMAP_BITS = 1 << 24
 
 
 class Roller:
@@ -137,13 +137,14 @@ INTERVALS = "h long, sh long, p int, a int, b int"
 
 
 def _search(length: int, k: int, shard_chars: int):
+    """Rows (group, h, sh, p, doc_id, single, snippet), by group, to the intervals of each snippet found under another document."""
     names = [f.split()[0] for f in INTERVALS.split(", ")]
 
-    def shard(rows: list[tuple]) -> pa.RecordBatch | None:
+    def shard(rows: list[tuple]) -> pa.RecordBatch:
         number: dict[int, int] = {}
-        index = FMIndex([code_points(r[7]) for r in rows], [number.setdefault(r[2], len(number)) if r[5] else -1 for r in rows])
-        found = index.shared(length, np.array([r[6] for r in rows]), k)
-        cols = [*([rows[t][c] for t, _, _ in found] for c in (0, 1, 6)), [a for _, a, _ in found], [b for _, _, b in found]]
+        index = FMIndex([code_points(r[6]) for r in rows], [number.setdefault(r[4], len(number)) if r[5] else -1 for r in rows])
+        found = index.shared(length, np.array([r[3] for r in rows]), k)
+        cols = [*([rows[t][c] for t, _, _ in found] for c in (1, 2, 3)), [a for _, a, _ in found], [b for _, _, b in found]]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()])], names=names)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +155,7 @@ def _search(length: int, k: int, shard_chars: int):
                     yield shard(rows)
                     rows, total = [], 0
                 rows.append(r)
-                total += len(r[7])
+                total += len(r[6])
         if rows:
             yield shard(rows)
 
@@ -164,18 +165,40 @@ def _search(length: int, k: int, shard_chars: int):
 def _windows(length: int):
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for h, sh, doc, _, _, single, p, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for h, sh, p, doc, single, text in zip(*(c.to_pylist() for c in batch.columns)):
                 x = code_points(text)
                 n = len(x) - length + 1
                 if n > 0:
                     at = np.arange(n)
                     wh = Roller(x).slices(at, at + length).view(np.int64)
-                    cols = [np.full(n, h), np.full(n, sh), np.full(n, p, np.int32), wh, np.full(n, doc), at.astype(np.int32), np.full(n, not single)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h", "sh", "p", "wh", "doc_id", "a", "many"])
+                    cols = [np.full(n, h), np.full(n, sh), np.full(n, p, np.int32), wh, np.full(n, doc), np.full(n, single)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h", "sh", "p", "wh", "doc_id", "single"])
 
     return windows
 
 
+SNIPPET = ["h", "sh", "p"]
+
+
+def _visits(hot: DataFrame, length: int, group_cap: int) -> DataFrame:
+    """(group, *SNIPPET): each snippet of a hot anchor with the snippets that hold its windows under another document.
+
+    Per window the snippet of the least document stands for it, or that of the greatest for the least document itself: few
+    snippets, since they are the same ones for windows of one passage. What visits one of them is salted.
+    """
+    rows = hot.select(*SNIPPET, "doc_id", "single", "snippet").mapInArrow(_windows(length), "h long, sh long, p int, wh long, doc_id long, single boolean")
+    who = F.struct("doc_id", "sh", "p")
+    common = rows.groupBy("h", "wh").agg(F.min(who).alias("lo"), F.max(who).alias("hi"), F.min(F.when(~F.col("single"), who)).alias("many")).where("lo.doc_id < hi.doc_id or many is not null")
+    other = F.when(F.col("many").isNotNull(), F.col("many")).when(F.col("lo.doc_id") != F.col("doc_id"), F.col("lo")).otherwise(F.col("hi"))
+    pairs = rows.join(common, ["h", "wh"]).select(*SNIPPET, other.alias("to")).distinct()
+    sizes = pairs.groupBy("h", "to").agg(F.count("*").alias("visitors"))
+    salts = F.ceil(F.col("visitors") / group_cap).cast("int")
+    group = lambda salt: F.xxhash64("h", "to.sh", "to.p", salt)
+    visitors = pairs.join(sizes.where(F.col("visitors") > group_cap), ["h", "to"], "left").select(group(F.coalesce(F.pmod(F.xxhash64("sh", "p"), salts), F.lit(0).cast("long"))).alias("group"), *SNIPPET)
+    hosts = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).select(group(F.col("salt").cast("long")).alias("group"), "h", F.col("to.sh").alias("sh"), F.col("to.p").alias("p"))
+    return visitors.unionByName(hosts).distinct()
+
+
 def shared_intervals(docs: DataFrame, length: int = 240, k: int = 96, group_cap: int = 4000, shard_chars: int = 1_000_000) -> DataFrame:
     """Intervals (doc_id, th, s, e) that cover the runs of ``length`` code points found under another doc_id.
 
@@ -189,31 +212,24 @@ def shared_intervals(docs: DataFrame, length: int = 240, k: int = 96, group_cap:
     anchors = cuts.cut(docs.mapInArrow(_scan(length, k), ANCHORS))
     several = anchors.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h")
     near_end = F.greatest(F.lit(0), F.col("pos") + k - length)
-    anchors_2 = cuts.cut(anchors.join(several, "h").select("h", "sh", "doc_id", "th", near_end.alias("s"), "e", (F.col("pos") - near_end).alias("p")))
+    places = cuts.cut(anchors.join(several, "h").select("h", "sh", "doc_id", "th", near_end.alias("s"), "e", (F.col("pos") - near_end).alias("p")))
     cuts.drop(anchors)
-    per = anchors_2.groupBy("h", "sh", "p").agg(F.min(F.struct("doc_id", "th", "s", "e")).alias("r"), F.max("doc_id").alias("hi"))
-    per = cuts.cut(per.select("h", "sh", "p", "r.*", (F.col("r.doc_id") == F.col("hi")).alias("single")))
-    groups = per.groupBy("h").agg(F.count("*").alias("n"), F.max("single").alias("mixed")).where("mixed").select("h", "n")
-
-    whole = per.where(~F.col("single")).select("h", "sh", "p", F.lit(0).alias("a"), (F.col("e") - F.col("s")).alias("b"))
-    wanted = cuts.cut(per.join(groups, "h"))
-    # of the texts only those that a bitmap of fixed size may hold are shuffled
-    bit = F.pmod(F.xxhash64("doc_id", "th"), F.lit(BITMAP_BITS))
-    bitmap = wanted.select(bit.alias("bit")).distinct().groupBy(F.expr("bitmap_bucket_number(bit)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits"))
-    hit = docs.withColumn("bit", bit).withColumn("bucket", F.expr("bitmap_bucket_number(bit)")).join(F.broadcast(bitmap), "bucket")
-    byte = F.conv(F.hex(F.expr("substring(bits, cast(bitmap_bit_position(bit) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    hit = hit.withColumn("byte", byte).where("(shiftright(byte, cast(bitmap_bit_position(bit) % 8 as int)) & 1) = 1").select("doc_id", "th", "text")
-    todo = wanted.join(hit, ["doc_id", "th"]).select("h", "sh", "doc_id", "th", "s", "single", "p", F.expr("substring(text, s + 1, e - s)").alias("snippet"), "n").dropDuplicates(["h", "sh", "p"])
-    todo = cuts.cut(todo)
-    chars = todo.agg(F.sum(F.length("snippet"))).first()[0] or 0
+    # a snippet once for all its places; it is of no document if several have it
+    per = places.groupBy(*SNIPPET).agg(F.min(F.struct("doc_id", "th", "s", "e")).alias("r"), F.max("doc_id").alias("hi"))
+    per = cuts.cut(per.select(*SNIPPET, "r.*", (F.col("r.doc_id") == F.col("hi")).alias("single")))
+    texts = in_bitmap(docs, per, "doc_id", "th")
+    snippet = F.expr("substring(text, s + 1, e - s)").alias("snippet")
+    todo = cuts.cut(per.join(texts, ["doc_id", "th"]).select(*SNIPPET, "doc_id", "single", snippet).dropDuplicates(SNIPPET))
+    chars, hot_anchors = todo.agg(F.coalesce(F.sum(F.length("snippet")), F.lit(0))).first()[0], cuts.cut(todo.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > group_cap).select("h"))
     shards = max(1, -(-chars // shard_chars))
-    near = todo.where(F.col("n") <= group_cap).drop("n").repartition(shards, "h").sortWithinPartitions("h", "sh", "p").mapInArrow(_search(length, k, 2 * shard_chars), INTERVALS)
-    rows = todo.where(F.col("n") > group_cap).drop("n").mapInArrow(_windows(length), "h long, sh long, p int, wh long, doc_id long, a int, many boolean")
-    common = rows.groupBy("h", "wh").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("many").alias("many")).where("lo < hi or many").select("h", "wh")
-    hot = rows.where(~F.col("many")).join(common, ["h", "wh"]).select("h", "sh", "p", "a", (F.col("a") + length).alias("b"))
+    rows = todo.withColumn("group", F.col("h"))
+    if not hot_anchors.isEmpty():
+        hot = todo.join(hot_anchors, "h", "left_semi")
+        visits = _visits(hot, length, group_cap).join(hot, SNIPPET)
+        rows = todo.join(hot_anchors, "h", "left_anti").withColumn("group", F.col("h")).unionByName(visits)
+    near = rows.select("group", *SNIPPET, "doc_id", "single", "snippet").repartition(shards, "group").sortWithinPartitions("group", "sh", "p").mapInArrow(_search(length, k, 2 * shard_chars), INTERVALS)
     # what is found holds for every place of a snippet
-    places = anchors_2.select("h", "sh", "p", "doc_id", "th", "s")
-    return places.join(whole.unionByName(near).unionByName(hot), ["h", "sh", "p"]).select("doc_id", "th", (F.col("s") + F.col("a")).alias("s"), (F.col("s") + F.col("b")).alias("e"))
+    return places.select(*SNIPPET, "doc_id", "th", "s").join(near, SNIPPET).select("doc_id", "th", (F.col("s") + F.col("a")).alias("s"), (F.col("s") + F.col("b")).alias("e"))
 
 
 def shared_chars(docs: DataFrame, length: int = 240, **options) -> DataFrame:
