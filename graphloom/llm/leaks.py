@@ -4,7 +4,9 @@ Spaced seeds: a fixed mask keeps some positions of a word window and ignores the
 substituted word at an ignored position doesn't break the match. Masked windows of the test
 fields are hashed into a sorted array; each document is streamed once, its masked windows are
 probed against that array, and the overlap around every hit is verified word by word along
-its diagonal (document position minus test position), allowing substitutions.
+its diagonal (document position minus test position), allowing substitutions. The seeds are short
+enough to miss no overlap of ``min_words`` words, so chance hits are many: those with too few equal
+words on their diagonal are dropped all at once before the rest is verified.
 
 The test set is the small side. Its size is counted first; beyond ``block_words`` words it is
 taken in blocks by item id, each scanned against all documents, so neither the driver nor a
@@ -22,8 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W_]+")
-#: Positions that count in a window. Any exact run as long as a mask hits each mask.
-MASKS = ("1110110111", "1101101011")
+#: Positions that count in a window. Together the two hit every overlap of ten words and more of which up to two single words
+#: inside are substituted, whichever they are (``tests/llm`` tries them all).
+MASKS = ("1101011", "110111")
 FIELDS = ("question", "gold_answer", "context")
 SCHEMA = "doc_id long, item_id long, field string, doc_start int, n_words int, n_substituted int, exact_run int"
 MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -67,6 +70,8 @@ class TestIndex:
                     ids = np.array([self.vocab.setdefault(x, len(self.vocab) + 1) for x in w], np.int64)
                     self.texts.append(ids)
                     self.keys.append((item_id, name))
+        self.start = np.cumsum([0, *map(len, self.texts)])
+        self.flat = np.concatenate(self.texts) if self.texts else np.empty(0, np.int64)
         self.tables = []
         for m in masks:
             parts = [(seed_hashes(t, m)[0], k) for k, t in enumerate(self.texts)]
@@ -125,17 +130,31 @@ def _runs(same: np.ndarray, max_substituted: int) -> tuple[int, int, int, int]:
     return int((ends - starts).max()), *best
 
 
+def overlaps(index: TestIndex, flat: np.ndarray, hits: np.ndarray, lo: np.ndarray, hi: np.ndarray, least: int) -> np.ndarray:
+    """Which hits have at least ``least`` equal words on their diagonal within [lo, hi)."""
+    keep = np.zeros(len(hits), bool)
+    size = hi - lo
+    for at in np.split(np.arange(len(hits)), np.flatnonzero(np.diff(np.cumsum(size) // 1_000_000)) + 1):
+        n = size[at]
+        if len(at) and n.sum():
+            place = np.repeat(lo[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            same = flat[place] == index.flat[place + np.repeat(index.start[hits[at, 0]] - hits[at, 2], n)]
+            keep[at] = np.add.reduceat(same.astype(np.int64), np.cumsum(n) - n) >= least
+    return keep
+
+
 def scan_texts(index: TestIndex, doc_ids: list, texts: list, min_words: int, max_substituted: int) -> list[tuple]:
     flat, starts = index.encode(texts)
     rows = []
     last = np.append(starts[1:], len(flat))
-    for t, d, diagonal in index.hits(flat, starts):
-        ids = index.texts[t]
-        # the diagonal may run over the document's edge: the gap's zeros never equal a test word
-        a, b = max(diagonal, starts[d]), min(diagonal + len(ids), last[d])
-        if b - a < min_words:
-            continue
-        exact, s, n, sub = _runs(flat[a:b] == ids[a - diagonal : b - diagonal], max_substituted)
+    hits = index.hits(flat, starts)
+    # the diagonal may run over the document's edge: the gap's zeros never equal a test word
+    lo, hi = np.maximum(hits[:, 2], starts[hits[:, 1]]), np.minimum(hits[:, 2] + np.diff(index.start)[hits[:, 0]], last[hits[:, 1]])
+    room = hi - lo >= min_words
+    hits, lo, hi = hits[room], lo[room], hi[room]
+    keep = overlaps(index, flat, hits, lo, hi, min_words - max_substituted)
+    for (t, d, diagonal), a, b in zip(hits[keep].tolist(), lo[keep].tolist(), hi[keep].tolist()):
+        exact, s, n, sub = _runs(flat[a:b] == index.texts[t][a - diagonal : b - diagonal], max_substituted)
         if n >= min_words:
             rows.append((doc_ids[d], *index.keys[t], int(a - starts[d]) + s, n, sub, exact))
     return rows
@@ -174,6 +193,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, min_words: int = 10, max_subst
     return out
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, min_words: int = 10) -> DataFrame:
-    """Distinct (doc_id, item_id) with an exact run of at least ``min_words`` words."""
-    return find_leaks(docs, items, min_words).where(F.col("exact_run") >= min_words).select("doc_id", "item_id").distinct()
+def leaked_items(docs: DataFrame, items: DataFrame, min_words: int = 10, max_substituted: int = 0) -> DataFrame:
+    """Distinct (doc_id, item_id) with an overlap of at least ``min_words`` words, up to ``max_substituted`` of them substituted."""
+    return find_leaks(docs, items, min_words, max_substituted).select("doc_id", "item_id").distinct()

@@ -23,6 +23,11 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+@query
+def p9_tolerant(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"), max_substituted=2)
+
+
 @query
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_chars(table(spark, d, "documents"))
@@ -123,3 +128,17 @@ s AS (SELECT gram FROM g GROUP BY gram HAVING min(doc_id) < max(doc_id)),
 h AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM g JOIN s USING (gram))
 SELECT doc_id, sum(least(240, coalesce(next - i, 240)))::BIGINT AS shared_chars FROM h GROUP BY doc_id
 """
+
+# every stretch of ten or eleven words of an item whose inner words, at most two and not next to each other, are left open; a
+# longer overlap with two substitutions holds one of ten or eleven words
+ORACLE["p9_tolerant"] = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+f AS (SELECT item_id, unnest([question, gold_answer, context]) AS text FROM eval_items),
+x AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM f WHERE text IS NOT NULL),
+m(n, a, b) AS (SELECT n, a, b FROM range(10, 12) r(n), range(1, 13) s(a), range(1, 13) t(b) WHERE (a = 1 AND b = 1) OR (1 < a AND a = b AND a < n) OR (1 < a AND a + 1 < b AND b < n)),
+g AS (SELECT item_id, n, a, b, array_to_string(list_transform(range(1, n + 1), lambda j: CASE WHEN j > 1 AND j IN (a, b) THEN '?' ELSE w[i + j] END), ' ') AS gram FROM x, m, range(0, 10000) p(i) WHERE i + n <= len(w)),
+v AS (SELECT DISTINCT w[i + 1] || ' ' || w[i + 2] AS two FROM x, range(0, 10000) p(i) WHERE i + 2 <= len(w)),
+d AS (SELECT doc_id, w, i FROM (SELECT doc_id, w, unnest(range(0, len(w) - 9)) AS i FROM w WHERE len(w) >= 10)),
+e AS (SELECT DISTINCT doc_id, n, a, b, array_to_string(list_transform(range(1, n + 1), lambda j: CASE WHEN j > 1 AND j IN (a, b) THEN '?' ELSE w[i + j] END), ' ') AS gram FROM d, m WHERE i + n <= len(w) AND w[i + 1] IN (SELECT split_part(two, ' ', 1) FROM v) AND w[i + n] IN (SELECT split_part(two, ' ', 2) FROM v))
+SELECT DISTINCT doc_id, item_id FROM e JOIN g USING (n, a, b, gram)
+"""
