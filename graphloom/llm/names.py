@@ -1,13 +1,17 @@
 """Problem 1: variant spellings of names typed by people.
 
 1. Names are split into tokens, titles and legal forms dropped. How often a token occurs in the distinct
-   names of its type gives its weight: a frequent token (a given name, a line of business) is a head;
-   there are at most 4 / ``head_share`` of those. A rare token that abbreviates, shortens or misspells a
-   head (prefix, suffix, initial letters in order, pet form, one or two typos) becomes that head.
+   names of its type gives its weight: a frequent token (a given name, a line of business), whose share is
+   ``head_share`` or more by the lower end of its confidence interval and that ``support`` names or more
+   bear, is a head; there are at most 4 / ``head_share`` of those. A rare token that abbreviates, shortens or misspells a
+   head (prefix, suffix, initial letters in order, pet form, one or two typos) is as like it as can be: it
+   is read as that head.
 2. What is left is the rare part of the name, which decides. A prefix-filtered set-similarity join on the
-   bigrams of the rare parts, rarest first, gives candidates under the same heads.
-3. A candidate pair is verified by soft weighted similarity: each token's likeness weighted by its
-   inverse document frequency, so a rare token's mismatch counts more than a frequent one's.
+   trigrams of the rare tokens, rarest first, gives candidates under the same heads; the prefix is as long as
+   ``typos`` typos in each token can make it, so it loses no pair that step 3 accepts.
+3. A candidate pair is verified by soft weighted similarity, token by token: each rare token takes the most
+   like one of the other name, weighted by its inverse document frequency, so a rare token's mismatch, or
+   a rare token that has no partner, counts more than a frequent one's. Equal rare parts have similarity 1 and are one key.
 4. Matches are closed into groups; an initial stands for a full given name where only one fits.
 
 Work is done per distinct name, so a name that a third of all rows bear is one row until the end.
@@ -15,6 +19,7 @@ Work is done per distinct name, so a name that a third of all rows bear is one r
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -166,14 +171,27 @@ class Heads:
 PARSED = "type string, name string, block string, given string, rare string"
 
 
-def parsed(names: DataFrame, head_share: float = 0.004, least: int = 5, given_types: tuple[str, ...] = ("Person",)) -> DataFrame:
+def frequent(n: int, share: float, z: float = 1.28) -> int:
+    """The least count out of ``n`` whose true share is ``share`` or more with confidence (lower end of Wilson's interval)."""
+    def low(c: int) -> float:
+        p = c / n
+        return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+    lo, hi = 0, n
+    while hi - lo > 1:  # the bound rises with the count
+        mid = (lo + hi) // 2
+        lo, hi = (lo, mid) if low(mid) >= share else (mid, hi)
+    return hi
+
+
+def parsed(names: DataFrame, head_share: float = 0.004, support: int = 5, given_types: tuple[str, ...] = ("Person",)) -> DataFrame:
     """Distinct names (type, name, words) with their block (what must agree), given name and rare part."""
     spark = names.sparkSession
     words = names.select("type", "name", F.posexplode("words").alias("at", "w"))
     total = {r["type"]: r["n"] for r in names.groupBy("type").agg(F.count("*").alias("n")).collect()}
-    bound = F.lit(least)
+    bound = F.lit(support)
     for t, n in total.items():
-        bound = F.when(F.col("type") == t, F.lit(max(least, int(n * head_share)))).otherwise(bound)
+        bound = F.when(F.col("type") == t, F.lit(max(support, frequent(n, head_share)))).otherwise(bound)
     counted = words.where(F.length("w") > 2).groupBy("type", "w").agg(F.countDistinct("name").alias("n")).where(F.col("n") >= bound)
     counts: dict[str, dict[str, int]] = {}
     for r in counted.collect():  # at most words per name / head_share rows a type
@@ -209,44 +227,78 @@ def parsed(names: DataFrame, head_share: float = 0.004, least: int = 5, given_ty
     return names.select("type", "name", "words").repartition(tasks, "name").mapInArrow(run, PARSED)
 
 
-def grams(c: str, q: int = 2) -> Column:
-    padded = F.concat(F.lit("^" * (q - 1)), F.col(c), F.lit("$" * (q - 1)))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - (q - 1)), lambda i: padded.substr(i, F.lit(q))))
+def grams(c: str, q: int = 3) -> Column:
+    """Distinct q-grams of the padded tokens of ``c``, whatever their order."""
+    pad = F.lit("^" * (q - 1)), F.lit("$" * (q - 1))
+    per = lambda t: F.transform(F.sequence(F.lit(1), F.length(t) + (q - 1)), lambda i: F.concat(pad[0], t, pad[1]).substr(i, F.lit(q)))
+    return F.array_distinct(F.flatten(F.transform(F.split(c, " "), per)))
+
 
+def likeness(a: str, b: str, most: int) -> float:
+    """1 for equal tokens, less an edit's share for each typo, 0 beyond ``most``: another token."""
+    if a == b:
+        return 1.0
+    d = typos(a, b, most)
+    return 1 - d / max(len(a), len(b)) if d <= most else 0.0
 
-def similar_keys(keys: DataFrame, cuts: Cuts, typos: int = 1, accept: float = 0.86) -> DataFrame:
-    """Pairs (a, b) of rare parts under one (type, block), or one of them under none, whose soft weighted similarity is ``accept`` or more.
 
-    ``keys``: (type, block, rare, n names). A typo changes at most three bigrams (swapped letters), so of two keys that
-    differ by ``typos`` each has at most three times that many the other lacks: one more of its rarest bigrams than that
-    is what it is indexed by. A token weighs as its inverse document frequency, so a rare part weighs more than a head.
+def soft_similarity(a: list[tuple[str, float]], b: list[tuple[str, float]], agreed: float, most: int) -> float:
+    """Soft weighted similarity of two sets of (token, weight) that agree in heads of weight ``agreed``.
+
+    The most like pair of tokens is matched first; a pair weighs as its rarer token, and what has no partner counts as unlike.
+    """
+    pairs = sorted(((likeness(x, y, most), max(v, w), i, j) for i, (x, v) in enumerate(a) for j, (y, w) in enumerate(b)), reverse=True)
+    left, right, same, total = set(range(len(a))), set(range(len(b))), agreed, agreed
+    for like, weight, i, j in pairs:
+        if like > 0 and i in left and j in right:
+            left.remove(i), right.remove(j)
+            same, total = same + like * weight, total + weight
+    total += sum(a[i][1] for i in left) + sum(b[j][1] for j in right)
+    return same / total if total else 1.0
+
+
+def similar_keys(keys: DataFrame, cuts: Cuts, most: int = 1, accept: float = 0.86) -> DataFrame:
+    """Pairs (a, b) of rare parts under one (type, block), or one of them under none, whose soft weighted similarity is ``accept``
+    or more. Rare parts of different numbers of tokens are different.
+
+    ``keys``: (type, block, rare, n names). A typo changes at most four trigrams (swapped letters), so of two keys whose
+    tokens differ by ``most`` typos each, either has at most four times that many a token the other lacks: one more
+    of its rarest trigrams than that is what it is indexed by. A token weighs as its inverse document frequency.
     """
     idf = lambda n: F.log(1 + F.col("total") / F.col(n))
     total = keys.groupBy("type").agg(F.sum("n").alias("total"))  # a row per type
     blocks = keys.groupBy("type", "block").agg(F.sum("n").alias("in_block"))
-    rares = keys.groupBy("type", "rare").agg(F.sum("n").alias("with_rare"))
-    k = keys.where(F.length("rare") > 3).join(F.broadcast(total), "type").join(blocks, ["type", "block"]).join(rares, ["type", "rare"])
-    k = k.withColumns({"wr": idf("with_rare"), "wh": idf("in_block"), "g": grams("rare"), "key": F.concat_ws("|", "type", "block", "rare")})
-    flat = k.select("type", "block", "key", "rare", "wr", "wh", F.length("rare").alias("len"), F.explode("g").alias("gram"))
+    key = F.concat_ws("|", "type", "block", "rare").alias("key")
+    words = keys.where("rare <> ''").select("type", "block", "rare", key, "n", F.explode(F.split("rare", " ")).alias("w"))
+    counted = words.groupBy("type", "w").agg(F.sum("n").alias("with_word")).join(F.broadcast(total), "type").select("type", "w", idf("with_word").alias("weight"))
+    weighed = words.join(counted, ["type", "w"]).groupBy("type", "block", "rare", "key").agg(F.collect_list(F.struct("w", "weight")).alias("tokens"))  # as many as a name has
+    k = weighed.join(blocks, ["type", "block"]).join(F.broadcast(total), "type").select("type", "block", "rare", "key", "tokens", idf("in_block").alias("wh"))
+    k = cuts.cut(k)
+    flat = k.select("type", "block", "key", F.length("rare").alias("len"), F.size("tokens").alias("size"), F.explode(grams("rare")).alias("gram"))
     frequency = flat.groupBy("gram").agg(F.count("*").alias("df"))
     w = Window.partitionBy("key").orderBy("df", "gram")
-    prefix = flat.join(frequency, "gram").withColumn("at", F.row_number().over(w)).where(F.col("at") <= 3 * typos + 1)
-    side = cuts.cut(prefix.select("type", "block", "gram", "key", "rare", "len", "wr", "wh"))
-    near = f"x.type = y.type and x.gram = y.gram and abs(x.len - y.len) <= {typos}"
+    prefix = flat.join(frequency, "gram").withColumn("at", F.row_number().over(w)).where(F.col("at") <= 4 * most * F.col("size") + 1)
+    side = cuts.cut(prefix.select("type", "block", "gram", "key", "len", "size"))
+    # as long as each other but for the typos; names of as many rare tokens only, as one without a partner weighs too much
+    near = f"x.type = y.type and x.gram = y.gram and x.size = y.size and abs(x.len - y.len) <= {most} * x.size"
     x, y = side.alias("x"), side.alias("y")
-    closed = x.join(y, F.expr(f"{near} and x.block = y.block and x.key < y.key"))
+    closed = x.join(y, F.expr(f"{near} and x.block = y.block and x.key < y.key")).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
     # a name without heads, such as a company's without its line of business, may be of any block
-    opened = side.where("block = ''").alias("x").join(side.where("block <> ''").alias("y"), F.expr(near))
+    opened = side.where("block = ''").alias("x").join(side.where("block <> ''").alias("y"), F.expr(near)).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, wh = (batch.column(i).to_pylist() for i in (3, 4, 5))
+            score = [soft_similarity([(t["w"], t["weight"]) for t in x], [(t["w"], t["weight"]) for t in y], h, most) for x, y, h in zip(a, b, wh)]
+            keep = pa.array([s >= accept for s in score])
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns[:3]], names=["a", "b", "block"])
 
     def verified(pairs: DataFrame) -> DataFrame:
-        cols = [F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.rare").alias("ra"), F.col("y.rare").alias("rb"), F.col("y.block").alias("block"), F.greatest("x.wr", "y.wr").alias("wr"), F.col("y.wh").alias("wh")]
-        pairs = pairs.select(*cols).distinct()
-        d = F.levenshtein("ra", "rb")
-        swapped = (F.length("ra") == F.length("rb")) & (F.array_sort(F.split("ra", "")) == F.array_sort(F.split("rb", "")))
-        edits = F.when((d == 2) & swapped, F.lit(1)).otherwise(d)
-        alike = 1 - edits / F.greatest(F.length("ra"), F.length("rb"))
-        score = (F.col("wr") * alike + F.col("wh")) / (F.col("wr") + F.col("wh"))  # the heads agree
-        return pairs.where((score >= accept) & (edits <= typos))
+        one, two = (k.select(F.col("key").alias(c), F.col("rare").alias(f"r{c}"), F.col("tokens").alias(f"t{c}"), F.col("block").alias(f"block_{c}"), F.col("wh").alias(f"wh_{c}")) for c in "ab")
+        both = pairs.distinct().join(one, "a").join(two, "b")
+        # a typo, or swapped letters, is at most two of the JVM's edits
+        maybe = both.where((F.size("ta") > 1) | (F.levenshtein("ra", "rb") <= 2 * most))
+        return maybe.select("a", "b", F.col("block_b").alias("block"), "ta", "tb", F.col("wh_b").alias("wh")).mapInArrow(verify, "a string, b string, block string")
 
     # it is linked where all that are like it are of one block
     single = verified(opened).groupBy("a").agg(F.min("b").alias("b"), F.count_distinct("block").alias("blocks")).where("blocks = 1")
