@@ -75,8 +75,16 @@ def test_neighbours_recall_and_bad_vectors(spark):
     assert ("d7", "d0") in found and ("d7", "d6") not in found  # ties go to the smaller id
     split = {tuple(x) for x in neighbours.nearest(vectors(spark, rows + same), dim=16, block=7).select("id", "neighbour_id").collect()}
     assert split == found
-    joined = {tuple(x) for x in neighbours.nearest(vectors(spark, rows + same), dim=16, block=7, most_split=0).select("id", "neighbour_id").collect()}
-    assert joined == found
+    assert len({b for a, b in found if a == "d7"} & {"d0", "d1", "d2", "d3", "d4"}) == 5  # nine copies, the least five ids
+
+
+def test_neighbours_of_a_vector_a_third_of_all_rows_have(spark):
+    r = random.Random(5)
+    rows = [(f"c{i:03d}", [1.0, 2.0, 3.0, 4.0]) for i in range(60)] + [(f"e{i:03d}", [1.0, 2.0, 3.0, 4.0 + r.random() / 9]) for i in range(60)] + [(f"f{i:03d}", [r.gauss(0, 1) for _ in range(4)]) for i in range(60)]
+    found = {tuple(x) for x in neighbours.nearest(vectors(spark, rows), dim=4, miss=1e-6, block=16).select("id", "neighbour_id").collect()}
+    want = brute_neighbours(rows, 5, 0.8)
+    assert len(found & want) >= 0.98 * len(want) and len(found - want) <= 0.02 * len(want)
+    assert {b for a, b in found if a == "c030"} == {f"c{i:03d}" for i in range(5)}
 
 
 def test_neighbours_empty(spark):
@@ -142,6 +150,21 @@ def test_pair_defects(spark):
     assert pairs.defective_pairs(df.limit(0)).count() == 0
 
 
+def test_truncation_is_judged_by_more_than_known_endings(spark):
+    say = ["कंपनी {} ने नए कारखाने में {} करोड़ रुपये का निवेश किया है।", "{} के शेयर आज {} प्रतिशत गिर गए हैं।", "सरकार ने {} पर कर {} प्रतिशत घटा दिया है।"]
+    ask = ["The company {} invested {} crore rupees in a new factory.", "The shares of {} fell by {} percent today.", "The government cut the tax on {} by {} percent."]
+    rows = [(i, "hi", ask[i % 3].format(f"Ab{i}", i + 10), say[i % 3].format(f"Ab{i}", i + 10)) for i in range(240)]
+    odd = [
+        (900, "hi", "The workers of Zed planted 77 trees near the factory.", "Zed के कर्मचारियों ने कारखाने के पास 77 पेड़ लगाए हैं।", None),  # an ending never seen
+        (901, "hi", ask[0].format("Zed", 77), "कंपनी Zed ने नए कारखाने में ७७ करोड़ रुपये का निवेश किया है।", None),  # other digits
+        (902, "hi", "Zed said it regrets the delay of 77 days.", "Zed ने कहा कि उसे 77 दिन की देरी पर खेद है।", None),  # reports a regret
+        (903, "hi", ask[0].format("Zed", 77), "कंपनी Zed ने नए कारखाने में", "truncated"), (904, "hi", ask[1].format("Zed", 77), "Zed के शेयर आज...", "truncated"), (905, "hi", ask[1].format("Zed", 77), "खेद है, मैं इसका अनुवाद नहीं कर सकता।", "refusal"),
+        (906, "hi", ask[1].format("Zed", 77), "Unfortunately I'm not able to complete this task.", "refusal"),
+    ]
+    df = spark.createDataFrame(rows + [r[:4] for r in odd], "pair_id long, lang string, src string, tgt string")
+    assert {r["pair_id"]: r["defect"] for r in pairs.defective_pairs(df).collect()} == {r[0]: r[4] for r in odd if r[4]}
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_suffix_automaton(seed):
     r = random.Random(seed)
@@ -194,6 +217,21 @@ def test_hashes_follow_the_canonical_form(seed):
             assert canonical.same_row(rows[i], rows[j]) == (canonical.canonical(rows[i]) == canonical.canonical(rows[j]))
 
 
+def test_collapse_folds_and_compares_alike(spark):
+    words = ["Straße", "STRASSE", "strasse", "ﬁne", "FINE", "İstanbul", "i̇stanbul", "ΣΊΣΥΦΟΣ", "σίσυφος", "１.5", "1.5", "−2", "-2", "a-b", "ab"]
+    rows = [(i, ("E1", "E2", w, "n", None)) for i, w in enumerate(words, 1)]
+    forms = {}
+    for i, row in rows:
+        forms.setdefault(canonical.canonical(row), []).append(i)
+    want = {(g[0], c) for g in forms.values() for c in g[1:]}
+    assert {(1, 2), (1, 3), (4, 5)} <= want
+    for options in ({}, {"hash_bits": 2, "salt_rows": 2}):
+        assert {tuple(r) for r in canonical.collapse(edges(spark, rows), **options).collect()} == want
+    for x in words:
+        for y in words:
+            assert canonical.same_text(x, y) == (canonical.fold(x) == canonical.fold(y))
+
+
 # --- 6 ---
 
 
@@ -342,6 +380,18 @@ def test_leaks_tolerate_substitutions(spark):
     assert (row["n_words"], row["n_substituted"], row["doc_start"]) == (15, 2, 1) and row["exact_run"] < 10
 
 
+@pytest.mark.parametrize("n", [10, 11, 12, 15])
+def test_seeds_hit_every_overlap_with_two_substitutions(n):
+    words = [f"w{i}" for i in range(n)]
+    index = leaks.TestIndex([(1, " ".join(words), None, None)])
+    for i in range(1, n - 1):
+        for j in range(i, n - 1):
+            if j != i + 1:
+                changed = ["x" if k in (i, j) else w for k, w in enumerate(words)]
+                rows = leaks.scan_texts(index, [7], ["w3 w4 before " + " ".join(changed) + " after"], n, 2)
+                assert [(r[0], r[1], r[4], r[5]) for r in rows] == [(7, 1, n, 1 + (i != j))]
+
+
 # --- 4, copies ---
 
 
