@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom import vocab
 from graphloom.functions import text
-from graphloom.session import table
+from graphloom.session import Cuts, table
 
 
 @dataclass
@@ -22,6 +22,12 @@ class Graph:
 
     nodes: DataFrame
     edges: DataFrame
+    #: whether the edges are a table to read and not a plan to run at every hop
+    stored: bool = False
+
+    def store(self, cuts: Cuts) -> Graph:
+        """The graph with its edges written once, for searches that read them hop by hop."""
+        return self if self.stored else Graph(self.nodes, cuts.cut(self.edges), True)
 
     def adjacency(self, rel_types: Sequence[str] | None = None) -> DataFrame:
         """Each edge from both its ends: (eid, a, b, rel, direction, t_announce, t_effective, source)."""

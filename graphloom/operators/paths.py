@@ -1,15 +1,18 @@
 """Bounded path search by joins, and the scores of paths.
 
-A hop joins the frontier, which is bound to the start nodes and small, with the edges at its ends.
-Relation filters apply before every hop, which is what keeps a hub's fan-out down; the frontier
-carries ids only, and names join the few paths that are kept.
+A hop joins the frontier, which is bound to the start nodes and small, with the edges at its ends. Relation filters
+apply before every hop; the frontier carries ids only, and names join the few paths that are kept. A search for the first
+``top_k`` paths never builds a hub's whole fan-out: the order of paths is that of their edge ids, so prefixes are taken in
+that order, a page at a time, and extended until there are enough paths. With ends given, edges at the starts and at
+the ends are joined in the middle. The edges are written once where the graph is not a stored one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from graphloom import vocab
@@ -33,50 +36,122 @@ def _hop(frontier: DataFrame, adjacency: DataFrame, keep: Column) -> DataFrame:
     return rows.select(F.array_append("node_ids", F.col("b")).alias("node_ids"), F.array_append("eids", F.col("eid")).alias("eids"), F.array_append("steps", step).alias("steps"), F.col("b").alias("last"), (F.col("hops") + 1).alias("hops"))
 
 
+def _kept(hop: int) -> Column:
+    """Whether a walk may go on from this hop: the second node isn't the start."""
+    return (F.col("b") != F.element_at("node_ids", 1)) if hop == 1 else F.lit(True)
+
+
+def _done(hop: int) -> Column:
+    """Whether a trail may end here: not at the start, and a third hop's end isn't the second node."""
+    return (F.col("b") != F.element_at("node_ids", 1)) & ((F.col("b") != F.element_at("node_ids", 2)) if hop == 3 else F.lit(True))
+
+
 def trails(graph: Graph, starts: Sequence[str], ends: Sequence[str] | None = None, rel_types: Sequence[str] | None = None, max_hops: int = 3) -> list[DataFrame]:
-    """Undirected trails of 1..``max_hops`` edges, one DataFrame a hop: no edge twice, the end is not the start,
+    """All undirected trails of 1..``max_hops`` edges, one DataFrame a hop: no edge twice, the end is not the start,
     and no inner node but the last may be the start, nor the end the second node."""
     adjacency = graph.adjacency(rel_types)
-    start = F.element_at("node_ids", 1)
     out, walk = [], _frontier(graph, starts)
     for hop in range(1, max_hops + 1):
-        # the inner nodes' rules: a second node isn't the start, a third hop's end isn't the second node
-        done = _hop(walk, adjacency, (F.col("b") != start) & ((F.col("b") != F.element_at("node_ids", 2)) if hop == 3 else F.lit(True)))
+        done = _hop(walk, adjacency, _done(hop))
         out.append(done.where(F.col("last").isin(*ends)) if ends else done)
         if hop < max_hops:
-            walk = _hop(walk, adjacency, F.col("b") != start if hop == 1 else F.lit(True))
+            walk = _hop(walk, adjacency, _kept(hop))
     return out
 
 
+def _keyed(paths: DataFrame) -> DataFrame:
+    return paths.withColumns({"key": F.array_join("eids", "\x01"), "places": F.array_join("node_ids", "\x01")})
+
+
 def _ordered(paths: DataFrame, top_k: int) -> DataFrame:
-    return paths.withColumn("key", F.array_join("eids", "\x01")).orderBy("hops", "key", F.array_join("node_ids", "\x01")).limit(top_k).drop("key")
+    return _keyed(paths).orderBy("hops", "key", "places").limit(top_k).drop("key", "places")
+
+
+_TRAIL = f"node_ids array<string>, eids array<string>, steps array<{_STEP}>, last string, hops int"
+
+
+def _pages(step: DataFrame, size: int) -> Iterator[list[Row]]:
+    """Rows of one hop in order of their edges, in pages of about ``size``, each twice the one before: what is
+    collected is a page. Trails of the same edges are never in two pages."""
+    after, rows = None, _keyed(step)
+    while True:
+        more = rows if after is None else rows.where(F.col("key") > after)
+        page = more.orderBy("key", "places").limit(size + 1).collect()
+        if len(page) <= size:
+            if page:
+                yield page
+            return
+        last = page[-1]["key"]
+        kept = [r for r in page if r["key"] != last]
+        if not kept:  # one page of trails of the same edges: take them all
+            kept = rows.where(F.col("key") == last).collect()
+        yield kept
+        after, size = kept[-1]["key"], 2 * size
+
+
+def _from(prefixes: list[Row], adjacency: DataFrame, keep: Column) -> DataFrame:
+    """One more hop from a page of prefixes; their ends reach the scan as literals."""
+    local = adjacency.sparkSession.createDataFrame([(r["node_ids"], r["eids"], r["steps"], r["last"], r["hops"]) for r in prefixes], _TRAIL)
+    return _hop(local, adjacency.where(F.col("a").isin(*sorted({r["last"] for r in prefixes}))), keep)
+
+
+def _walks(begin: list[Row], adjacency: DataFrame, hop: int, size: int) -> Iterator[list[Row]]:
+    """Pages of the walks of ``hop`` edges, in order of their edges."""
+    if hop == 0:
+        yield begin
+        return
+    for prefixes in _walks(begin, adjacency, hop - 1, size):
+        yield from _pages(_from(prefixes, adjacency, _kept(hop)), size)
+
+
+def _first(begin: list[Row], adjacency: DataFrame, hop: int, need: int) -> list[Row]:
+    """The first ``need`` trails of ``hop`` edges: later prefixes are only looked at while there are too few."""
+    out: list[Row] = []
+    for prefixes in _walks(begin, adjacency, hop - 1, max(64, need)):
+        out += _ordered(_from(prefixes, adjacency, _done(hop)), need - len(out)).collect()
+        if len(out) >= need:
+            break
+    return out
+
+
+def _between(begin: list[Row], adjacency: DataFrame, ends: Sequence[str], hop: int) -> DataFrame:
+    """Trails of ``hop`` edges to the ends: one or two edges from the starts, the last backwards from the ends."""
+    if hop == 1:
+        return _from(begin, adjacency, _done(1)).where(F.col("last").isin(*ends))
+    last = adjacency.where(F.col("a").isin(*ends)).select(F.col("b").alias("a"), F.col("a").alias("b"), "eid", "rel", "t_announce", "t_effective", "source")
+    walk = _from(begin, adjacency, _kept(1))
+    if hop == 3:
+        near = adjacency.join(last.select(F.col("a").alias("b")).distinct(), "b", "left_semi")
+        walk = _hop(walk, near, _kept(2))
+    return _hop(walk, last, _done(hop))
 
 
 def find_paths(graph: Graph, starts: Sequence[str], ends: Sequence[str] | None = None, rel_types: Sequence[str] | None = None, max_hops: int = 3, top_k: int = 3, progressive: bool = True) -> DataFrame:
     """The first ``top_k`` trails, shorter ones first, then by edge ids.
 
-    ``progressive`` runs a hop only while there are too few paths, which spares the wide hops; without it the same
-    rows come from one plan. Starts that are no nodes have no paths; no starts give an empty result.
+    ``progressive`` takes them page by page, at most ``top_k`` rows on the driver, and a hop only while there are too few;
+    without it the same rows come from one plan. Starts that are no nodes have no paths; no starts give an empty result.
     """
-    hops = trails(graph, starts or [""], ends, rel_types, min(max_hops, 3))
+    max_hops = min(max_hops, 3)
     if not progressive:
-        out = hops[0]
-        for h in hops[1:]:
-            out = out.unionByName(h)
-        return describe(graph, _ordered(out, top_k))
-    cuts, have, out = Cuts(graph.nodes.sparkSession, "paths"), 0, None
-    for h in hops:
-        part = cuts.cut(_ordered(h, top_k - have))
-        out = part if out is None else out.unionByName(part)
-        have += part.count()
-        if have >= top_k:
+        out = trails(graph, starts or [""], ends, rel_types, max_hops)
+        return describe(graph, _ordered(reduce(DataFrame.unionByName, out), top_k))
+    cuts = Cuts(graph.nodes.sparkSession, "paths")
+    adjacency = graph.store(cuts).adjacency(rel_types)
+    begin, rows = _frontier(graph, starts or [""]).collect(), []
+    for hop in range(1, max_hops + 1):
+        if len(rows) >= top_k or not begin:
             break
-    return describe(graph, out)
+        need = top_k - len(rows)
+        rows += _ordered(_between(begin, adjacency, ends, hop), need).collect() if ends else _first(begin, adjacency, hop, need)
+    cuts.clear()
+    return describe(graph, graph.nodes.sparkSession.createDataFrame([(r["node_ids"], r["eids"], r["steps"], r["last"], r["hops"]) for r in rows], _TRAIL))
 
 
 def simple_paths(graph: Graph, starts: Sequence[str], ends: Sequence[str] | None = None, max_hops: int = 3, top_k: int | None = None) -> DataFrame:
     """Directed paths that visit no node twice, 1..``max_hops`` edges, one per sequence of nodes, in breadth-first order."""
-    e = graph.edges.select("eid", F.col("src").alias("a"), F.col("dst").alias("b"), "rel", "t_announce", "t_effective", "source")
+    cuts = Cuts(graph.nodes.sparkSession, "simple")
+    e = graph.store(cuts).edges.select("eid", F.col("src").alias("a"), F.col("dst").alias("b"), "rel", "t_announce", "t_effective", "source")
     walk, out = _frontier(graph, starts or [""]), None
     for _ in range(max_hops):
         walk = _hop(walk, e, ~F.array_contains("node_ids", F.col("b")))

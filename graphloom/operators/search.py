@@ -88,27 +88,61 @@ def looks_like_id(query: str) -> bool:
     return " " not in query and len(query) > 20
 
 
+def neighbours_of(graph: Graph, query: str, rel_types: Sequence[str] | None = None, direction: str = "both", limit: int = 20) -> DataFrame:
+    """Direct neighbours of a node given by its id, or by a name: then of the first entity that is found for it."""
+    if looks_like_id(query):
+        ids = [query]
+    else:
+        ids = [r["id"] for r in search_entities(graph, query, 1).collect()] or [r["id"] for r in by_id(graph.nodes, query).limit(1).collect()]
+    return neighbours(graph, ids or [""], rel_types, direction, limit=limit)
+
+
+CANDIDATE = "id string, name string, label string, score double, match_type string"
+
+
 def resolve(graph: Graph, query: str, top_k: int = 5, use_aliases: bool = True) -> DataFrame:
     """Candidates of a mention: by exact substring, else by alias, else by likeness; the first stage with hits counts.
 
-    (id, name, label, score, match_type), best first.
+    (id, name, label, score, match_type), best first. A stage runs only if those before it found nothing, so its
+    at most ``top_k`` rows come to the driver.
     """
-    stages = [search_entities(graph, query, top_k).select("id", "name", "label", F.lit(vocab.SCORE_EXACT).alias("score"), F.lit("exact").alias("match_type"), F.lit(1).alias("stage"), F.col("degree").cast("double").alias("order"))]
-    if use_aliases:
-        names = alias_names(query)
-        if names:
-            hit = F.exists(F.array(*[F.lit(n) for n in names]), lambda n: F.contains(F.lower(F.col("name")), n))
-            found = with_degree(graph, graph.nodes.where(hit & ~text.is_result_noise(F.col("name"))).select("id", "name", "label"))
-            stages.append(found.select("id", "name", "label", F.lit(vocab.SCORE_ALIAS).alias("score"), F.lit("alias").alias("match_type"), F.lit(2).alias("stage"), F.col("degree").cast("double").alias("order")))
-    fuzzy = fuzzy_candidates(graph, query)
-    if fuzzy is not None:
-        stages.append(fuzzy.select("id", "name", "label", (F.lit(vocab.SCORE_FUZZY) * F.col("ratio")).alias("score"), F.lit("fuzzy").alias("match_type"), F.lit(3).alias("stage"), F.col("ratio").alias("order")))
-    rows = stages[0]
-    for s in stages[1:]:
-        rows = rows.unionByName(s)
-    best = rows.agg(F.min("stage").alias("stage"))
-    rows = rows.join(F.broadcast(best), "stage").drop("stage")  # best is one row
-    return rows.orderBy(F.desc("score"), F.desc("order"), "id").limit(top_k).drop("order")
+    exact = lambda: search_entities(graph, query, top_k).select("id", "name", "label", F.lit(vocab.SCORE_EXACT).alias("score"), F.lit("exact").alias("match_type"), F.col("degree").cast("double").alias("order"))
+
+    def alias() -> DataFrame | None:
+        names = alias_names(query) if use_aliases else []
+        if not names:
+            return None
+        hit = F.exists(F.array(*[F.lit(n) for n in names]), lambda n: F.contains(F.lower(F.col("name")), n))
+        found = with_degree(graph, graph.nodes.where(hit & ~text.is_result_noise(F.col("name"))).select("id", "name", "label"))
+        return found.select("id", "name", "label", F.lit(vocab.SCORE_ALIAS).alias("score"), F.lit("alias").alias("match_type"), F.col("degree").cast("double").alias("order"))
+
+    def alike() -> DataFrame | None:
+        found = fuzzy_candidates(graph, query)
+        return None if found is None else found.select("id", "name", "label", (F.lit(vocab.SCORE_FUZZY) * F.col("ratio")).alias("score"), F.lit("fuzzy").alias("match_type"), F.col("ratio").alias("order"))
+
+    for stage in (exact, alias, alike):
+        rows = stage()
+        hits = rows.orderBy(F.desc("score"), F.desc("order"), "id").limit(top_k).drop("order").collect() if rows is not None else []
+        if hits:
+            break
+    return graph.nodes.sparkSession.createDataFrame([tuple(r) for r in hits], CANDIDATE)
+
+
+def linkable(graph: Graph, mentions: Sequence[str]) -> dict[str, list[int]]:
+    """Places of the mentions that some name holds (``named``), by an alias (``alias``), or at the start of a word (``alike``): one scan for all."""
+    name = F.lower("name")
+    held = lambda texts: F.filter(F.transform(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(x).alias("x")) for i, x in texts]), lambda s: F.when(F.contains(name, s["x"]), s["i"])), lambda i: i.isNotNull())
+    words = lambda m: [w[:4] for w in m.split() if len(w) >= 3 and w not in vocab.STOPWORDS]
+    kinds = {
+        "named": list(enumerate(mentions)), "alias": [(i, n) for i, m in enumerate(mentions) for n in alias_names(m)], "alike": [(i, w) for i, m in enumerate(mentions) for w in words(m)],
+    }
+    quiet = graph.nodes.where(~text.is_result_noise(F.col("name")))
+    out = {}
+    shown = quiet.select(*[(F.array_distinct(held(t)) if t else F.array().cast("array<int>")).alias(k) for k, t in kinds.items()])
+    row = shown.agg(*[F.array_distinct(F.flatten(F.collect_set(k))).alias(k) for k in kinds]).first()  # sets of at most as many places as there are mentions
+    for k in kinds:
+        out[k] = sorted(row[k] or [])
+    return out
 
 
 def alias_names(query: str) -> list[str]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -13,9 +14,18 @@ from graphloom.functions import text
 from graphloom.operators import paths, search, stats
 from graphloom.operators.graph import Graph
 from graphloom.plans import explain, questions
+from graphloom.providers import Models, attempt
+from graphloom.session import Cuts
 from graphloom.streaming.sessions import SessionMemory
 
 
+def rewritten(question: str) -> str:
+    """The question with the synonyms' own words."""
+    for pattern, value in vocab.SYNONYMS:
+        question = re.sub(pattern, value, question, flags=re.IGNORECASE)
+    return question
+
+
 class GraphSource(Protocol):
     """What a graph must offer to the engine."""
 
@@ -68,21 +78,35 @@ class Answer:
 
 
 class Engine:
-    """``ask``, ``resolve``, ``describe`` and ``stats``. Every list it collects is cut to a top-k by the plan first."""
+    """``ask``, ``resolve``, ``describe`` and ``stats``. Every list it collects is cut to a top-k by the plan first.
+
+    ``models`` may decompose, synthesise, explain and verify; what it lacks, declines or fails at is done by rule. The
+    graph's edges are written once, unless it is a stored one.
+    """
 
-    def __init__(self, graph: Graph, source: GraphSource | None = None, top_k: int = 3, max_hops: int = 3, chain: bool = False):
-        self.graph, self.source, self.top_k, self.max_hops, self.chain = graph, source or StoredGraph(graph), top_k, max_hops, chain
+    def __init__(self, graph: Graph, source: GraphSource | None = None, top_k: int = 3, max_hops: int = 3, models: Models | None = None):
+        self.cuts = Cuts(graph.nodes.sparkSession, "engine")
+        self.graph = graph.store(self.cuts) if source is None else graph
+        self.source, self.top_k, self.max_hops, self.models = source or StoredGraph(self.graph), top_k, max_hops, models or Models()
         self.memory = SessionMemory()
 
+    def close(self) -> None:
+        """Drop what the engine has written."""
+        self.source.close()
+        self.cuts.clear()
+
     def link(self, question: str, limit: int = 5) -> list[dict]:
-        """Candidates of the first mention, longest first, that resolves by name or alias; else of the first by likeness."""
-        fallback: list[dict] = []
-        for m in questions.mentions(question):
-            hits = [r.asDict() for r in search.resolve(self.graph, m, limit).collect()]
-            if hits and hits[0]["match_type"] != "fuzzy":
+        """Candidates of the first mention, longest first, that resolves by name or alias; else of the first by likeness.
+
+        One scan tells which mentions can resolve at all."""
+        found = questions.mentions(question)
+        can = search.linkable(self.graph, found) if found else {"named": [], "alias": [], "alike": []}
+        sure = sorted({*can["named"], *can["alias"]})
+        for i in [*sure, *(i for i in can["alike"] if i not in sure)]:
+            hits = [r.asDict() for r in search.resolve(self.graph, found[i], limit).collect()]
+            if hits and (i not in sure or hits[0]["match_type"] != "fuzzy"):
                 return hits
-            fallback = fallback or hits
-        return fallback
+        return []
 
     def _ids(self, name: str | None, k: int) -> list[str]:
         return [r["id"] for r in self.source.search_nodes(name, k).collect()] if name else []
@@ -118,7 +142,10 @@ class Engine:
 
     def ask(self, question: str, session: str = "default") -> Answer:
         context = self.memory.context(session)
-        plan = questions.plan_question(questions.rewrite(question.strip()), context["entities"], context["event"])
+        plan = questions.plan_question(rewritten(question.strip()), context["entities"], context["event"])
+        parts = self.models.decompose and attempt(self.models.decompose, plan.question)
+        if parts:
+            plan.steps = [questions.SubQuestion(i, p, relation=plan.relations[0] if plan.relations else None) for i, p in enumerate(parts)]
         best, candidates = self.run(plan)
         spark = self.graph.nodes.sparkSession
         seen, triples = set(), []
@@ -127,18 +154,27 @@ class Engine:
                 if (key := (t["subj"], t["rel"], t["obj"])) not in seen:
                     seen.add(key)
                     triples.append(t)
-        shape = "triples array<struct<subj:string,rel:string,obj:string,time:string,source:string>>"
-        row = spark.createDataFrame([(triples if best else None, candidates, plan.kind)], f"{shape}, candidates array<string>, kind string")
-        said = row.select(explain.answer(F.col("triples"), F.col("candidates"), F.col("kind")).alias("a")).first()["a"]
-        steps = []
-        if best:
-            top = explain.steps(spark.createDataFrame([(best[0]["triples"],)], shape))
-            steps = explain.verify(top).first()["verified"]
+        shape = "array<struct<subj:string,rel:string,obj:string,time:string,source:string>>"
+        top = best[0]["triples"] if best else []
+        # answer, steps and their check in one local row
+        row = spark.createDataFrame([(triples if best else None, candidates, plan.kind, top)], f"all {shape}, candidates array<string>, kind string, triples {shape}")
+        row = row.withColumn("said", explain.answer(F.col("all"), F.col("candidates"), F.col("kind"))).withColumn("lines", F.transform(F.coalesce("all", F.array().cast(shape)), explain.triple_line))
+        told = explain.verify(explain.steps(row)).first()
+        lines = told["lines"]
+        said = (best and self.models.synthesise and attempt(self.models.synthesise, plan.question, lines)) or told["said"]
+        steps = told["verified"]
+        if best and self.models.explain and (own := attempt(self.models.explain, plan.question, lines)):
+            check = self.models.verify
+            asked = spark.createDataFrame([([s for s in own if s.strip()], top)], f"steps array<string>, triples {shape}").withColumn("steps", F.filter("steps", text.is_step_line))
+            checked = explain.verify(asked).first()
+            # a step that no model judges is judged by its words
+            judged = [(s, attempt(check, s, lines) if check else None) for s in checked["steps"]]
+            steps = [s for s, ok in judged if (s in checked["verified"] if ok is None else ok)] or steps
         names = list(dict.fromkeys(n for r in best for n in r["node_names"]))
         events = [n for r in best for n, label in zip(r["node_names"], r["node_labels"]) if label == "Event"]
         self.memory.add(session, question, said, names, [i for r in best for i in r["node_ids"]], events)
         score = best[0]["score"] if best else 0.0
-        return Answer(said, score, score < 0.60, best, steps, names, list(dict.fromkeys(t["source"] for t in triples if t["source"])), plan)
+        return Answer(said, score, score < 0.60, best, steps if best else [], names, list(dict.fromkeys(t["source"] for t in triples if t["source"])), plan)
 
     def resolve(self, mention: str, top_k: int = 5) -> DataFrame:
         return search.resolve(self.graph, mention, top_k)

@@ -1,3 +1,5 @@
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -5,15 +7,19 @@ from pyspark.sql import functions as F
 from graphloom import vocab
 from graphloom.functions import numeric, temporal, text
 from graphloom.plans import evaluate, explain, questions
-from graphloom.plans.engine import Engine, SmallGraph
+from graphloom.plans.engine import Engine, SmallGraph, rewritten
 from graphloom.queries.text_queries import SAMPLES
 from tests.toy import toy_graph
 
 
 @pytest.fixture(scope="module")
-def engine(spark):
-    g = toy_graph(spark)
-    return Engine(g, SmallGraph(g))
+def toy(spark):
+    return toy_graph(spark)
+
+
+@pytest.fixture(scope="module")
+def engine(toy):
+    return Engine(toy, SmallGraph(toy))
 
 
 def test_ask(engine):
@@ -36,14 +42,23 @@ def test_no_entity(engine):
     assert "**Infosys** [Company]" in engine.describe("tell me about Infosys")
 
 
+def by_hand(q):
+    """Kind, relations and temporal words of a question, looked up one by one."""
+    low = q.lower()
+    rules = {"multi_hop_chain": vocab.CHAIN_PATTERNS, "multi_hop_intersection": vocab.INTERSECTION_PATTERNS, "temporal": vocab.TEMPORAL_PATTERNS}
+    kind = next((k for k, ps in rules.items() if any(re.search(p, low) for p in ps)), "single_hop")
+    rels = [r for k in sorted(vocab.PREDICATES, key=len, reverse=True) if k in low for r in vocab.PREDICATES[k]]
+    word = max((w for w in vocab.TEMPORAL_WORDS if w in low), key=len, default=None)
+    found = re.search(re.escape(word) + r"\s+([a-z0-9\s/,-]{3,30})", low) if word else None
+    return kind, list(dict.fromkeys(rels)), vocab.TEMPORAL_WORDS.get(word), found.group(1).strip().rstrip(".,?") if found else None
+
+
 @pytest.mark.parametrize("q", SAMPLES)
-def test_columns_agree_with_driver_rules(spark, q):
+def test_columns_agree_with_rules_by_hand(spark, q):
     df = spark.createDataFrame([(q,)], "question string")
     r = df.select(text.classify_question(F.col("question")).alias("k"), text.link_relations(F.col("question")).alias("r"), text.temporal_operator(F.col("question")).alias("op"), text.temporal_reference(F.col("question")).alias("ref"), text.rewrite_synonyms(F.col("question")).alias("w"), text.spans(F.col("question")).alias("s")).first()
-    assert r["k"] == questions.classify(q)
-    assert r["r"] == questions.relations(q)
-    assert (r["op"], r["ref"]) == questions.temporal(q)
-    assert r["w"] == questions.rewrite(q)
+    assert (r["k"], r["r"], r["op"], r["ref"]) == by_hand(q)
+    assert r["w"] == rewritten(q)
     assert r["s"] == questions.mentions(q)
 
 
@@ -52,6 +67,52 @@ def test_sub_questions_agree(spark, q):
     rows = questions.sub_questions(spark.createDataFrame([(q,)], "question string")).orderBy("step").collect()
     plan = questions.plan_question(q)
     assert [r["part"] for r in rows] == [s.text for s in plan.steps]
+    assert (plan.kind, plan.relations) == by_hand(q)[:2]
+
+
+def test_plans_take_what_the_session_carries():
+    one = questions.plan_question("Which sector does it operate in?", ["Infosys", "Wipro"])
+    assert (one.question, one.follow_up, one.steps[0].anchor, one.steps[0].relation) == ("Which sector does Infosys operate in?", True, "Infosys", "OPERATES_IN")
+    chain = questions.plan_question("what changed because of interest rates due to the rate cut", ["A", "B"])
+    assert chain.kind == "multi_hop_chain" and [s.anchor for s in chain.steps][:3] == ["A", "B", None]
+
+
+def test_models_are_asked_first(toy):
+    from graphloom.providers import Models
+
+    said = Models(decompose=lambda q: ["Infosys sector", "Wipro sector"], synthesise=lambda q, lines: f"told by {len(lines)}", explain=lambda q, lines: ["Step 1: Infosys operates in IT Sector.", "no step", "Step 2: made up."], verify=lambda s, lines: "made up" not in s)
+    a = Engine(toy, SmallGraph(toy), models=said).ask("Which sector does Infosys operate in?")
+    assert [s.text for s in a.plan.steps] == ["Infosys sector", "Wipro sector"] and a.text.startswith("told by ") and a.steps == ["Step 1: Infosys operates in IT Sector."]
+
+    def broken(*_):
+        raise RuntimeError
+
+    b = Engine(toy, SmallGraph(toy), models=Models(broken, broken, broken, broken)).ask("Which sector does Infosys operate in?")
+    assert "Infosys" in b.text and b.steps and len(b.plan.steps) == 1
+
+
+def test_calls_at_once_and_embeddings(spark):
+    import threading
+
+    from graphloom.providers import embedded, gather
+
+    lock, now, most = threading.Lock(), [0], [0]
+
+    def call(x):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+        time.sleep(0.02)
+        with lock:
+            now[0] -= 1
+        if x == 3:
+            raise ValueError
+        return x * 2
+
+    assert gather(call, range(8), at_once=3, sleep=lambda _: None) == [0, 2, 4, None, 8, 10, 12, 14] and 1 < most[0] <= 3
+    df = spark.createDataFrame([("Infosys profit",), ("infosys profit",), (None,), ("",)], "t string").select(embedded(F.col("t")).alias("v"))
+    a, b, c, d = [r["v"] for r in df.collect()]
+    assert a == b and abs(sum(x * x for x in a) - 1) < 1e-9 and c is None and len(d) == 64
 
 
 def test_last_connector_keeps_its_word(spark):

@@ -16,7 +16,7 @@ EDGES = [
 def toy_graph(spark):
     nodes = spark.createDataFrame(NODES, "id string, name string, label string")
     edges = spark.createDataFrame([(f"e{i}", s, d, r, t, None, "toy") for i, (s, r, d, t) in enumerate(EDGES)], schema.EDGES)
-    return Graph(nodes, edges)
+    return Graph(nodes, edges, stored=True)
 
 
 def graph_of(spark, nodes, edges):
