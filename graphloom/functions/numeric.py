@@ -81,3 +81,10 @@ def merge_attributes(existing: Column, incoming: Column) -> Column:
 
 def drop_nulls(m: Column) -> Column:
     return F.map_filter(m, lambda _, v: v.isNotNull())
+
+
+def json_values(c: Column, defaults: dict[str, object]) -> list[Column]:
+    """The named values of a JSON object, each with its default where it is missing, null or of another type."""
+    kinds = {bool: "boolean", int: "bigint", float: "double", str: "string"}
+    read = F.from_json(c, ", ".join(f"`{k}` {kinds[type(v)]}" for k, v in defaults.items()), {"mode": "PERMISSIVE"})
+    return [F.coalesce(read[k], F.lit(v).cast(kinds[type(v)])).alias(k) for k, v in defaults.items()]

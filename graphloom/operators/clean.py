@@ -6,11 +6,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from graphloom import vocab
 from graphloom.functions.text import upper_snake
 from graphloom.operators.graph import Graph
+from graphloom.session import Cuts
 
 
 def normalise_relations(edges: DataFrame) -> DataFrame:
@@ -67,23 +67,28 @@ def clean(graph: Graph, order: str = "eid") -> Graph:
 
 
 def audit(graph: Graph, order: str = "eid") -> DataFrame:
-    """One row of counts: what each step of ``clean`` changes or removes."""
-    normal = normalise_relations(graph.edges)
-    changed = graph.edges.agg(F.count("*").alias("edges"), F.sum((F.col("rel") != upper_snake(F.col("rel"))).cast("long")).alias("renamed"), F.sum((F.col("src") == F.col("dst")).cast("long")).alias("loops"))
-    once = keep_first(without_loops(normal), ["src", "rel", "dst"], order)
-    quiet = without_noise(Graph(graph.nodes, once))
-    placed = without_orphans(quiet)
-    last = without_broken(placed)
-    counts = [(once, "once"), (quiet.nodes, "quiet_nodes"), (quiet.edges, "quiet_edges"), (placed.nodes, "nodes_left"), (last.edges, "edges_left"), (graph.nodes, "nodes")]
-    row = changed
-    for df, name in counts:
-        row = row.join(F.broadcast(df.agg(F.count("*").alias(name))))  # one row each
+    """One row of counts: what each step of ``clean`` changes or removes.
+
+    Edges are read once for their own counts and once, kept-first, with a flag per end; that short table is written and
+    all else is counted from it.
+    """
+    cuts = Cuts(graph.nodes.sparkSession, "audit")
+    own = graph.edges.agg(F.count("*").alias("edges"), F.sum((F.col("rel") != upper_snake(F.col("rel"))).cast("long")).alias("renamed"), F.sum((F.col("src") == F.col("dst")).cast("long")).alias("loops"))
+    flags = graph.nodes.select("id", F.coalesce(is_noise_node(), F.lit(False)).alias("noise")).groupBy("id").agg(F.max("noise").alias("noise"), F.sum((~F.col("noise")).cast("long")).alias("quiet"), F.count("*").alias("rows"))
+    flags = cuts.cut(flags)
+    once = keep_first(without_loops(normalise_relations(graph.edges.select("src", "rel", "dst", order))), ["src", "rel", "dst"], order).select("src", "dst")
+    for c in ("src", "dst"):
+        once = once.join(flags.select(F.col("id").alias(c), F.col("noise").alias(f"{c}_noise"), (F.col("quiet") > 0).alias(f"{c}_known")), c, "left")
+    quiet = ~F.coalesce("src_noise", F.lit(False)) & ~F.coalesce("dst_noise", F.lit(False))
+    once = cuts.cut(once.select("src", "dst", quiet.alias("quiet"), F.coalesce(F.col("src_known") & F.col("dst_known"), F.lit(False)).alias("known")))
+    ends = once.where("quiet").select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    parts = [
+        own, once.agg(F.count("*").alias("once"), F.sum(F.col("quiet").cast("long")).alias("quiet_edges"), F.sum((F.col("quiet") & F.col("known")).cast("long")).alias("edges_left")),
+        flags.agg(F.sum("rows").alias("nodes"), F.sum("quiet").alias("quiet_nodes")), flags.join(ends, "id", "left_semi").agg(F.sum("quiet").alias("nodes_left")),
+    ]
+    rows = reduce(lambda a, b: a.unionByName(b, True), parts)  # a row each, summed to one
+    row = rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in rows.columns])
     return row.select(
-        F.coalesce("renamed", F.lit(0)).cast("long").alias("renamed"), F.coalesce("loops", F.lit(0)).cast("long").alias("loops"), (F.col("edges") - F.coalesce("loops", F.lit(0)) - F.col("once")).alias("repeated"),
-        (F.col("nodes") - F.col("quiet_nodes")).alias("noise_nodes"), (F.col("once") - F.col("quiet_edges")).alias("noise_edges"), (F.col("quiet_nodes") - F.col("nodes_left")).alias("orphans"),
-        (F.col("quiet_edges") - F.col("edges_left")).alias("broken"), "nodes_left", "edges_left",
+        "renamed", "loops", (F.col("edges") - F.col("loops") - F.col("once")).alias("repeated"), (F.col("nodes") - F.col("quiet_nodes")).alias("noise_nodes"), (F.col("once") - F.col("quiet_edges")).alias("noise_edges"),
+        (F.col("quiet_nodes") - F.col("nodes_left")).alias("orphans"), (F.col("quiet_edges") - F.col("edges_left")).alias("broken"), "nodes_left", "edges_left",
     )
-
-
-def ranked(df: DataFrame, by: list[Column], name: str = "rank") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*by)))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Callable, Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from graphloom.functions.numeric import frame, pad_to
@@ -32,8 +36,9 @@ def cap_per_language(pairs: DataFrame, n: int, order: str) -> DataFrame:
 
 
 def split(pairs: DataFrame, key: str, validation_percent: int = 5) -> DataFrame:
-    """train or validation by a hash of the key: the same for a key in every run."""
-    return pairs.withColumn("split", F.when(F.pmod(F.xxhash64(key), F.lit(100)) < validation_percent, "validation").otherwise("train"))
+    """train or validation by the first 32 bits of the MD5 of the key as text: the same for a key in every run and engine."""
+    first = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long")
+    return pairs.withColumn("split", F.when(first % 100 < validation_percent, "validation").otherwise("train"))
 
 
 def training_rows(pairs: DataFrame, src: str = "src_ids", tgt: str = "tgt_ids", source_limit: int = 512, target_limit: int = 510) -> DataFrame:
@@ -74,12 +79,61 @@ def final_score(score: Column, length: Column, alpha: float = 1.0) -> Column:
 
 
 def piece_ids(t: Column, model_file: str) -> Column:
-    """Ids of a public subword model's file."""
+    """Ids of a public subword model's file, which each task opens once."""
     @F.pandas_udf("array<int>")
-    def ids(texts: pd.Series) -> pd.Series:
+    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import sentencepiece
 
         p = sentencepiece.SentencePieceProcessor(model_file=model_file)
-        return pd.Series(p.encode([x or "" for x in texts]))
+        for texts in batches:
+            yield pd.Series(p.encode([x or "" for x in texts]))
 
     return ids(t)
+
+
+#: Scores of every next token for each of some prefixes of one source: (source, prefixes) -> log-probabilities.
+Scorer = Callable[[list[int], list[list[int]]], "list[list[float]]"]
+
+
+def decode(source: list[int], score: Scorer, beams: int = 1, limit: int = 64, begin: int = 2, end: int = 3, no_repeat: int = 0, penalty: float = 1.0, alpha: float = 1.0) -> list[int]:
+    """The best sequence by beam search; with one beam, greedily. Without the begin and end marks.
+
+    Tokens that would repeat an n-gram of ``no_repeat`` are left out, those seen are made less likely by ``penalty``, and
+    finished sequences are compared by their score over their length to the power ``alpha``. Ties go to the earlier
+    beam, then the lesser token.
+    """
+    live: list[tuple[float, list[int]]] = [(0.0, [begin])]
+    ended: list[tuple[float, list[int]]] = []
+    for _ in range(limit):
+        found = []
+        for place, ((total, ids), logp) in enumerate(zip(live, score(source, [ids for _, ids in live]))):
+            stem = ids[len(ids) - no_repeat + 1 :] if no_repeat else []
+            barred = {ids[i + no_repeat - 1] for i in range(len(ids) - no_repeat + 1) if ids[i : i + no_repeat - 1] == stem} if no_repeat else set()
+            for token, lp in enumerate(logp):
+                if token not in barred and lp > float("-inf"):
+                    lp = lp if token not in ids or penalty == 1 else lp * penalty if lp < 0 else lp / penalty
+                    found.append((-(total + lp), place, token))
+        found = heapq.nsmallest(2 * beams, found)
+        after = []
+        for minus, place, token in found:
+            ids = [*live[place][1], token]
+            (ended if token == end else after).append((-minus, ids))
+        live = after[:beams]
+        if not live or beams == 1 and ended or len(ended) >= beams:
+            break
+    pool = ended or live or [(0.0, [begin])]
+    best = max(pool, key=lambda x: x[0] / max(1, len(x[1]) - 1) ** alpha)[1]
+    return [i for i in best[1:] if i != end]
+
+
+def generated(rows: DataFrame, c: str, load: Callable[[], Scorer], out: str = "out_ids", **options) -> DataFrame:
+    """``rows`` with the decoded sequence of the source ids in ``c``; each task loads its scorer once. A null source gives null."""
+    spec = StructType([*rows.schema.fields, StructField(out, ArrayType(IntegerType()))])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        score = load()
+        for frame in frames:
+            frame[out] = [None if s is None else decode([int(i) for i in s], score, **options) for s in frame[c]]
+            yield frame
+
+    return rows.mapInPandas(run, spec)

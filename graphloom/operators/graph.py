@@ -127,3 +127,13 @@ def quintuples(edges: DataFrame) -> DataFrame:
     """(s, p, o, t_start, t_end) with a dot for a missing time."""
     dot = lambda c: F.coalesce(F.col(c), F.lit("."))
     return edges.select(F.col("src").alias("s"), F.col("rel").alias("p"), F.col("dst").alias("o"), dot("t_announce").alias("t_start"), dot("t_effective").alias("t_end"))
+
+
+def mapping_edges(mapping: DataFrame, nodes: DataFrame, rel: str = "OPERATES_IN", source: str = "mapping") -> DataFrame:
+    """Edges from each ``mapping(name, group)`` whose name and group are both nodes' names, case and outer spaces aside;
+    of several nodes of a name the least id; a repeated mapping gives one edge."""
+    ids = nodes.groupBy(F.lower(F.trim("name")).alias("k")).agg(F.min("id").alias("i"))
+    m = mapping.select(F.lower(F.trim("name")).alias("a"), F.lower(F.trim("group")).alias("b")).distinct()
+    both = m.join(ids.select(F.col("k").alias("a"), F.col("i").alias("src")), "a").join(ids.select(F.col("k").alias("b"), F.col("i").alias("dst")), "b")
+    none = F.lit(None).cast("string")
+    return both.select(edge_id(F.col("src"), F.lit(rel), F.col("dst")).alias("eid"), "src", "dst", F.lit(rel).alias("rel"), none.alias("t_announce"), none.alias("t_effective"), F.lit(source).alias("source"))

@@ -96,19 +96,26 @@ def gram_prefix(names: DataFrame, key: list[str], c: str, threshold: float) -> D
     return grams.join(df, "gram").withColumn("_at", at).where(F.col("_at") <= F.col("_n") - 1 - shared + 1).select(*key, "gram")
 
 
-def block_pairs(nodes: DataFrame, prefix: int = 3) -> DataFrame:
-    """Pairs of distinct normal names of one label that share a prefix: (label, a, b).
-
-    Names, not nodes, are paired, so copies of a name cost nothing; the join is an equi-join on the block, which
-    AQE splits where a block is large.
-    """
+def normal_names(nodes: DataFrame) -> DataFrame:
+    """Distinct (label, norm) of the names that may be merged; copies of a name cost nothing."""
     n = nodes.withColumn("norm", text.strip_legal_suffixes(F.col("name")))
-    n = n.where((F.col("norm") != "") & ~F.col("label").isin(*vocab.UNMERGED_LABELS) & ~text.is_never_merged(F.col("name"))).select("label", "norm").distinct()
-    n = n.withColumn("block", F.substring("norm", 1, prefix))
+    return n.where((F.col("norm") != "") & ~F.col("label").isin(*vocab.UNMERGED_LABELS) & ~text.is_never_merged(F.col("name"))).select("label", "norm").distinct()
+
+
+def block_pairs(nodes: DataFrame, prefix: int = 3) -> DataFrame:
+    """Pairs of distinct normal names of one label that share a prefix: (label, a, b), an equi-join on the block."""
+    n = normal_names(nodes).withColumn("block", F.substring("norm", 1, prefix))
     x, y = n.select("label", "block", F.col("norm").alias("a")), n.select("label", "block", F.col("norm").alias("b"))
     return x.join(y, ["label", "block"]).where("a < b").select("label", "a", "b")
 
 
+def alike_pairs(nodes: DataFrame, threshold: float, prefix: int = 3) -> DataFrame:
+    """Those of ``block_pairs`` that can have a ratio of ``threshold``: joined by rare bigrams, not by the whole block."""
+    g = gram_prefix(normal_names(nodes), ["label", "norm"], "norm", threshold).withColumn("block", F.substring("norm", 1, prefix))
+    x, y = g.select("label", "block", "gram", F.col("norm").alias("a")), g.select("label", "block", "gram", F.col("norm").alias("b"))
+    return x.join(y, ["label", "block", "gram"]).where("a < b").select("label", "a", "b").distinct()
+
+
 def similar_pairs(pairs: DataFrame, threshold: float = 0.88, indicator: float = 0.92, measure: str = "ratio") -> DataFrame:
     """Pairs that are alike enough in either direction and aren't protected; a cheap bound goes before the ratio.
 
@@ -125,7 +132,9 @@ def similar_pairs(pairs: DataFrame, threshold: float = 0.88, indicator: float =
 
 def name_groups(nodes: DataFrame, threshold: float = 0.88, indicator: float = 0.92, measure: str = "ratio") -> DataFrame:
     """(id, group_key): nodes of one label whose normal names are equal or connected by likeness."""
-    alike = similar_pairs(block_pairs(nodes), threshold, indicator, measure)
+    # the bigram bound holds for the ratio only
+    pairs = alike_pairs(nodes, min(threshold, indicator)) if measure == "ratio" else block_pairs(nodes)
+    alike = similar_pairs(pairs, threshold, indicator, measure)
     key = lambda c: F.concat_ws("\x01", "label", c)
     groups = components(alike.select(key("a").alias("a"), key("b").alias("b")))
     n = nodes.where(~F.col("label").isin(*vocab.UNMERGED_LABELS) & ~text.is_never_merged(F.col("name"))).withColumn("norm", text.strip_legal_suffixes(F.col("name"))).where("norm <> ''")
@@ -145,6 +154,12 @@ def canonical_names(members: DataFrame) -> DataFrame:
     return best.select("group_key", F.col("m.id").alias("canonical_id"), F.coalesce(F.get(names, F.col("rule")), F.col("m.name")).alias("canonical_name"), "size")
 
 
+def rewired_count(edges: DataFrame, redirect: DataFrame) -> DataFrame:
+    """One row: how many ends ``rewire`` replaces."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    return ends.join(redirect.select("id").distinct(), "id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rewired"))
+
+
 def rewire(edges: DataFrame, redirect: DataFrame) -> DataFrame:
     """Edges with both ends replaced by ``redirect(id, to)`` where it names them."""
     a, b = redirect.select(F.col("id").alias("src"), F.col("to").alias("src_to")), redirect.select(F.col("id").alias("dst"), F.col("to").alias("dst_to"))
@@ -173,19 +188,21 @@ def incremental_matches(new: DataFrame, known: DataFrame, eps: float = 0.85, mea
     ready = lambda df: df.where(~text.is_build_noise(F.col("name"))).select("id", "label", F.lower(F.trim("name")).alias("n"), text.strip_legal_suffixes(F.col("name")).alias("s"))
     x, y = ready(new), ready(known)
     least = max(0.85, eps)
-    # all new pairs of a label that can be alike share a rare bigram; those equal but for suffixes share the rest
+    # all pairs of a label that can be alike share a rare bigram; those equal but for suffixes share the rest
     names = x.select("label", "n").distinct()
-    g = gram_prefix(names, ["label", "n"], "n", least)
-    near = g.join(g.select("label", "gram", F.col("n").alias("m")), ["label", "gram"]).where("n <= m").select("label", "n", "m").distinct()
-    rest = x.where(F.length("s") >= 4).select("label", "n", "s").distinct()
-    same_rest = rest.join(rest.select("label", "s", F.col("n").alias("m")), ["label", "s"]).where("n <= m").select("label", "n", "m")
-    pairs = near.unionByName(same_rest).unionByName(names.select("label", "n", F.col("n").alias("m"))).distinct().alias("p")
+    everyone = x.select("label", "n", "s").unionByName(y.select("label", "n", "s")).distinct()
+    if measure == "ratio":
+        g = gram_prefix(everyone.select("label", "n").distinct(), ["label", "n"], "n", least)
+        near = names.join(g, ["label", "n"]).join(g.select("label", "gram", F.col("n").alias("m")), ["label", "gram"]).select("label", "n", "m")
+    else:  # no bound holds: all of a label
+        near = names.join(everyone.select("label", F.col("n").alias("m")).distinct(), "label")
+    rest = everyone.where(F.length("s") >= 4)
+    same_rest = names.join(rest, ["label", "n"]).join(rest.select("label", "s", F.col("n").alias("m")), ["label", "s"]).select("label", "n", "m")
+    pairs = near.select("label", "n", "m").unionByName(same_rest).unionByName(names.select("label", "n", F.col("n").alias("m"))).distinct().alias("p")
     both = pairs.join(x.alias("x"), F.expr("x.label = p.label and x.n = p.n")).join(x.alias("y"), F.expr("y.label = p.label and y.n = p.m"))
     # the ratio is taken from the lesser id to the greater, whichever name comes first
-    first, second = F.struct("x.*"), F.struct("y.*")
-    both = both.where("x.id <> y.id and (p.n <> p.m or x.id < y.id)").select(F.when(F.col("x.id") < F.col("y.id"), first).otherwise(second).alias("x"), F.when(F.col("x.id") < F.col("y.id"), second).otherwise(first).alias("y"))
-    within = both
-    across = x.withColumn("k", F.substring("n", 1, 4)).alias("x").join(y.withColumn("k", F.substring("n", 1, 4)).alias("y"), F.expr("x.label = y.label and x.k = y.k and x.id <> y.id"))
+    within = both.where("x.id < y.id").select(F.struct("x.*").alias("x"), F.struct("y.*").alias("y"))
+    across = pairs.where("substring(p.n, 1, 4) = substring(p.m, 1, 4)").join(x.alias("x"), F.expr("x.label = p.label and x.n = p.n")).join(y.alias("y"), F.expr("y.label = p.label and y.n = p.m")).where("x.id <> y.id")
     cols = [F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"), F.col("x.s").alias("sa"), F.col("y.s").alias("sb")]
     pairs = within.select(*cols).unionByName(across.select(*cols))
     same = (F.col("sa") == F.col("sb")) & (F.length("sa") >= 4)

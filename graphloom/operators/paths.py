@@ -95,23 +95,40 @@ def _from(prefixes: list[Row], adjacency: DataFrame, keep: Column) -> DataFrame:
     return _hop(local, adjacency.where(F.col("a").isin(*sorted({r["last"] for r in prefixes}))), keep)
 
 
-def _walks(begin: list[Row], adjacency: DataFrame, hop: int, size: int) -> Iterator[list[Row]]:
-    """Pages of the walks of ``hop`` edges, in order of their edges."""
-    if hop == 0:
-        yield begin
-        return
-    for prefixes in _walks(begin, adjacency, hop - 1, size):
-        yield from _pages(_from(prefixes, adjacency, _kept(hop)), size)
-
-
-def _first(begin: list[Row], adjacency: DataFrame, hop: int, need: int) -> list[Row]:
-    """The first ``need`` trails of ``hop`` edges: later prefixes are only looked at while there are too few."""
-    out: list[Row] = []
-    for prefixes in _walks(begin, adjacency, hop - 1, max(64, need)):
-        out += _ordered(_from(prefixes, adjacency, _done(hop)), need - len(out)).collect()
-        if len(out) >= need:
-            break
-    return out
+class _Walks:
+    """Pages of the walks of 0, 1, .. edges from the starts, in order of their edges, each fetched when first asked for."""
+
+    def __init__(self, begin: list[Row], adjacency: DataFrame, size: int):
+        self.adjacency, self.size = adjacency, size
+        self.known: list[list[list[Row]]] = [[begin]]
+        self.more: list[Iterator[list[Row]]] = [iter(())]
+
+    def _next(self, hop: int) -> Iterator[list[Row]]:
+        for prefixes in self.pages(hop - 1):
+            yield from _pages(_from(prefixes, self.adjacency, _kept(hop)), self.size)
+
+    def pages(self, hop: int) -> Iterator[list[Row]]:
+        while len(self.known) <= hop:
+            self.more.append(self._next(len(self.known)))
+            self.known.append([])
+        at = 0
+        while True:
+            if at == len(self.known[hop]):
+                page = next(self.more[hop], None)
+                if page is None:
+                    return
+                self.known[hop].append(page)
+            yield self.known[hop][at]
+            at += 1
+
+    def first(self, hop: int, need: int) -> list[Row]:
+        """The first ``need`` trails of ``hop`` edges: later prefixes are only looked at while there are too few."""
+        out: list[Row] = []
+        for prefixes in self.pages(hop - 1):
+            out += _ordered(_from(prefixes, self.adjacency, _done(hop)), need - len(out)).collect()
+            if len(out) >= need:
+                break
+        return out
 
 
 def _between(begin: list[Row], adjacency: DataFrame, ends: Sequence[str], hop: int) -> DataFrame:
@@ -139,11 +156,12 @@ def find_paths(graph: Graph, starts: Sequence[str], ends: Sequence[str] | None =
     cuts = Cuts(graph.nodes.sparkSession, "paths")
     adjacency = graph.store(cuts).adjacency(rel_types)
     begin, rows = _frontier(graph, starts or [""]).collect(), []
+    walks = _Walks(begin, adjacency, max(64, top_k))
     for hop in range(1, max_hops + 1):
         if len(rows) >= top_k or not begin:
             break
         need = top_k - len(rows)
-        rows += _ordered(_between(begin, adjacency, ends, hop), need).collect() if ends else _first(begin, adjacency, hop, need)
+        rows += _ordered(_between(begin, adjacency, ends, hop), need).collect() if ends else walks.first(hop, need)
     cuts.clear()
     return describe(graph, graph.nodes.sparkSession.createDataFrame([(r["node_ids"], r["eids"], r["steps"], r["last"], r["hops"]) for r in rows], _TRAIL))
 
@@ -221,6 +239,12 @@ def neighbour_paths(neighbours: DataFrame) -> DataFrame:
     )
 
 
+def first_seen(paths: DataFrame, order: str) -> DataFrame:
+    """Each path once, by its id: the first in ``order``."""
+    rest = [c for c in paths.columns if c not in ("path_id", order)]
+    return paths.groupBy("path_id").agg(F.min_by(F.struct(*rest), F.col(order)).alias("p")).select("path_id", "p.*")
+
+
 def distinct_triples(paths: DataFrame, order: str = "rank") -> DataFrame:
     """Triples of ranked paths, each once, in the order they first come."""
     rows = paths.select(F.col(order).alias("rank"), F.posexplode("triples").alias("at", "t"))

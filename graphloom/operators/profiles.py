@@ -16,6 +16,18 @@ def with_defaults(rows: DataFrame) -> DataFrame:
     return rows
 
 
+def back_fill(rows: DataFrame, defaults: dict[str, object]) -> DataFrame:
+    """Known columns with their defaults where they are null, in one projection."""
+    return rows.withColumns({c: F.coalesce(c, F.lit(v).cast(dict(rows.dtypes)[c])) for c, v in defaults.items() if c in rows.columns})
+
+
+def inserted(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """The table after new users arrive: each gets a row with the defaults, unless the id has one already; columns the
+    table lacks are dropped, those an insert lacks are null."""
+    rows = with_defaults(new).dropDuplicates(["id"]).join(stored.select("id"), "id", "left_anti")
+    return stored.unionByName(rows.select(*[F.col(c).cast(t).alias(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in stored.dtypes]))
+
+
 def violations(rows: DataFrame) -> DataFrame:
     """Rows that break a check, with its name; a null passes, as it does in SQL."""
     bad = F.when(~F.col("investor_type").isin(*schema.INVESTOR_TYPES), "investor_type").when(~F.col("risk_appetite").isin(*schema.RISK_APPETITES), "risk_appetite")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.functions.temporal import percent_change
+from graphloom.functions.temporal import percent_change, tolerant_timestamp
 from graphloom.session import Cuts
 
 #: Headers as they come, trimmed and in lower case, and the names they get (fixed values).
@@ -88,15 +88,37 @@ def chunks(df: DataFrame, size: int, *order: str) -> DataFrame:
     return numbered(df, *order).withColumn("chunk", F.floor((F.col("rn") - 1) / size)).drop("rn")
 
 
-def running_sentiment(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """Per key the fold s <- (s + x) / 2 over the known values in order, and its bucket.
+def running_sentiment(rows: DataFrame, key: str, order: str, value: str, tail: int = 60) -> DataFrame:
+    """Per key the fold s <- (s + x) / 2 over the known values in order, and their number.
 
-    The fold is s_n = x_1 / 2^(n-1) + sum of x_i / 2^(n-i+1), i > 1: a sum, so it needs no list per key. Values more than
-    60 from the end weigh less than a double can tell, except that the first counts double.
+    The fold is s_n = x_1 / 2^(n-1) + sum of x_i / 2^(n-i+1), i > 1: a sum. Values more than ``tail`` = 60 from the end weigh
+    less than a double can tell, so only a tail per key is ranked: the window's limit keeps that many rows of a key in
+    each input partition before anything is shuffled, however hot the key. The first value and the number are plain aggregates.
     """
-    known = rows.where(F.col(value).isNotNull())
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    ranked = known.withColumn("from_end", F.row_number().over(w) - 1).withColumn("first", F.lead(order).over(w).isNull())
-    weight = F.pow(F.lit(0.5), F.when(F.col("first"), F.col("from_end")).otherwise(F.col("from_end") + 1))
-    s = F.sum(F.col(value) * weight)
-    return ranked.groupBy(key).agg(s.alias("sentiment"), F.count("*").alias("n"))
+    known = rows.where(F.col(value).isNotNull()).select(key, order, value)
+    last = known.withColumn("from_end", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where(F.col("from_end") <= tail)
+    ends = last.groupBy(key).agg(F.sum(F.col(value) * F.pow(F.lit(0.5), F.col("from_end"))).alias("s"))
+    first = known.groupBy(key).agg(F.min_by(value, order).alias("x"), F.count("*").alias("n"))
+    # the first value counts double, where it is within reach
+    both = first.join(ends, key)
+    return both.select(key, (F.col("s") + F.col("x") * F.pow(F.lit(0.5), F.col("n"))).alias("sentiment"), "n")
+
+
+def between_dates(rows: DataFrame, c: str, first: str, last: str) -> DataFrame:
+    """Rows whose date, a timestamp or text in any of the known forms, lies in a range, both ends included; a date that is
+    missing or can't be read drops the row."""
+    at = F.col(c) if dict(rows.dtypes)[c] in ("timestamp", "timestamp_ntz", "date") else tolerant_timestamp(F.col(c))
+    # the date is read once for both bounds
+    return rows.where(F.exists(F.array(at), lambda x: x.between(F.lit(first).cast("timestamp"), F.lit(last).cast("timestamp"))))
+
+
+def looked_up(rows: DataFrame, names: DataFrame, key: str, default: str, out: str) -> DataFrame:
+    """``rows`` with the name that ``names(key, name)`` has for their key, else their ``default`` column."""
+    known = names.groupBy(key).agg(F.min("name").alias("_name"))
+    return rows.join(known, key, "left").withColumn(out, F.coalesce("_name", default)).drop("_name")
+
+
+def ranked(df: DataFrame, *by: Column | str, name: str = "rank") -> DataFrame:
+    """Rows numbered from 1 in a global order, without a window over all of them."""
+    cols = {f"_o{i}": (F.col(c) if isinstance(c, str) else c) for i, c in enumerate(by)}
+    return numbered(df.withColumns(cols), *cols, name=name).drop(*cols)

@@ -75,6 +75,7 @@ class Answer:
     entities: list[str] = field(default_factory=list)
     citations: list[str] = field(default_factory=list)
     plan: questions.Plan | None = None
+    candidates: list[str] = field(default_factory=list)
 
 
 class Engine:
@@ -174,7 +175,7 @@ class Engine:
         events = [n for r in best for n, label in zip(r["node_names"], r["node_labels"]) if label == "Event"]
         self.memory.add(session, question, said, names, [i for r in best for i in r["node_ids"]], events)
         score = best[0]["score"] if best else 0.0
-        return Answer(said, score, score < 0.60, best, steps if best else [], names, list(dict.fromkeys(t["source"] for t in triples if t["source"])), plan)
+        return Answer(said, score, score < 0.60, best, steps if best else [], names, list(dict.fromkeys(t["source"] for t in triples if t["source"])), plan, candidates)
 
     def resolve(self, mention: str, top_k: int = 5) -> DataFrame:
         return search.resolve(self.graph, mention, top_k)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import text
 from graphloom.operators import clean, components, graph, merge
 from graphloom.queries.registry import query
-from graphloom.queries.sql import knowledge
+from graphloom.queries.sql import knowledge, trade
 from graphloom.session import table
 
 
@@ -69,8 +69,7 @@ def g15_clean(spark: SparkSession, d: str) -> DataFrame:
   ((SELECT count(*) FROM quiet_nodes) - (SELECT count(*) FROM placed))::BIGINT AS orphans, ((SELECT count(*) FROM quiet) - (SELECT count(*) FROM whole))::BIGINT AS broken, (SELECT count(*) FROM placed)::BIGINT AS nodes_left, (SELECT count(*) FROM whole)::BIGINT AS edges_left"""))
 def a16_audit(spark: SparkSession, d: str) -> DataFrame:
     g = _kg(spark, d)
-    known = graph.Graph(g.nodes, g.edges)
-    return clean.audit(known, "edge_no").select("loops", "repeated", "orphans", "broken", "nodes_left", "edges_left")
+    return clean.audit(g, "edge_no").select("loops", "repeated", "orphans", "broken", "nodes_left", "edges_left")
 
 
 @query("""SELECT id, name, confidence FROM (SELECT id, name, round(confidence, 4) AS confidence, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, confidence DESC) AS rn FROM entities WHERE id IS NOT NULL) WHERE rn = 1""")
@@ -79,12 +78,25 @@ def w7_last_write(spark: SparkSession, d: str) -> DataFrame:
     return merge.last_write(e, ["id"], "version").select("id", "name", "confidence")
 
 
-@query("""WITH a AS (SELECT s_suppkey AS id, s_name AS name, s_acctbal AS worth FROM supplier WHERE s_suppkey % 3 <> 0), b AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'new ' || s_name END AS name, s_acctbal + 1 AS worth FROM supplier WHERE s_suppkey % 5 <> 0)
-SELECT coalesce(a.id, b.id) AS id, coalesce(b.name, a.name) AS name, round(coalesce(b.worth, a.worth), 2)::DOUBLE AS worth FROM a FULL JOIN b USING (id)""")
+@query("""WITH v AS (SELECT id, name, label, round(confidence, 4) AS confidence, updated_at, created_at FROM entities WHERE id IS NOT NULL),
+a AS (SELECT id, arg_min(struct_pack(name, label, confidence), (updated_at, coalesce(confidence, -1), coalesce(label, ''), coalesce(name, ''))) AS r FROM v GROUP BY id), b AS (SELECT id, arg_max(struct_pack(name, label, confidence), (updated_at, coalesce(confidence, -1), coalesce(label, ''), coalesce(name, ''))) AS r FROM v WHERE updated_at > created_at GROUP BY id)
+SELECT id, coalesce(b.r.name, a.r.name) AS name, coalesce(b.r.label, a.r.label) AS label, coalesce(b.r.confidence, a.r.confidence)::DOUBLE AS confidence FROM a LEFT JOIN b USING (id)""")
 def k4_upsert(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("worth"))
-    new = s.where("id % 5 <> 0").select("id", F.when(F.col("id") % 2 == 0, F.concat(F.lit("new "), "name")).alias("name"), (F.col("worth") + 1).alias("worth"))
-    return merge.upsert(s.where("id % 3 <> 0"), new, ["id"]).withColumn("worth", F.round("worth", 2))
+    """First versions of all entities, and onto them all later ones."""
+    v = table(spark, d, "entities").where("id is not null").select("id", "name", "label", F.round("confidence", 4).alias("confidence"), "created_at", F.struct("updated_at", F.coalesce("confidence", F.lit(-1.0)).alias("c"), F.coalesce("label", F.lit("")).alias("l"), F.coalesce("name", F.lit("")).alias("n")).alias("version"))
+    old = v.groupBy("id").agg(F.min_by(F.struct("name", "label", "confidence"), "version").alias("r")).select("id", "r.*")
+    return merge.upsert(old, v.where("version.updated_at > created_at").select("id", "name", "label", "confidence", "version"), ["id"], "version")
+
+
+@query(trade("""SELECT count(*)::BIGINT AS n, sum((k = 'new')::INT)::BIGINT AS replaced, sum((k = 'old')::INT)::BIGINT AS kept FROM (SELECT eid, CASE WHEN rel IN ('PART_OF', 'SUPPLIES') THEN 'new' ELSE 'old' END AS k FROM edges)"""))
+def k5_upsert_edges(spark: SparkSession, d: str) -> DataFrame:
+    """All edges, and again those of two relations from another source; a null there leaves what is stored."""
+    from graphloom.sources.sinks import upsert_edges
+
+    e = graph.trade_graph(spark, d).edges
+    new = e.where("rel in ('PART_OF', 'SUPPLIES')").withColumns({"source": F.lit("again"), "t_announce": F.lit(None).cast("string")})
+    out = upsert_edges(e, new, by_relation_id=True)
+    return out.agg(F.count("*").alias("n"), F.sum((F.col("source") == "again").cast("long")).alias("replaced"), F.sum((F.col("source") == "trade").cast("long")).alias("kept"))
 
 
 @query("""SELECT coalesce(count(*), 0)::BIGINT AS skipped FROM relationships WHERE NOT (coalesce(upper(trim(source)) IN (SELECT id FROM entities), false) AND coalesce(upper(trim(target)) IN (SELECT id FROM entities), false))""")
@@ -94,25 +106,21 @@ def k7_skipped_edges(spark: SparkSession, d: str) -> DataFrame:
     return loadable_edges(_kg(spark, d))[1]
 
 
-@query("""WITH a AS (SELECT id, name, 1 AS v FROM (SELECT 'N' || n_nationkey AS id, n_name AS name FROM nation WHERE n_nationkey < 15)), b AS (SELECT 'N' || n_nationkey AS id, 'again ' || n_name AS name FROM nation WHERE n_nationkey >= 10)
-SELECT id, coalesce(b.name, a.name) AS name FROM a FULL JOIN b USING (id)""")
+@query("""SELECT 'node' AS kind, 'N' || n_nationkey AS key, 'again ' || n_name AS said FROM nation UNION ALL SELECT 'node', 'S' || s_suppkey, s_name FROM supplier UNION ALL SELECT 'node', 'R' || r_regionkey, r_name FROM region
+UNION ALL SELECT 'edge', 'N' || n_nationkey || '|PART_OF|R' || n_regionkey, 'second' FROM nation UNION ALL SELECT 'edge', 'S' || s_suppkey || '|LOCATED_IN|N' || s_nationkey, 'first' FROM supplier""")
 def u1_merge_graphs(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "nation").select("n_nationkey", F.concat(F.lit("N"), "n_nationkey").alias("id"), F.col("n_name").alias("name"), F.lit("Nation").alias("label"))
-    edges = spark.createDataFrame([], "eid string, src string, dst string, rel string")
-    one, two = n.where("n_nationkey < 15").drop("n_nationkey"), n.where("n_nationkey >= 10").withColumn("name", F.concat(F.lit("again "), "name")).drop("n_nationkey")
-    return merge.merge_graphs(graph.Graph(one, edges), graph.Graph(two, edges)).nodes.select("id", "name")
-
-
-@query("""WITH RECURSIVE e AS (SELECT left_id AS a, right_id AS b FROM entity_matches WHERE score >= 0.95 AND left_id IS NOT NULL AND right_id IS NOT NULL), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-reach(id, seen) AS (SELECT a, a FROM s UNION SELECT r.id, s.b FROM reach r JOIN s ON s.a = r.seen) SELECT id, min(seen) AS component FROM reach GROUP BY id""")
-def a10_components(spark: SparkSession, d: str) -> DataFrame:
-    return components.components(table(spark, d, "entity_matches").where("score >= 0.95"), "left_id", "right_id")
+    """Suppliers in nations, and nations in regions: both have the nations and their edges, the second under other names and another source."""
+    g = graph.trade_graph(spark, d)
+    pick = lambda labels, rels, name, source: graph.Graph(g.nodes.where(F.col("label").isin(*labels)).withColumn("name", name), g.edges.where(F.substring("src", 1, 1).isin(*rels)).where("rel in ('PART_OF', 'LOCATED_IN')").withColumn("source", F.lit(source)))
+    first = pick(["Supplier", "Nation"], ["S", "N"], F.col("name"), "first")
+    second = pick(["Nation", "Region"], ["N"], F.when(F.col("label") == "Nation", F.concat(F.lit("again "), "name")).otherwise(F.col("name")), "second")
+    out = merge.merge_graphs(first, second)
+    return out.nodes.select(F.lit("node").alias("kind"), F.col("id").alias("key"), F.col("name").alias("said")).unionByName(out.edges.select(F.lit("edge").alias("kind"), F.col("eid").alias("key"), F.col("source").alias("said")))
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT left_id AS a, right_id AS b FROM entity_matches WHERE left_id IS NOT NULL AND right_id IS NOT NULL), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach(id, seen) AS (SELECT a, a FROM s UNION SELECT r.id, s.b FROM reach r JOIN s ON s.a = r.seen) SELECT id, min(seen) AS component FROM reach GROUP BY id""")
-def a10_all_components(spark: SparkSession, d: str) -> DataFrame:
-    """On every link; ``a10_components`` takes the strong ones only."""
+def a10_components(spark: SparkSession, d: str) -> DataFrame:
     return components.components(table(spark, d, "entity_matches"), "left_id", "right_id")
 
 
@@ -234,3 +242,36 @@ def f14_protected_pairs(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "entities").groupBy("id").agg(F.min("name").alias("name")).where("name is not null")
     m = table(spark, d, "entity_matches").join(n.select(F.col("id").alias("left_id"), F.lower("name").alias("x")), "left_id").join(n.select(F.col("id").alias("right_id"), F.lower("name").alias("y")), "right_id")
     return m.select("match_id", text.is_protected_pair(F.col("x"), F.col("y")).alias("protected"))
+
+
+@query(knowledge("SELECT sum((a.id IS NOT NULL)::INT + (b.id IS NOT NULL)::INT)::BIGINT AS rewired FROM edges LEFT JOIN (SELECT DISTINCT left_id AS id FROM entity_matches WHERE right_id IS NOT NULL) a ON a.id = src LEFT JOIN (SELECT DISTINCT left_id AS id FROM entity_matches WHERE right_id IS NOT NULL) b ON b.id = dst"))
+def j6_rewired_count(spark: SparkSession, d: str) -> DataFrame:
+    redirect = table(spark, d, "entity_matches").where("right_id is not null and left_id is not null").select(F.col("left_id").alias("id"))
+    return merge.rewired_count(_kg(spark, d).edges, redirect)
+
+
+@query(f"""WITH n AS (SELECT DISTINCT name, {_stripped(NORM)} AS s FROM entities WHERE name IS NOT NULL)
+SELECT a.name AS a, b.name AS b FROM n a JOIN n b ON a.s = b.s AND a.name < b.name WHERE length(a.s) >= 4""")
+def t19_same_without_suffix(spark: SparkSession, d: str) -> DataFrame:
+    """Names that are equal but for legal suffixes, joined by what is left."""
+    n = table(spark, d, "entities").where("name is not null").select("name", text.strip_legal_suffixes(F.col("name")).alias("s")).distinct()
+    x, y = n.select("s", F.col("name").alias("a")), n.select("s", F.col("name").alias("b"))
+    return x.join(y, "s").where("a < b").where(text.same_without_suffix(F.col("a"), F.col("b"))).select("a", "b")
+
+
+#: Pairs of texts and their Ratcliff-Obershelp ratios: twice the matched characters over all (fixed values, worked out by hand).
+RATIOS = [("abcd", "abcd", 1.0), ("abcd", "bcde", 0.75), ("", "", 1.0), ("a", "", 0.0), ("private thread", "private volatile", 20 / 30), ("tide", "diet", 0.25), ("diet", "tide", 0.5), ("ABC", "abc", 0.0)]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {r:.6f}::DOUBLE)" for a, b, r in RATIOS) + ") t(a, b, ratio)")
+def t1_ratio(spark: SparkSession, d: str) -> DataFrame:
+    pairs = spark.createDataFrame([(a, b) for a, b, _ in RATIOS], "a string, b string")
+    return pairs.withColumn("ratio", F.round(merge.ratio(F.col("a"), F.col("b")), 6))
+
+
+@query(knowledge(f"""SELECT x.id AS a, y.id AS b FROM (SELECT id, label, lower(trim(name)) AS n, {_stripped(NORM)} AS s FROM nodes WHERE trim(name) <> '') x JOIN (SELECT id, label, lower(trim(name)) AS n, {_stripped(NORM)} AS s FROM nodes WHERE trim(name) <> '') y ON x.label = y.label AND x.id < y.id
+WHERE (x.s = y.s AND length(x.s) >= 4) OR 1 - levenshtein(x.n, y.n)::DOUBLE / greatest(length(x.n), length(y.n)) >= 0.85"""))
+def j8_new_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of new nodes of a label that are alike by Levenshtein distance, or equal but for suffixes; no noise names are among them."""
+    n = _kg(spark, d).nodes.where("trim(name) <> ''")
+    return merge.incremental_matches(n, n.limit(0), measure="levenshtein")

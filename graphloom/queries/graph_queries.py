@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.operators import graph, paths, search, stats
 from graphloom.queries.registry import query
 from graphloom.queries.sql import knowledge, trade
-from graphloom.session import table
+from graphloom.session import Cuts, table
 
 
 def _trade(spark: SparkSession, d: str) -> graph.Graph:
@@ -109,7 +109,7 @@ def _trails(start: str, rel: str | None = None) -> str:
 
 @query(trade(_trails("N1") + "SELECT 1::BIGINT AS hops, count(*)::BIGINT AS n FROM h1 UNION ALL SELECT 2, count(*) FROM h2 UNION ALL SELECT 3, count(*) FROM h3"))
 def j3_trail_counts(spark: SparkSession, d: str) -> DataFrame:
-    hops = paths.trails(_trade(spark, d), ["N1"])
+    hops = paths.trails(_trade(spark, d).store(Cuts(spark, "trails")), ["N1"])
     parts = [h.groupBy().agg(F.count("*").alias("n")).select(F.lit(i).cast("long").alias("hops"), "n") for i, h in enumerate(hops, 1)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -124,7 +124,7 @@ def g2_find_paths(spark: SparkSession, d: str) -> DataFrame:
 WHERE last IN ('R0', 'R1', 'R2', 'R3', 'R4') ORDER BY hops, list_aggregate(eids, 'string_agg', chr(1)), list_aggregate(nodes, 'string_agg', chr(1)) LIMIT 5"""))
 def g2_paths_to_targets(spark: SparkSession, d: str) -> DataFrame:
     ends = [f"R{i}" for i in range(5)]
-    return paths.find_paths(_trade(spark, d), ["S3"], ends, top_k=5, progressive=False).select(F.col("hops").cast("long").alias("hops"), F.array_join("node_ids", ">").alias("nodes"))
+    return paths.find_paths(_trade(spark, d), ["S3"], ends, top_k=5).select(F.col("hops").cast("long").alias("hops"), F.array_join("node_ids", ">").alias("nodes"))
 
 
 @query(trade(_trails("C1", "LOCATED_IN") + """SELECT hops, list_aggregate(nodes, 'string_agg', '>') AS nodes FROM (SELECT 1::BIGINT AS hops, nodes, eids FROM h1 UNION ALL SELECT 2, nodes, eids FROM h2 UNION ALL SELECT 3, nodes, eids FROM h3)
@@ -256,11 +256,11 @@ def u6_shared_ends(spark: SparkSession, d: str) -> DataFrame:
 t AS (SELECT rank, i, n.name AS subj, m.name AS obj FROM f, unnest(range(1, len(nodes))) AS u(i) JOIN nodes n ON n.id = nodes[i] JOIN nodes m ON m.id = nodes[i + 1])
 SELECT subj, 'LOCATED_IN' AS rel, obj, min(rank)::BIGINT AS rank FROM t GROUP BY subj, obj"""))
 def w11_distinct_triples(spark: SparkSession, d: str) -> DataFrame:
-    from graphloom.operators.clean import ranked
+    from graphloom.operators.series import ranked
 
     found = paths.find_paths(_trade(spark, d), ["C1"], rel_types=["LOCATED_IN"], max_hops=2, top_k=60)
     order = [F.col("hops"), F.array_join("eids", "\x01"), F.array_join("node_ids", "\x01")]
-    return paths.distinct_triples(ranked(found, order)).select("subj", "rel", "obj", F.col("rank").cast("long").alias("rank"))
+    return paths.distinct_triples(ranked(found, *order)).select("subj", "rel", "obj", F.col("rank").cast("long").alias("rank"))
 
 
 @query(knowledge("""SELECT DISTINCT id, name, label, 0.85::DOUBLE AS score, 'alias' AS match_type FROM (SELECT n.id, name, label, coalesce(g.degree, 0) AS degree FROM nodes n LEFT JOIN (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY id) g USING (id)
@@ -294,3 +294,66 @@ def g16_facts_to_nodes(spark: SparkSession, d: str) -> DataFrame:
         F.col("props.sentiment").alias("sentiment"), time.alias("temporal"), F.lit(None).cast("string").alias("source_text"),
     )
     return graph.facts_to_graph(facts).nodes.select("id", "name", "label", F.round("confidence", 4).alias("confidence"))
+
+
+@query(trade("SELECT from_id, to_id, rel FROM (SELECT a AS from_id, b AS to_id, rel FROM adj WHERE a = (SELECT n.id FROM nodes n LEFT JOIN degree g USING (id) WHERE contains(lower(name), 'nation_1') ORDER BY coalesce(g.degree, 0) DESC, n.id LIMIT 1) ORDER BY eid, a LIMIT 20)"))
+def j2_neighbours_by_name(spark: SparkSession, d: str) -> DataFrame:
+    return search.neighbours_of(_trade(spark, d), "Nation_1").select("from_id", "to_id", "rel")
+
+
+@query(trade(_trails("N1") + """, f AS (SELECT nodes, eids FROM h1 UNION ALL SELECT nodes, eids FROM h2), k AS (SELECT list_aggregate(nodes, 'string_agg', '>') AS nodes, list_aggregate(eids, 'string_agg', chr(1)) AS key FROM f
+  ORDER BY len(eids), key LIMIT 80) SELECT nodes, count(DISTINCT key)::BIGINT AS n FROM k GROUP BY nodes"""))
+def w10_distinct_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Paths of two searches that overlap, each once by its id."""
+    g = _trade(spark, d).store(Cuts(spark, "w10"))
+    both = paths.find_paths(g, ["N1"], max_hops=1, top_k=30).unionByName(paths.find_paths(g, ["N1"], max_hops=2, top_k=80))
+    return paths.first_seen(both.withColumn("seq", F.lit(0)), "seq").groupBy(F.array_join("node_ids", ">").alias("nodes")).agg(F.count("*").alias("n"))
+
+
+@query(trade("SELECT 'S' || s_suppkey || '|OPERATES_IN|N' || min(n_nationkey) AS eid FROM supplier, nation WHERE s_nationkey = n_nationkey GROUP BY s_suppkey"))
+def j11_operates_in(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers by name to nations by name; names that are no nodes' give no edge."""
+    s, n = table(spark, d, "supplier"), table(spark, d, "nation")
+    known = s.join(n, s.s_nationkey == n.n_nationkey).select(F.concat(F.lit(" "), F.lower("s_name")).alias("name"), F.col("n_name").alias("group"))
+    odd = n.select(F.lit("No such supplier").alias("name"), F.col("n_name").alias("group")).unionByName(s.select(F.col("s_name").alias("name"), F.lit("nowhere").alias("group")))
+    return graph.mapping_edges(known.unionByName(known).unionByName(odd), _trade(spark, d).nodes.where("label in ('Supplier', 'Nation')")).select("eid")
+
+
+#: A small graph with known answers (names and relations as in the questions below).
+TOY = (
+    [("infosys", "Infosys", "Company"), ("wipro", "Wipro", "Company"), ("sebi", "SEBI", "Regulator"), ("it_sector", "IT Sector", "Sector"), ("salil_parekh", "Salil Parekh", "Person")],
+    [("e0", "infosys", "CEO_OF", "salil_parekh", "2018-01-02"), ("e1", "infosys", "OPERATES_IN", "it_sector", None), ("e2", "wipro", "OPERATES_IN", "it_sector", None), ("e3", "sebi", "REGULATES", "infosys", None), ("e4", "sebi", "REGULATES", "wipro", None)],
+)
+
+
+def toy(spark: SparkSession) -> graph.Graph:
+    nodes = spark.createDataFrame(TOY[0], "id string, name string, label string")
+    edges = spark.createDataFrame([(*e, None, "toy") for e in TOY[1]], "eid string, src string, rel string, dst string, t_announce string, t_effective string, source string")
+    return graph.Graph(nodes, edges, stored=True)
+
+
+#: Paths of equal score are in order of their ids, which are hashes (fixed values).
+@query("""SELECT * FROM (VALUES ('Which sector does Infosys operate in?', 0::BIGINT, 'infosys>it_sector', 'e1'), ('Which sector does Infosys operate in?', 1, 'infosys>it_sector>wipro', 'e1 e2'), ('What about Wipro?', 0, 'wipro>sebi', 'e4'), ('What about Wipro?', 1, 'wipro>it_sector', 'e2'),
+  ('What about Wipro?', 2, 'wipro>sebi>infosys', 'e4 e3')) t(question, place, nodes, edges)""")
+def g9_step_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Best paths of questions on a fixed graph: linked, searched, scored."""
+    from graphloom.plans.engine import Engine
+
+    engine = Engine(toy(spark))
+    rows = []
+    for q in ("Which sector does Infosys operate in?", "What about Wipro?"):
+        rows += [(q, i, ">".join(r["node_ids"]), " ".join(r["eids"])) for i, r in enumerate(engine.ask(q, session=q).paths)]
+    return spark.createDataFrame(rows, "question string, place long, nodes string, edges string")
+
+
+@query("""SELECT * FROM (VALUES ('connection between Infosys and Wipro', 'multi_hop_chain', 2::BIGINT, 'wipro'), ('Which sector does Infosys operate in?', 'single_hop', 1, 'infosys')) t(question, kind, steps, start)""")
+def g10_plan_run(spark: SparkSession, d: str) -> DataFrame:
+    """How plans run on the fixed graph: kind, steps and where the best path starts."""
+    from graphloom.plans.engine import Engine
+
+    engine = Engine(toy(spark))
+    rows = []
+    for q in ("connection between Infosys and Wipro", "Which sector does Infosys operate in?"):
+        a = engine.ask(q, session=q)
+        rows.append((q, a.plan.kind, len(a.plan.steps), a.paths[0]["node_ids"][0] if a.paths else None))
+    return spark.createDataFrame(rows, "question string, kind string, steps long, start string")

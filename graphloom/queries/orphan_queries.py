@@ -30,12 +30,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 WITH p AS (SELECT upper(trim(id)) AS id, min(created_at) AS created FROM entities WHERE trim(id) <> '' GROUP BY 1),
 g AS (SELECT upper(trim(id)) AS id, min(deleted_at) AS deleted FROM entity_deletions WHERE trim(id) <> '' GROUP BY 1),
-r AS (SELECT 'source' AS side, upper(trim(source)) AS id, created_at AS at FROM relationships UNION ALL SELECT 'target', upper(trim(target)), created_at FROM relationships),
+r AS (SELECT 'source' AS side, upper(trim(source)) AS id, created_at AS made FROM relationships UNION ALL SELECT 'target', upper(trim(target)), created_at FROM relationships),
 s AS (
-  SELECT side, CASE WHEN p.id IS NULL THEN 'missing' WHEN created > at THEN 'late' WHEN deleted <= at THEN 'deleted' END AS why, strftime(at, '%Y-%m') AS month, (p.id IS NULL OR g.id IS NOT NULL) AS open
-  FROM r LEFT JOIN p ON p.id = r.id LEFT JOIN g ON g.id = r.id WHERE r.id <> '' AND at IS NOT NULL
+  SELECT side, CASE WHEN p.id IS NULL THEN 'missing' WHEN created > made THEN 'late' WHEN deleted <= made THEN 'deleted' END AS why, strftime(made, '%Y-%m') AS month, (p.id IS NULL OR g.id IS NOT NULL) AS still
+  FROM r LEFT JOIN p ON p.id = r.id LEFT JOIN g ON g.id = r.id WHERE r.id <> '' AND made IS NOT NULL
 )
-SELECT side, why, month, count(*) AS n, sum(open::BIGINT)::BIGINT AS open FROM s WHERE why IS NOT NULL GROUP BY side, why, month
+SELECT side, why, month, count(*) AS n, sum(still::BIGINT)::BIGINT AS open FROM s WHERE why IS NOT NULL GROUP BY side, why, month
 """)
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
     tracker = orphans.track(table(spark, d, "relationships"), table(spark, d, "entities"), table(spark, d, "entity_deletions"))

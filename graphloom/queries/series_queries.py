@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import numeric, temporal
-from graphloom.operators import corpus, series
+from graphloom.operators import corpus, profiles, series
 from graphloom.queries.registry import query
 from graphloom.session import table
 from graphloom.sources import readers
@@ -132,27 +132,21 @@ def x3_sessions(spark: SparkSession, d: str) -> DataFrame:
     return sessions(table(spark, d, "events"), "user_id", "ts").select("user_id", "n", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"))
 
 
-@query("SELECT n_nationkey, coalesce(CASE WHEN n_nationkey % 3 = 0 THEN 'Firm ' || n_nationkey END, n_name) AS company FROM nation")
+@query("SELECT n_nationkey, coalesce(CASE WHEN length(n_name) > 6 THEN 'Firm ' || n_nationkey END, n_name) AS company FROM nation")
 def j4_default_lookup(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation")
-    names = n.where("n_nationkey % 3 = 0").select("n_nationkey", F.concat(F.lit("Firm "), "n_nationkey").alias("company"))
-    return n.join(names, "n_nationkey", "left").select("n_nationkey", F.coalesce("company", "n_name").alias("company"))
-
-
-@query("SELECT s_suppkey, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
-def j11_mapping_join(spark: SparkSession, d: str) -> DataFrame:
-    s, n, r = (table(spark, d, t) for t in ("supplier", "nation", "region"))
-    return s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).select("s_suppkey", "n_name", "r_name")
+    names = n.where("length(n_name) > 6").select("n_nationkey", F.concat(F.lit("Firm "), "n_nationkey").alias("name"))  # the lookup table lacks the others
+    return series.looked_up(n, names.unionByName(names), "n_nationkey", "n_name", "company").select("n_nationkey", "company")
 
 
 @query("SELECT request_id, coalesce(lang, 'auto') AS lang, coalesce(is_mixed, false) AS is_mixed FROM chat_requests")
 def f21_back_fill(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "chat_requests").na.fill({"lang": "auto", "is_mixed": False}).select("request_id", "lang", "is_mixed")
+    return profiles.back_fill(table(spark, d, "chat_requests"), {"lang": "auto", "is_mixed": False, "no_such": 1}).select("request_id", "lang", "is_mixed")
 
 
 @query("SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS BIGINT), -1) AS k FROM events")
 def r8_json_access(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", F.coalesce(F.from_json("props", "k long")["k"], F.lit(-1).cast("long")).alias("k"))
+    return table(spark, d, "events").select("event_id", numeric.json_values(F.col("props"), {"k": -1})[0])
 
 
 @query("SELECT id, min(n)::BIGINT AS n FROM (SELECT id, len(map_keys(props)) - len(list_filter(map_values(props), lambda v: v IS NULL)) AS n FROM entities WHERE props IS NOT NULL) GROUP BY id")
@@ -209,3 +203,21 @@ def r1_merge_attributes(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT p_partkey, p_brand || ' had a closing price of ₹' || p_size || ' on 2024-01-01 according to historical records.' AS sentence FROM part")
 def s4_history_sentences(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", readers.history_sentence(F.col("p_brand"), F.col("p_size").cast("string"), F.lit("2024-01-01")).alias("sentence"))
+
+
+@query("""WITH b AS (SELECT vec_id AS parent, unnest(embedding)::DOUBLE AS lp, unnest(range(64)) AS token FROM embeddings), s AS (SELECT parent, token, round(lp - (parent % 7) / 10.0, 6)::DOUBLE AS score FROM b)
+SELECT parent::BIGINT AS parent, token::BIGINT AS token, score FROM s ORDER BY score DESC, parent * 64 + token LIMIT 50""")
+def r7_beam_step(spark: SparkSession, d: str) -> DataFrame:
+    """The 50 best continuations of as many beams as there are vectors, which are their log-probabilities."""
+    v = table(spark, d, "embeddings")
+    beams = v.select(F.col("vec_id").alias("beam"), (-(F.col("vec_id") % 7) / 10.0).alias("score"), F.transform("embedding", lambda x: x.cast("double")).alias("logp"))
+    return corpus.beam_step(beams, 50, 64).select(F.col("parent").cast("long").alias("parent"), F.col("token").cast("long").alias("token"), F.round("score", 6).alias("score"))
+
+
+@query("SELECT doc_id FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN published_at WHEN 1 THEN date_trunc('day', published_at) WHEN 2 THEN date_trunc('month', published_at) END AS d FROM documents) WHERE d BETWEEN TIMESTAMP '2023-01-01' AND TIMESTAMP '2024-06-30'")
+def f5_text_dates(spark: SparkSession, d: str) -> DataFrame:
+    """Dates as text in several forms, some unreadable."""
+    at, k = F.col("published_at"), F.col("doc_id") % 4
+    said = F.when(k == 0, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).when(k == 1, F.date_format(at, "dd-MM-yyyy")).when(k == 2, F.date_format(at, "yyyy-MM")).otherwise(F.lit("unknown"))
+    rows = series.between_dates(table(spark, d, "documents").select("doc_id", said.alias("said")), "said", "2023-01-01", "2024-06-30")
+    return rows.select("doc_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,7 +76,7 @@ def w15_cap_per_language(spark: SparkSession, d: str) -> DataFrame:
     return corpus.cap_per_language(table(spark, d, "parallel_pairs"), 40, "pair_id").select("pair_id", "lang")
 
 
-@query()
+@query("SELECT CASE WHEN ('0x' || substr(md5(pair_id::VARCHAR), 1, 8))::BIGINT % 100 < 5 THEN 'validation' ELSE 'train' END AS split, count(*)::BIGINT AS n FROM parallel_pairs GROUP BY 1")
 def w14_split(spark: SparkSession, d: str) -> DataFrame:
     return corpus.split(table(spark, d, "parallel_pairs"), "pair_id").groupBy("split").agg(F.count("*").alias("n"))
 
@@ -93,18 +95,12 @@ def t14_detect_script(spark: SparkSession, d: str) -> DataFrame:
     return _chats(spark, d).select("request_id", text.detect_script(F.col("message")).alias("script"))
 
 
-@query(rf"""SELECT request_id, trim(regexp_replace(regexp_replace(replace(regexp_replace(lower(message), '\p{{C}}', '', 'g'), '`', ''''), '[–—]', '-', 'g'), '\s+', ' ', 'g')) AS normal FROM {TEXTS} WHERE regexp_matches(message, '^[\x00-\x7F]*$')""")
+@query(rf"""SELECT request_id, trim(regexp_replace(regexp_replace(replace(regexp_replace(lower(message), '\p{{C}}', '', 'g'), '`', ''''), '[–—]', '-', 'g'), '\s+', ' ', 'g')) AS normal FROM {TEXTS}""")
 def t15_normalise_english(spark: SparkSession, d: str) -> DataFrame:
-    return _chats(spark, d).where(F.col("message").rlike(r"^[\x00-\x7F]*$")).select("request_id", text.normalise_english(F.col("message")).alias("normal"))
-
-
-@query()
-def t15_normalise_messages(spark: SparkSession, d: str) -> DataFrame:
-    """Every message; ``t15_normalise_english`` takes those wholly in ASCII only."""
     return _chats(spark, d).select("request_id", text.normalise_english(F.col("message")).alias("normal"))
 
 
-@query()
+@query("SELECT request_id, " + reduce(lambda s, kv: f"replace({s}, '{kv[0]}', '{kv[1]}')", vocab.DEVANAGARI_LATIN.items(), "message") + f" AS latin FROM {TEXTS}")
 def t16_transliterate(spark: SparkSession, d: str) -> DataFrame:
     return _chats(spark, d).select("request_id", text.transliterate(F.col("message")).alias("latin"))
 

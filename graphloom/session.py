@@ -32,11 +32,15 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests on one machine) a temporary folder is made and set.
+    Only where that is unset and the master is local (tests on one machine) a temporary folder is made and set; on a
+    cluster it is an error, since each executor would write to its own disk.
     """
     key = "spark.checkpoint.dir"
     folder = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set(key, folder)
         spark.sparkContext.setCheckpointDir(folder)

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import io
 import json
+import re
 import time
-from collections.abc import Callable, Sequence
+import zipfile
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from pathlib import Path
 from typing import Any
+from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,7 +22,7 @@ from graphloom import schema, vocab
 from graphloom.functions import text
 from graphloom.functions.temporal import tolerant_timestamp
 from graphloom.operators.graph import Graph
-from graphloom.operators.series import numbered, standardise_headers
+from graphloom.operators.series import every_nth, numbered, standardise_headers
 
 NEWS = "Title string, Content string, Date string, URL string"
 
@@ -55,12 +60,53 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("`Company Name` string, Symbol string, `ISIN Code` string, Industry string").option("header", True).csv(path)
 
 
-def read_excel(spark: SparkSession, path: str, required: Sequence[str] | None = None) -> DataFrame:
-    """A worksheet; rows lacking a required column are dropped, or lacking any if none is named."""
-    import pandas as pd
+def sheet_rows(data: bytes) -> list[list[str | None]]:
+    """Cells of a workbook's first worksheet as text, row by row; a missing cell is None."""
+    main = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        names = z.namelist()
+        shared = [] if "xl/sharedStrings.xml" not in names else ["".join(x.text or "" for x in s.iter(f"{main}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{main}si")]
+        first = min((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.sub(r"\D", "", n)))
+        out: list[list[str | None]] = []
+        for row in ElementTree.fromstring(z.read(first)).iter(f"{main}row"):
+            cells: list[str | None] = []
+            for c in row.iter(f"{main}c"):
+                letters = re.sub(r"\d", "", c.get("r", ""))
+                place = sum((ord(x) - 64) * 26**i for i, x in enumerate(reversed(letters))) - 1 if letters else len(cells)
+                cells += [None] * (place + 1 - len(cells))
+                value = c.find(f"{main}v")
+                if c.get("t") == "inlineStr":
+                    cells[place] = "".join(x.text or "" for x in c.iter(f"{main}t"))
+                elif value is not None and value.text is not None:
+                    cells[place] = shared[int(value.text)] if c.get("t") == "s" else value.text
+            out.append(cells)
+    return out
 
-    rows = pd.read_excel(path)
-    return spark.createDataFrame(rows.dropna(subset=list(required)) if required else rows.dropna())
+
+def read_excel(spark: SparkSession, path: str, required: Sequence[str] | None = None) -> DataFrame:
+    """First worksheets as text columns, read by the executors, a file a task; the header is that of the first file. Rows lacking
+    a required column are dropped, or lacking any if none is named. A sheet without rows gives no row."""
+    files = spark.read.format("binaryFile").load(path)
+    head = files.orderBy("path").limit(1).select("content").first()
+    first = sheet_rows(bytes(head["content"])) if head else []
+    header = [(h or f"_{i}").strip() for i, h in enumerate(first[0] if first else ["_0"])]
+    spec = ", ".join(f"`{h}` string" for h in header)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                rows = sheet_rows(data)
+                place = {(h or "").strip(): i for i, h in enumerate(rows[0] if rows else [])}
+                cols = [[r[place[h]] if h in place and place[h] < len(r) else None for r in rows[1:]] for h in header]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=header)
+
+    rows = files.select("content").mapInArrow(run, spec)
+    return rows.dropna(subset=list(required)) if required else rows.dropna()
+
+
+def index_rows(spark: SparkSession, path: str, every: int = 10, order: str = "Date") -> DataFrame:
+    """Complete rows of index worksheets, every ``every``-th in order."""
+    return every_nth(read_excel(spark, path), every, order)
 
 
 def read_benchmark(spark: SparkSession, path: str) -> DataFrame:

@@ -66,6 +66,17 @@ def storable(nodes: DataFrame) -> DataFrame:
     return nodes.select(*cols)
 
 
+def write_batches(nodes: DataFrame, path: str, batch: int = 500) -> None:
+    """Storable nodes in files of at most ``batch`` rows, a folder per label: what a store loads at once."""
+    storable(nodes).write.mode("overwrite").partitionBy("label").option("maxRecordsPerFile", batch).parquet(path)
+
+
+def write_by_id(graph: Graph, target: str) -> None:
+    """Nodes in order of their id, and edges from both their ends in order of the end's: a lookup by id, and a hop, reads few row groups."""
+    graph.nodes.repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{target}/nodes")
+    graph.adjacency().repartitionByRange("a", "eid").sortWithinPartitions("a", "eid").write.mode("overwrite").parquet(f"{target}/adjacency")
+
+
 def write_checkpoint(df: DataFrame, path: str, label: str) -> None:
     df.write.mode("overwrite").parquet(f"{path}/checkpoint={label}")
 
