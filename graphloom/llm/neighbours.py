@@ -161,7 +161,7 @@ def _compare(k: int, bound: float):
     return run
 
 
-def nearest(vectors: DataFrame, id: str = "id", vector: str = "embedding", dim: int = 64, k: int = 5, similarity: float = 0.8, miss: float = 0.005, sample: int = 20_000, bucket: int = 1024, block: int = 4096) -> DataFrame:
+def nearest(vectors: DataFrame, id: str = "id", vector: str = "embedding", dim: int = 64, k: int = 5, similarity: float = 0.8, miss: float = 0.005, sample: int = 20_000, bucket: int = 4096, block: int = 8192) -> DataFrame:
     """(id, neighbour_id, similarity): the at most ``k`` other ids of cosine similarity ``similarity`` and more.
 
     Vectors that are null, of another length, all zero or hold NaN take no part; of several vectors of an id the
