@@ -115,11 +115,14 @@ def decode(source: list[int], score: Scorer, beams: int = 1, limit: int = 64, be
                     found.append((-(total + lp), place, token))
         found = heapq.nsmallest(2 * beams, found)
         after = []
-        for minus, place, token in found:
+        for at, (minus, place, token) in enumerate(found):
             ids = [*live[place][1], token]
-            (ended if token == end else after).append((-minus, ids))
+            if token != end:
+                after.append((-minus, ids))
+            elif at < beams:  # an end counts only among the best
+                ended.append((-minus, ids))
         live = after[:beams]
-        if not live or beams == 1 and ended or len(ended) >= beams:
+        if not live or len(ended) >= beams:
             break
     pool = ended or live or [(0.0, [begin])]
     best = max(pool, key=lambda x: x[0] / max(1, len(x[1]) - 1) ** alpha)[1]

@@ -284,14 +284,6 @@ def test_sentences(spark):
     assert r["price"] == "A (NSE: AA) traded at a closing price of ₹1.0 with volume 5 on 2024-01-01."
 
 
-def test_excel(spark, tmp_path):
-    pd = pytest.importorskip("pandas")
-    pytest.importorskip("openpyxl")
-    f = tmp_path / "m.xlsx"
-    pd.DataFrame({"Year": [2000, 2001, None], "SENSEX": [1.0, None, 3.0], "x": [None, 1.0, 1.0]}).to_excel(f, index=False)
-    assert readers.read_excel(spark, str(f), ["Year", "SENSEX"]).count() == 1 and readers.read_excel(spark, str(f)).count() == 0
-
-
 def test_small_readers(spark, tmp_path):
     (tmp_path / "b.jsonl").write_text('{"question": "q", "gold_answer": "a"}\n\n{"gold_answer": "a"}\n')
     assert readers.read_benchmark(spark, str(tmp_path / "b.jsonl")).count() == 1
