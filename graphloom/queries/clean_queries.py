@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom import vocab
 from graphloom.functions import text
 from graphloom.operators import clean, components, graph, merge
 from graphloom.queries.registry import query
@@ -21,12 +22,18 @@ def f9_without_loops(spark: SparkSession, d: str) -> DataFrame:
     return clean.without_loops(_kg(spark, d).edges).select("edge_no")
 
 
-NOISE = r"(label = 'Company' AND lower(trim(name)) IN ('joint venture', 'spv')) OR (label = 'Indicator' AND lower(trim(name)) IN ('overbought levels'))"
+NOISE = " OR ".join(f"(label = '{label}' AND lower(trim(name)) IN ({', '.join(repr(n) for n in names)}))" for label, names in vocab.LABEL_NOISE.items())
 
 
-@query(knowledge(f"SELECT id FROM nodes WHERE NOT ({NOISE})"))
+@query(f"""WITH n AS (SELECT id, name, label FROM (SELECT id, coalesce(min(name), '') AS name, min(entity_type) AS label FROM entities WHERE id IS NOT NULL GROUP BY id)
+UNION ALL SELECT label || name, upper(name) || ' ', label FROM (VALUES {", ".join(f"('{n}')" for n in sorted({n for ns in vocab.LABEL_NOISE.values() for n in ns}))}) a(name), (VALUES ('Company'), ('Indicator'), ('Policy'), ('Person')) b(label))
+SELECT id FROM n WHERE NOT ({NOISE})""")
 def f10_without_noise(spark: SparkSession, d: str) -> DataFrame:
-    return clean.without_noise(_kg(spark, d)).nodes.select("id")
+    """The stored nodes, and a node of each noise name under each label, most of which are noise under another label only."""
+    g = _kg(spark, d)
+    names = sorted({n for ns in vocab.LABEL_NOISE.values() for n in ns})
+    odd = spark.createDataFrame([(label + n, n.upper() + " ", label) for n in names for label in ("Company", "Indicator", "Policy", "Person")], "id string, name string, label string")
+    return clean.without_noise(graph.Graph(g.nodes.select("id", "name", "label").unionByName(odd), g.edges)).nodes.select("id")
 
 
 @query(knowledge("SELECT edge_no FROM edges WHERE src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes)"))

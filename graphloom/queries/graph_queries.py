@@ -283,17 +283,30 @@ FACTS = """(SELECT source AS s, CASE WHEN edge_no % 3 = 0 THEN 'Company' WHEN ed
   WHERE source IS NOT NULL AND target IS NOT NULL AND lower(trim(source)) NOT IN ('', 'none', 'null', 'n/a', 'unknown') AND lower(trim(target)) NOT IN ('', 'none', 'null', 'n/a', 'unknown'))"""
 
 
-@query(f"""WITH f AS (SELECT trim(s) AS s, CASE WHEN kind = 'Thing' THEN 'Indicator' ELSE kind END AS kind, trim(o) AS o, coalesce(confidence, 0.8) AS c FROM {FACTS}), n AS (SELECT s AS name, kind AS label, c FROM f UNION ALL SELECT o, 'Company', c FROM f)
-SELECT replace(replace(upper(name), ' ', '_'), '-', '_')[:32] || '_' || sha256(lower(name) || '::' || lower(label))[:8] AS id, min(name) AS name, label, round(max(c), 4)::DOUBLE AS confidence FROM n GROUP BY 1, label""")
-def g16_facts_to_nodes(spark: SparkSession, d: str) -> DataFrame:
+def _facts(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "relationships")
     kind = F.when(F.col("edge_no") % 3 == 0, "Company").when(F.col("edge_no") % 3 == 1, "Thing").otherwise("Person")
     time = F.lit(None).cast("struct<t_announce:string,t_effective:string,t_observe:string,t_impact:string>")
-    facts = r.select(
+    return r.select(
         F.col("source").alias("subject"), kind.alias("subject_type"), "predicate", F.col("target").alias("object"), F.lit("Company").alias("object_type"), F.col("props.confidence").alias("confidence"),
         F.col("props.sentiment").alias("sentiment"), time.alias("temporal"), F.lit(None).cast("string").alias("source_text"),
     )
-    return graph.facts_to_graph(facts).nodes.select("id", "name", "label", F.round("confidence", 4).alias("confidence"))
+
+
+@query(f"""WITH f AS (SELECT trim(s) AS s, CASE WHEN kind = 'Thing' THEN 'Indicator' ELSE kind END AS kind, trim(o) AS o, coalesce(confidence, 0.8) AS c FROM {FACTS}), n AS (SELECT s AS name, kind AS label, c FROM f UNION ALL SELECT o, 'Company', c FROM f)
+SELECT replace(replace(upper(name), ' ', '_'), '-', '_')[:32] || '_' || sha256(lower(name) || '::' || lower(label))[:8] AS id, min(name) AS name, label, round(max(c), 4)::DOUBLE AS confidence FROM n GROUP BY 1, label""")
+def g16_facts_to_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return graph.facts_to_graph(_facts(spark, d)).nodes.select("id", "name", "label", F.round("confidence", 4).alias("confidence"))
+
+
+@query(f"""WITH f AS (SELECT trim(s) AS s, CASE WHEN kind = 'Thing' THEN 'indicator' ELSE lower(kind) END AS kind, trim(o) AS o, coalesce(confidence, 0.8) AS c,
+  regexp_replace(regexp_replace(regexp_replace(predicate, '^\\s+|\\s+$', '', 'g'), '[\\s\\-]+', '_', 'g'), '[^A-Za-z0-9_]', '', 'g') AS p FROM {FACTS}),
+e AS (SELECT replace(replace(upper(s), ' ', '_'), '-', '_')[:32] || '_' || sha256(lower(s) || '::' || kind)[:8] AS src, replace(replace(upper(o), ' ', '_'), '-', '_')[:32] || '_' || sha256(lower(o) || '::company')[:8] AS dst, CASE WHEN coalesce(p, '') = '' THEN 'RELATED_TO' ELSE upper(p) END AS rel, c FROM f)
+SELECT src, dst, rel, count(*)::BIGINT AS n, round(sum(c), 3)::DOUBLE AS confidence FROM e GROUP BY src, dst, rel""")
+def g16_facts_to_edges(spark: SparkSession, d: str) -> DataFrame:
+    e = graph.facts_to_graph(_facts(spark, d)).edges
+    return e.groupBy("src", "dst", "rel").agg(F.count("*").alias("n"), F.round(F.sum("confidence"), 3).alias("confidence"))
+
 
 
 @query(trade("SELECT from_id, to_id, rel FROM (SELECT a AS from_id, b AS to_id, rel FROM adj WHERE a = (SELECT n.id FROM nodes n LEFT JOIN degree g USING (id) WHERE contains(lower(name), 'nation_1') ORDER BY coalesce(g.degree, 0) DESC, n.id LIMIT 1) ORDER BY eid, a LIMIT 20)"))
