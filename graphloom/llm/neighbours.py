@@ -101,10 +101,12 @@ def _compare(k: int, bound: float):
             sim = part.astype(np.float32) @ y.T.astype(np.float32)
             if same:
                 sim[np.arange(len(part)), np.arange(at, at + len(part))] = -2
-            least = np.full(len(part), bound - 1e-5, np.float32)
-            if sim.shape[1] > 4 * k:
-                least = np.maximum(least, np.partition(sim, sim.shape[1] - k, axis=1)[:, sim.shape[1] - k] - np.float32(1e-5))
-            r, c = np.nonzero(sim >= least[:, None])
+            hit = sim >= np.float32(bound - 1e-5)
+            many = np.flatnonzero(np.count_nonzero(hit, axis=1) > 4 * k)
+            if len(many):  # of those only what may be among the best, ties included
+                few = sim[many]
+                hit[many] &= few >= (np.partition(few, few.shape[1] - k, axis=1)[:, few.shape[1] - k] - np.float32(1e-5))[:, None]
+            r, c = np.nonzero(hit)
             if len(r):
                 for cut in range(0, len(r), 200_000):
                     i, j = r[cut : cut + 200_000], c[cut : cut + 200_000]

@@ -1,4 +1,7 @@
-"""Registered queries of the training-data operators and their SQL."""
+"""Registered queries of the training-data operators and their SQL.
+
+Each query imports its operator when it runs, so a package that one of them needs and that is absent stops no other.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +9,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import canonical, groups, language, leaks, names, neighbours, packing, pairs, spans
 from graphloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,31 +22,43 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 @query
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    from graphloom.llm import leaks
+
     return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
 @query
 def p9_tolerant(spark: SparkSession, d: str) -> DataFrame:
+    from graphloom.llm import leaks
+
     return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"), max_substituted=2)
 
 
 @query
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    from graphloom.llm import spans
+
     return spans.shared_chars(table(spark, d, "documents"))
 
 
 @query
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from graphloom.llm import canonical
+
     return canonical.collapse(table(spark, d, "relationships"))
 
 
 @query
 def p8_pack(spark: SparkSession, d: str) -> DataFrame:
+    from graphloom.llm import packing
+
     return packing.pack(table(spark, d, "documents"))
 
 
 @query
 def p8_invariants(spark: SparkSession, d: str) -> DataFrame:
+    from graphloom.llm import packing
+
     return packing.invariants(table(spark, d, "documents"))
 
 
@@ -56,6 +70,8 @@ FROM documents WHERE doc_id IS NOT NULL
 
 @query
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    from graphloom.llm import groups
+
     return groups.linked_groups(table(spark, d, "entity_matches"))
 
 
@@ -70,21 +86,29 @@ SELECT min(seen) AS group_id, id AS member_id FROM reach GROUP BY id
 
 @query
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from graphloom.llm import neighbours
+
     return neighbours.nearest(table(spark, d, "entities")).select("id", "neighbour_id")
 
 
 @query
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    from graphloom.llm import names
+
     return names.same_entity_pairs(table(spark, d, "entities"))
 
 
 @query
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    from graphloom.llm import language
+
     return language.corrected_labels(table(spark, d, "chat_requests"), table(spark, d, "parallel_pairs"))
 
 
 @query
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    from graphloom.llm import pairs
+
     return pairs.defective_pairs(table(spark, d, "parallel_pairs")).select("pair_id", "defect").distinct()
 
 
