@@ -170,7 +170,7 @@ def test_components_query_takes_every_link(spark, tmp_path):
 
     links = [("a", "b", 0.99), ("b", "c", 0.4), ("d", "c", None), ("e", "f", 0.95), ("g", "g", 0.1), (None, "h", 1.0)]
     spark.createDataFrame(links, "left_id string, right_id string, score double").write.parquet(str(tmp_path / "entity_matches.parquet"))
-    found = {tuple(r) for r in entry.queries()["a10_all_components"](spark, str(tmp_path)).collect()}
+    found = {tuple(r) for r in entry.queries()["a10_components"](spark, str(tmp_path)).collect()}
     assert found == {("a", "a"), ("b", "a"), ("c", "a"), ("d", "a"), ("e", "e"), ("f", "e"), ("g", "g")}
 
 
@@ -186,7 +186,7 @@ def test_normalise_query_takes_every_message(spark, data, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "request_id long, message string").write.parquet(str(tmp_path / "chat_requests.parquet"))
     for d in (str(tmp_path), data):
         want = {r["request_id"]: brute_normal(r["message"]) for r in spark.read.parquet(f"{d}/chat_requests.parquet").where("message is not null").collect()}
-        assert {r["request_id"]: r["normal"] for r in entry.queries()["t15_normalise_messages"](spark, d).collect()} == want
+        assert {r["request_id"]: r["normal"] for r in entry.queries()["t15_normalise_english"](spark, d).collect()} == want
 
 
 def test_upsert_keeps_old_where_new_is_null(spark):

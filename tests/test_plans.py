@@ -73,8 +73,8 @@ def test_sub_questions_agree(spark, q):
 def test_plans_take_what_the_session_carries():
     one = questions.plan_question("Which sector does it operate in?", ["Infosys", "Wipro"])
     assert (one.question, one.follow_up, one.steps[0].anchor, one.steps[0].relation) == ("Which sector does Infosys operate in?", True, "Infosys", "OPERATES_IN")
-    chain = questions.plan_question("what changed because of interest rates due to the rate cut", ["A", "B"])
-    assert chain.kind == "multi_hop_chain" and [s.anchor for s in chain.steps][:3] == ["A", "B", None]
+    chain = questions.plan_question("as a result of the rate cut which banks were hit due to rules that benefited by delay", ["A", "B"])
+    assert chain.kind == "multi_hop_chain" and [s.anchor for s in chain.steps] == ["A", "B", *[None] * (len(chain.steps) - 2)] and len(chain.steps) > 2
 
 
 def test_models_are_asked_first(toy):
