@@ -253,7 +253,7 @@ def distinct_triples(paths: DataFrame, order: str = "rank") -> DataFrame:
 
 
 def shared_ends(*branches: DataFrame) -> DataFrame:
-    """End nodes (id, name) that every branch's paths reach: a true intersection, where the reference takes the last branch."""
+    """End nodes (id, name) that every branch's paths reach: a true intersection."""
     ends = [b.select(F.element_at("node_ids", -1).alias("id"), F.element_at("node_names", -1).alias("name")) for b in branches]
     out = ends[0]
     for e in ends[1:]:

@@ -56,7 +56,7 @@ class StoredGraph:
 
 
 class SmallGraph(StoredGraph):
-    """The same source with directed simple paths, no constraint and no time filter: the reference fixture's semantics."""
+    """The same source with directed simple paths, no constraint and no time filter, as small fixtures are searched."""
 
     def get_neighbors(self, node_id: str, rel_types: list[str] | None = None, direction: str = "both", time_filter: dict | None = None) -> DataFrame:
         return search.neighbours(self.graph, [node_id], rel_types, direction)

@@ -89,5 +89,5 @@ def attach_orphans(tracker: OrphanTracker, edges: DataFrame, entities: DataFrame
 
 
 def windowed_counts(events: DataFrame, at: str = "ts", kind: str = "event_type", size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Tumbling counts and sums with a watermark: beyond what the reference has, for event tables."""
+    """Tumbling counts and sums with a watermark, for event tables."""
     return events.withWatermark(at, late).groupBy(F.window(at, size).alias("w"), kind).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), kind, "n", "total")
