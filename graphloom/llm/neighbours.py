@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from graphloom.llm.sampling import hash_sample
 from graphloom.operators.series import numbered
 from graphloom.session import Cuts
 
@@ -179,7 +180,7 @@ def nearest(vectors: DataFrame, id: str = "id", vector: str = "embedding", dim:
     total = heads.count()
     s = max(2, round(math.log2(max(total, 2) / bucket)))
     m = tables_needed(s, similarity, miss)
-    rows = heads.orderBy(F.xxhash64("n"), "n").limit(sample).select("v").collect()
+    rows = hash_sample(heads.select("n", "v"), total, sample, "n")
     x = np.array([r["v"] for r in rows], np.float64).reshape(len(rows), dim)
     x /= np.linalg.norm(x, axis=1)[:, None] if len(x) else 1
     rotation = learn_rotations(x, s * m) if len(x) else np.zeros((dim, s * m))
